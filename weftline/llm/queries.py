@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.mojibake import find_garbled
 from weftline.llm.near_duplicates import SQL_TOKEN, NearDuplicates
 from weftline.llm.shared_spans import SharedSpans, line_duplicates
 from weftline.llm.sql import SQL
@@ -40,4 +41,12 @@ def p4_lines(spark: SparkSession, directory: str) -> DataFrame:
     return line_duplicates(view_texts(spark, directory))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_lines)}
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return find_garbled(read_table(spark, directory, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
+    return find_garbled(read_table(spark, directory, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_lines, p9_found, p9_restored)}
