@@ -46,6 +46,8 @@ RUN = re.compile(r"[^\x00-\x7f]+")
 STOPS = ".!?\n。！？"
 #: A sentence with more damaged tokens than this does not merely quote damage.
 QUOTED = 3
+#: Runs restored in one token.
+TURNS = 8
 LOST = "�"
 EDGE = "“”„‘’‚«»‹›–—…·¿¡ "
 MEMO = 400_000
@@ -436,10 +438,16 @@ def restore(text: str, restorer: Restorer) -> tuple[int, str]:
         tokens = sorted([*tokens, *_also(text, restorer, tokens, max(votes, key=votes.get))], key=lambda x: x[0].start())
     out, last = [], 0
     for m, found in tokens:
-        best = max(found, key=lambda c: (votes.get(c.how[:2], 0.0), c.rank))
-        at = m.start() + m.group().find(best.run)
-        out += [text[last:at], best.text]
-        last = at + len(best.run)
+        token = m.group()
+        for _ in range(TURNS):  # a token may hold several damaged runs
+            best = max(found, key=lambda c: (votes.get(c.how[:2], 0.0), c.rank))
+            if best.run == best.text:
+                break
+            token = token.replace(best.run, best.text, 1)
+            if not (found := restorer.token(token)):
+                break
+        out += [text[last : m.start()], token]
+        last = m.end()
     return count, "".join([*out, text[last:]])
 
 

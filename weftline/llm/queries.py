@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm.mojibake import find_garbled
 from weftline.llm.near_duplicates import SQL_TOKEN, NearDuplicates
+from weftline.llm.packing import fill_report, pack_items
+from weftline.llm.mixing import mix_sources, share_report
 from weftline.llm.shared_spans import SharedSpans, line_duplicates
 from weftline.llm.sql import SQL
+from weftline.llm.tokens import with_sizes
+from weftline.session import Scratch
 from weftline.sources.tables import newest, read_table
 
 __all__ = ["QUERIES", "SQL"]
@@ -41,6 +45,32 @@ def p4_lines(spark: SparkSession, directory: str) -> DataFrame:
     return line_duplicates(view_texts(spark, directory))
 
 
+def _sizes(spark: SparkSession, directory: str, *keep: str) -> DataFrame:
+    """Token counts of all documents, written once."""
+    documents = read_table(spark, directory, "documents")
+    return Scratch(spark, "sizes").cut(with_sizes(documents, ["doc_id", *keep]), "sizes")
+
+
+def p7_pack(spark: SparkSession, directory: str) -> DataFrame:
+    capacities = [r.capacity_tokens for r in read_table(spark, directory, "pack_sizes").collect()]
+    packed = pack_items(_sizes(spark, directory), capacities)
+    names = read_table(spark, directory, "pack_sizes").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    return packed.join(names, "capacity").select("doc_id", "part", "n_tokens", "bin", "pack_name", "capacity")
+
+
+def p7_report(spark: SparkSession, directory: str) -> DataFrame:
+    return fill_report(p7_pack(spark, directory))
+
+
+def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
+    return mix_sources(_sizes(spark, directory, "source"), read_table(spark, directory, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    targets = read_table(spark, directory, "mix_targets")
+    return share_report(Scratch(spark, "mixed").cut(p8_mix(spark, directory), "mixed"), targets)
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return find_garbled(read_table(spark, directory, "documents")).select("doc_id")
 
@@ -49,4 +79,4 @@ def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
     return find_garbled(read_table(spark, directory, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_lines, p9_found, p9_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_lines, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_restored)}
