@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
+CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+
 #: Encodings that pages were read in by mistake. Single-byte ones keep undefined bytes
 #: as the control character of that number, as browsers do.
 SINGLE = (
@@ -53,4 +56,4 @@ def to_text(data: bytes, written_as: str, loose: bool = False) -> str | None:
         return None
     if loose:
         return text
-    return None if any(c < " " and c not in "\t\n\r" or "\x7f" <= c <= "\x9f" for c in text) else text
+    return None if CONTROL.search(text) else text

@@ -12,8 +12,9 @@ as it stands and is likelier, too.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +52,9 @@ TURNS = 8
 LOST = "�"
 EDGE = "“”„‘’‚«»‹›–—…·¿¡ "
 MEMO = 400_000
-BLANKS = {ord(c): " " for c in "\t\r\n\f\v"}
+CHUNK = 20_000
+ALL_WRITTEN = ("utf-8", *WRITTEN)
+BLANKS = "\t\r\n\f\v"
 #: Share of kana from which a run's Japanese reading needs no more evidence than UTF-8.
 KANA = 0.2
 #: A word is left out of the second counts if another reading's pairs are e**ELSEWHERE times as common;
@@ -118,6 +121,17 @@ class PairModel:
         counts = np.add.reduceat(used.astype(np.int64), starts)
         return np.where(counts > 0, sums / np.maximum(counts, 1), MOST)
 
+    def word_sums(self, words: list[str], score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Sum for each word between blanks of ``score`` (of points and which pairs are beyond ASCII)."""
+        points = [folded(f" {w} ") for w in words]
+        flat = np.concatenate(points)
+        wide = flat > 127
+        near = wide[:-1] | wide[1:]
+        lengths = np.fromiter(map(len, points), np.int64, len(points))
+        starts = np.cumsum(lengths) - lengths
+        near[starts[1:] - 1] = False
+        return np.add.reduceat(np.append(np.where(near, score(flat, near), 0.0), 0.0), starts)
+
     def likelihoods(self, texts: list[str]) -> np.ndarray:
         """As :meth:`means`, of the log of each pair's share of all pairs."""
         return self._means(texts, lambda points: np.log((self.pairs[cells_of(points)] + 0.5) / self.total))
@@ -177,7 +191,9 @@ def _plain(token: str) -> bool:
 
 def wide_words(text: str) -> list[str]:
     """Words beyond ASCII, cut at ASCII blanks only."""
-    return [w for w in text.translate(BLANKS).split(" ") if not w.isascii()]
+    for blank in BLANKS:
+        text = text.replace(blank, " ")
+    return [w for w in text.split(" ") if not w.isascii()]
 
 
 WORDS = "word string, n bigint"
@@ -247,7 +263,7 @@ def fit_pairs(texts: DataFrame) -> PairModel:
 
     def left_out(batch: list[str]) -> list[bool]:
         restorer = Restorer(first.value)
-        return [restorer.elsewhere(w) for w in batch]
+        return restorer.elsewhere(batch)
 
     return _model(words, left_out)
 
@@ -289,16 +305,22 @@ class Restorer:
         self.known = model.known() | frozenset(map(chr, range(128)))
         self.memo: dict[str, list[Candidate]] = {}
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Test words not met before; most show too few improbable pairs for any segment and are passed over together."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        fresh = [w for w in words if w not in self.memo]
+        for start in range(0, len(fresh), CHUNK):
+            part = fresh[start : start + CHUNK]
+            most = self.model.word_sums(part, lambda points, near: np.maximum(LIMIT - self.model.scores(points), 0.0))
+            for word, reach in zip(part, most, strict=True):
+                self.memo[word] = self._token(word) if reach >= SEGMENT or LOST in word else []
+
     def token(self, token: str) -> list[Candidate]:
         """Restored forms of the first improbable run that has any, best first; a lost run restores to itself."""
-        if len(token) > 64:
-            return self._token(token)
-        found = self.memo.get(token)
-        if found is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            found = self.memo[token] = self._token(token)
-        return found
+        if token not in self.memo:
+            self.learn([token])
+        return self.memo[token]
 
     def _token(self, token: str) -> list[Candidate]:
         if LOST in token:
@@ -337,7 +359,7 @@ class Restorer:
                     break
         return sorted(found, key=lambda c: -c.rank)[:8]
 
-    def _forms(self, run: str) -> dict[str, tuple[str, ...]]:
+    def _forms(self, run: str, written: tuple[str, ...] = ALL_WRITTEN) -> dict[str, tuple[str, ...]]:
         """Other readings of a run that use known characters only, and the mappings that give them."""
         forms: dict[str, tuple[str, ...]] = {}
         first, last = ord(run[0]), ord(run[-1])
@@ -348,7 +370,7 @@ class Restorer:
                 data = None
             if data is None or data.isascii():
                 continue
-            for written_as in ("utf-8", *WRITTEN):
+            for written_as in written:
                 if written_as == read_as:
                     continue
                 utf8 = written_as == "utf-8"
@@ -363,7 +385,13 @@ class Restorer:
 
     def _inverse(self, token: str, a: int, b: int) -> list[Candidate]:
         run, head, rear = token[a:b], token[max(0, a - 1) : a], token[b : b + 1]
-        forms = self._forms(run)
+        # bytes that are UTF-8 are hardly anything else: then other readings are not tried
+        found = self._scored(run, head, rear, self._forms(run, ("utf-8",)))
+        if not found or max(c.rank for c in found) < ENOUGH:
+            found = self._scored(run, head, rear, self._forms(run))
+        return found
+
+    def _scored(self, run: str, head: str, rear: str, forms: dict[str, tuple[str, ...]]) -> list[Candidate]:
         if not forms:
             return []
         texts = [head + run + rear, *(head + t + rear for t in forms)]
@@ -376,20 +404,15 @@ class Restorer:
                 out.append(Candidate(float(gain) + 2.0 * sure, run, text, how))
         return out
 
-    def elsewhere(self, word: str) -> bool:
-        """Whether another reading of the word has pairs far more common than its own, by counts alone."""
-        if kana_share(word) >= KANA:
-            return False
-        points = folded(f" {word} ")
-        wide = points > 127
-        near = wide[:-1] | wide[1:]
-        if (self.model.pairs[cells_of(points)][near] >= RARE_PAIR * self.model.total).all():
-            return False
-        forms = list(self._forms(word))
-        if not forms:
-            return False
-        likely = self.model.likelihoods([word, *forms])
-        return bool((likely[1:] - likely[0]).max() >= ELSEWHERE)
+    def elsewhere(self, words: list[str]) -> list[bool]:
+        """Whether another reading of each word has pairs far more common than its own, by counts alone."""
+        model, out = self.model, [False] * len(words)
+        rare = model.word_sums(words, lambda points, near: model.pairs[cells_of(points)] < RARE_PAIR * model.total)
+        for i in np.flatnonzero(rare):
+            if kana_share(words[i]) < KANA and (forms := list(self._forms(words[i]))):
+                likely = model.likelihoods([words[i], *forms])
+                out[i] = bool((likely[1:] - likely[0]).max() >= ELSEWHERE)
+        return out
 
 
 def _sentence(text: str, at: int) -> tuple[int, int]:
@@ -467,6 +490,17 @@ def _also(text: str, restorer: Restorer, known: list, how: tuple[str, ...]) -> l
     return out
 
 
+_RESTORERS: dict[str, Restorer] = {}
+
+
+def restorer_of(name: str, model) -> Restorer:
+    """The restorer of one run, kept by the worker process from task to task."""
+    if name not in _RESTORERS:
+        _RESTORERS.clear()
+        _RESTORERS[name] = Restorer(model.value)
+    return _RESTORERS[name]
+
+
 def find_garbled(texts: DataFrame, model: PairModel | None = None) -> DataFrame:
     """(doc_id, n_garbled, restored) of the texts that hold a garbled passage.
 
@@ -474,16 +508,17 @@ def find_garbled(texts: DataFrame, model: PairModel | None = None) -> DataFrame:
     Without a model the pair statistics of ``texts`` are used.
     """
     model = model or fit_pairs(texts)
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared, name = texts.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(shared.value)
+        restorer = restorer_of(name, shared)
         for batch in batches:
-            rows = [
-                (d, *got)
-                for d, t in zip(batch.doc_id, batch.text, strict=True)
-                if not t.isascii() and (got := restore(t, restorer))[0]
-            ]
+            words = [[] if t.isascii() else wide_words(t) for t in batch.text]
+            restorer.learn({w for inside in words for w in inside})
+            rows = []
+            for doc, text, inside in zip(batch.doc_id, batch.text, words, strict=True):
+                if any(restorer.token(w) for w in inside) and (got := restore(text, restorer))[0]:
+                    rows.append((doc, *got))
             yield pd.DataFrame(rows, columns=["doc_id", "n_garbled", "restored"])
 
     return texts.select("doc_id", "text").where("text is not null").mapInPandas(
