@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.queries import problem_sql, problems
+from weftline.queries import graph, problem_sql, problems, views
 
 
 def queries() -> dict:
-    return {**problems.QUERIES}
+    return {**problems.QUERIES, **graph.QUERIES, **views.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problem_sql.SQL}
+    return {**problem_sql.SQL, **views.SQL}
