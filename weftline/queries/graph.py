@@ -64,19 +64,26 @@ def _least_fed(g: LineageGraph) -> DataFrame:
     return least.select(F.col("s.target_node").alias("node"), F.col("s.target_column").alias("column"))
 
 
+def _busiest(g: LineageGraph) -> DataFrame:
+    """The column that feeds most others, the least of several."""
+    counts = g.column_edges().groupBy("source_node", "source_column").agg(F.count("*").alias("n"))
+    most = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "source_node", "source_column")).alias("s"))
+    return most.select(F.col("s.source_node").alias("node"), F.col("s.source_column").alias("column"))
+
+
 def trace_column(spark, directory) -> DataFrame:
     g = _graph(spark, directory)
-    return trace.trace_column(g, _least_fed(g))
+    return trace.trace_column(g, _busiest(g))
 
 
 def trace_column_edges(spark, directory) -> DataFrame:
     g = _graph(spark, directory)
-    return trace.column_trace_edges(g, trace.trace_column(g, _least_fed(g)))
+    return trace.column_trace_edges(g, trace.trace_column(g, _busiest(g)))
 
 
 def trace_table(spark, directory) -> DataFrame:
     g = _graph(spark, directory)
-    return trace.trace_table(g, g.edges.agg(F.min("source_node").alias("node")))
+    return trace.trace_table(g, _busiest(g).select("node"))
 
 
 def trace_paths(spark, directory) -> DataFrame:
@@ -86,7 +93,7 @@ def trace_paths(spark, directory) -> DataFrame:
 
 def trace_chain(spark, directory) -> DataFrame:
     g = _graph(spark, directory)
-    return trace.ordered_chain(g, trace.trace_column(g, _least_fed(g)))
+    return trace.ordered_chain(g, trace.trace_column(g, _busiest(g)))
 
 
 def trace_origins(spark, directory) -> DataFrame:
@@ -177,9 +184,10 @@ def lineage_parse(spark, directory) -> DataFrame:
 
 
 def scan_upstream(spark, directory) -> DataFrame:
-    """A scan without limits from the least fed node, along the edges."""
+    """A scan without limits from the node with most sources, along the edges."""
     g = _graph(spark, directory)
-    target = g.edges.agg(F.min("target_node").alias("t")).collect()[0].t
+    fed = g.edges.groupBy("target_node").agg(F.countDistinct("source_node").alias("n"))
+    target = fed.agg(F.min(F.struct((-F.col("n")).alias("n"), "target_node")).alias("t")).select("t.target_node").collect()[0].target_node
     if target is None:
         return g.nodes.select("node_id", "status")
     refs = g.edges.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.queries import graph, problem_sql, problems, views
+from weftline.queries import graph, graph_sql, problem_sql, problems, views
 
 
 def queries() -> dict:
@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problem_sql.SQL, **views.SQL}
+    return {**problem_sql.SQL, **graph_sql.SQL, **views.SQL}
