@@ -11,6 +11,6 @@ os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH
 def spark():
     from weftline.session import local_session
 
-    session = local_session(4, "weftline-tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    session = local_session(4, "weftline-tests", spark__sql__shuffle__partitions="2", spark__driver__memory="4g")
     yield session
     session.stop()

@@ -150,4 +150,6 @@ def build_graph(
         "scan_config": {"target": config.target, "datasets": list(config.datasets), "depth": config.depth},
     }
     errors = outcome.where("outcome <> 'ok'").count()
-    return LineageGraph(statuses, cols, edges, maps, metadata=meta, parse_errors=errors)
+    parts = {"nodes": statuses, "columns": cols, "edges": edges, "mappings": maps}
+    # written once: graphs are built upon graphs, and plans must not grow with every step
+    return LineageGraph(*(scratch.cut(df, name) for name, df in parts.items()), metadata=meta, parse_errors=errors)

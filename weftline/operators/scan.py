@@ -51,7 +51,6 @@ def run_scan(nodes: DataFrame, refs: DataFrame, config: ScanConfig) -> ScanResul
     refs = scratch.cut(refs, "refs")
     datasets = list(config.datasets)
     empty = spark.createDataFrame([], "node_id string, ord array<bigint>, hops int, dataset string, message string")
-    errors: list[str] = []
     if config.target is not None:
         if len(config.target.split(".")) != 2:
             message = f"Invalid target format '{config.target}': expected 'dataset.table'"
@@ -114,12 +113,11 @@ def run_scan(nodes: DataFrame, refs: DataFrame, config: ScanConfig) -> ScanResul
         return df.select(*(made.get(c, none).alias(c) for c in nodes.columns))
 
     lost = F.concat(F.lit("Node "), F.col("node_id"), F.lit(" not found"))
+    missing = scratch.cut(missing, "missing")
     out = real.unionByName(stub(cut_off, "truncated", "unknown", F.col("message")))
     out = out.unionByName(stub(missing, "error", "unknown", lost))
     said = missing.select(F.lit(0).alias("ord"), lost.alias("message"))
-    for e in errors:
-        said = said.unionByName(spark.createDataFrame([(0, e)], "ord int, message string"))
-    return ScanResult(out, said)
+    return ScanResult(scratch.cut(out, "scanned"), said)
 
 
 def _within(refs: DataFrame, depth: int | None) -> tuple[DataFrame, DataFrame]:
