@@ -208,9 +208,10 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text.isascii():
                 counts.update(wide_words(text))
         if len(counts) > FLUSH:
-            yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+            yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
             counts.clear()
-    yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())}, columns=["word", "n"])
+    if counts:
+        yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
 
 
 def _count_pairs(left_out: Callable[[list[str]], list[bool]]):
@@ -249,7 +250,9 @@ def _model(words: DataFrame, left_out: Callable[[list[str]], list[bool]]) -> Pai
 
 def _without_plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch[[not _plain(w) for w in batch.word]]
+        kept = [(w, n) for w, n in zip(batch.word, batch.n, strict=True) if not _plain(w)]
+        if kept:
+            yield pd.DataFrame(kept, columns=["word", "n"])
 
 
 def fit_pairs(texts: DataFrame) -> PairModel:

@@ -51,6 +51,7 @@ def with_sizes(documents: DataFrame, keep: list[str], path: str = RANKS) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = [n_tokens(t, path) for t in batch["text"]]
-            yield batch[keep].assign(n_tokens=pd.array(sizes, "int64"))
+            if sizes:
+                yield batch[keep].assign(n_tokens=pd.array(sizes, "int64"))
 
     return documents.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, f"{kinds}, n_tokens bigint")
