@@ -23,30 +23,26 @@ def topological_order(nodes: DataFrame, deps: DataFrame, scratch: Scratch) -> Da
     own = own.join(nodes.select("node_id"), "node_id", "left_semi")
     own = scratch.cut(own.join(nodes.select(F.col("node_id").alias("dep")), "dep", "left_semi").select("node_id", "dep"), "deps")
     left = scratch.cut(nodes.select("node_id", "ord"), "left")
-    placed: list[DataFrame] = []
+    paths: list[str] = []
     ready = left.join(own.select("node_id").distinct(), "node_id", "left_anti").withColumn("last", F.lit(-1).cast("bigint"))
     while True:
         level = ready.orderBy("last", "ord", "node_id").select("node_id", "ord").withColumn("seq", F.monotonically_increasing_id())
-        level = scratch.cut(level, "level")
-        if level.isEmpty():
+        level = level.withColumn("level", F.lit(len(paths)).cast("bigint"))
+        paths.append(scratch.write(level, "level"))
+        last = scratch.read(paths[-1:], level.schema)
+        done = scratch.read(paths, level.schema)
+        if last.isEmpty():
             break
-        placed.append(level.withColumn("level", F.lit(len(placed)).cast("bigint")))
-        done = placed[0].select("node_id", "level", "seq")
-        for more in placed[1:]:
-            done = done.unionByName(more.select("node_id", "level", "seq"))
-        left = scratch.cut(left.join(level.select("node_id"), "node_id", "left_anti"), "left")
+        left = scratch.cut(left.join(last.select("node_id"), "node_id", "left_anti"), "left")
         waiting = own.join(left.select("node_id"), "node_id", "left_semi").join(
-            done.withColumnRenamed("node_id", "dep"), "dep", "left"
+            done.select(F.col("node_id").alias("dep"), "level", "seq"), "dep", "left"
         )
         free = waiting.groupBy("node_id").agg(
             F.max(F.col("seq").isNull()).alias("blocked"), F.max(F.struct("level", "seq")).alias("after")
         )
         ready = left.join(free.where("not blocked"), "node_id").select("node_id", "ord", F.col("after.seq").alias("last"))
     rest = left.select("node_id", F.lit(-1).cast("bigint").alias("level"), F.col("ord").cast("bigint").alias("place"))
-    out = rest
-    for level in placed:
-        out = out.unionByName(level.select("node_id", "level", F.col("seq").alias("place")))
-    return out
+    return rest.unionByName(done.select("node_id", "level", F.col("seq").alias("place")))
 
 
 def graph_stats(graph: LineageGraph) -> DataFrame:

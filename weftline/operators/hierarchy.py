@@ -74,31 +74,28 @@ class Hierarchy:
         if with_paths:
             start = start.join(self.names, start.node == self.names.h).select("root", "node", F.array("id").alias("path"))
             names = self.names.select(F.col("h").alias("dst"), "id")
-        kept = [self.scratch.cut(start, "level")]
-        while not kept[-1].isEmpty():
-            frontier = kept[-1].withColumnRenamed("node", "src")
+        # levels are read together by one scan, and depths count up from the level before, so that
+        # every round has the same plan
+        level = start.withColumn("depth", F.lit(0).cast("bigint"))
+        schema, paths = level.schema, [self.scratch.write(level, "level")]
+        while not (last := self.scratch.read(paths[-1:], schema)).isEmpty():
+            frontier = last.select("root", F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"), *path)
             found = self._step(frontier)
             if with_paths:
                 found = found.join(names, "dst").withColumn("path", F.concat("path", F.array("id")))
-                found = found.groupBy("root", "dst").agg(F.min("path").alias("path"))
+                found = found.groupBy("root", "dst", "depth").agg(F.min("path").alias("path"))
             else:
-                found = found.select("root", "dst").distinct()
-            seen = kept[0].select("root", "node")
-            for level in kept[1:]:
-                seen = seen.unionByName(level.select("root", "node"))
+                found = found.select("root", "dst", "depth").distinct()
+            seen = self.scratch.read(paths, schema).select("root", "node")
             fresh = found.withColumnRenamed("dst", "node").join(seen, ["root", "node"], "left_anti")
-            kept.append(self.scratch.cut(fresh.select("root", "node", *path), "level"))
-        out = None
-        for depth, level in enumerate(kept[:-1] or kept):
-            level = level.withColumn("depth", F.lit(depth).cast("bigint"))
-            out = level if out is None else out.unionByName(level)
-        return out
+            paths.append(self.scratch.write(fresh.select("root", "node", *path, "depth"), "level"))
+        return self.scratch.read(paths, schema)
 
     def _trimmed(self, links: DataFrame) -> DataFrame:
         """Links on or between cycles: ends without links in or without links out go, again and again."""
         left = links.count()
         while left:
-            ins, outs = links.select(F.col("dst").alias("src")).distinct(), links.select(F.col("src").alias("dst")).distinct()
+            ins, outs = links.select(F.col("dst").alias("src")), links.select(F.col("src").alias("dst"))
             inner = links.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst")
             links = self.scratch.cut(inner, "trim")
             now = links.count()

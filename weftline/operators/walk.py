@@ -29,18 +29,17 @@ def walk(start: DataFrame, step: Step, keys: list[str], scratch: Scratch, order:
         best = F.min(F.struct(*rest, *[c for c in others if c not in rest])).alias("best")
         return df.groupBy(*keys).agg(best).select(*(F.col(c) if c in keys else F.col(f"best.{c}").alias(c) for c in cols))
 
-    levels = [scratch.cut(once(start), "level")]
-    while not levels[-1].isEmpty() and (limit is None or len(levels) <= limit):
-        seen = levels[0].select(*keys)
-        for level in levels[1:]:
-            seen = seen.unionByName(level.select(*keys))
-        fresh = once(step(levels[-1]).select(*cols)).join(seen, keys, "left_anti")
-        levels.append(scratch.cut(fresh.select(*cols), "level"))
-    out = None
-    for depth, level in enumerate(levels):
-        level = level.withColumn("depth", F.lit(depth).cast("bigint"))
-        out = level if out is None else out.unionByName(level)
-    return out
+    # levels are read together by one scan, so plans stay the same size
+    level = once(start).withColumn("depth", F.lit(0).cast("bigint"))
+    schema, paths = level.schema, [scratch.write(level, "level")]
+    while limit is None or len(paths) <= limit:
+        last = scratch.read(paths[-1:], schema)
+        if last.isEmpty():
+            break
+        seen = scratch.read(paths, schema).select(*keys)
+        fresh = once(step(last.select(*cols)).select(*cols)).join(seen, keys, "left_anti")
+        paths.append(scratch.write(fresh.select(*cols, F.lit(len(paths)).cast("bigint").alias("depth")), "level"))
+    return scratch.read(paths, schema)
 
 
 def closure(links: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -61,10 +62,17 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return the written table."""
+        return self.read([self.write(df, name)], df.schema)
+
+    def write(self, df: DataFrame, name: str = "t") -> str:
         self._n += 1
         path = self.path(f"{name}-{self._n}")
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path
+
+    def read(self, paths: list[str], schema: StructType) -> DataFrame:
+        """Several written tables of one schema by a single scan, however many they are."""
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def drop(self, part: str = "") -> None:
         """Delete the whole area, or one table of it."""
