@@ -42,6 +42,8 @@ SEGMENT = 1.5
 GAIN_UTF8, GAIN = 0.5, 2.5
 #: A run restored to another encoding than UTF-8 must reach this mean score.
 SOUND = 0.0
+#: Encodings that pages were hardly ever written in; readings in them need this much more.
+LEGACY, LEGACY_GAIN = frozenset({"mac-roman", "cp437", "cp850", "gb18030"}), 2.0
 TOKEN = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f][^ \t\r\n\f\v]*")
 RUN = re.compile(r"[^\x00-\x7f]+")
 STOPS = ".!?\n。！？"
@@ -66,10 +68,15 @@ LIKELIER = 1.0
 ENOUGH = 5.0
 
 
+def lowered(text: str) -> str:
+    """Lower case of equal length: the one letter that becomes two is read as its plain form."""
+    low = text.replace("İ", "I").lower()
+    return low if len(low) == len(text) else text
+
+
 def folded(text: str) -> np.ndarray:
     """Code points for pair scores: lower case, blanks as one kind, digits as one kind."""
-    low = text.lower()
-    points = code_points(low if len(low) == len(text) else text).copy()
+    points = code_points(lowered(text)).copy()
     points[(points == 9) | (points == 10) | (points == 13) | (points == 0xA0)] = 32
     points[(points >= 48) & (points <= 57)] = 48
     return points
@@ -366,8 +373,9 @@ class Restorer:
         """Other readings of a run that use known characters only, and the mappings that give them."""
         forms: dict[str, tuple[str, ...]] = {}
         first, last = ord(run[0]), ord(run[-1])
+        east = max(run) > "\u2e7f"  # marks alone do not make a double-byte text
         for read_as in (*SINGLE, *DOUBLE):
-            if read_as in DOUBLE or first in byte_of(read_as) and last in byte_of(read_as):
+            if read_as in DOUBLE and east or first in byte_of(read_as) and last in byte_of(read_as):
                 data = to_bytes(run, read_as)
             else:
                 data = None
@@ -380,7 +388,7 @@ class Restorer:
                 text, how = to_text(data, written_as, loose=utf8), (read_as, written_as)
                 while utf8 and text and (deeper := utf8_inside(text)):
                     text, how = deeper, (*how, "again")
-                if text and text != run and self.known.issuperset(text.lower()) and (
+                if text and text != run and self.known.issuperset(lowered(text)) and (
                     text not in forms or utf8 and forms[text][1] != "utf-8"
                 ):
                     forms[text] = how
@@ -402,8 +410,9 @@ class Restorer:
         out = []
         for i, (text, how) in enumerate(forms.items(), 1):
             gain, more = scores[i] - scores[0], likely[i] - likely[0]
+            need = GAIN + LEGACY_GAIN if how[1] in LEGACY else GAIN
             sure = how[1] == "utf-8" or how[1] in ("euc_jp", "shift_jis") and kana_share(text) >= KANA
-            if gain >= (GAIN_UTF8 if sure else GAIN) and (sure or scores[i] >= SOUND and more >= LIKELIER):
+            if gain >= (GAIN_UTF8 if sure else need) and (sure or scores[i] >= SOUND and more >= LIKELIER):
                 out.append(Candidate(float(gain) + 2.0 * sure, run, text, how))
         return out
 
@@ -412,9 +421,10 @@ class Restorer:
         model, out = self.model, [False] * len(words)
         rare = model.word_sums(words, lambda points, near: model.pairs[cells_of(points)] < RARE_PAIR * model.total)
         for i in np.flatnonzero(rare):
-            if kana_share(words[i]) < KANA and (forms := list(self._forms(words[i]))):
+            if kana_share(words[i]) < KANA and (forms := self._forms(words[i])):
                 likely = model.likelihoods([words[i], *forms])
-                out[i] = bool((likely[1:] - likely[0]).max() >= ELSEWHERE)
+                need = np.array([ELSEWHERE + LEGACY_GAIN * (how[1] in LEGACY) for how in forms.values()])
+                out[i] = bool((likely[1:] - likely[0] >= need).any())
         return out
 
 
@@ -486,7 +496,7 @@ def _also(text: str, restorer: Restorer, known: list, how: tuple[str, ...]) -> l
         token = m.group()
         data = None if m.start() in done else to_bytes(token, how[0])
         good = data and to_text(data, how[1])
-        if good and good != token and restorer.known.issuperset(good.lower()):
+        if good and good != token and restorer.known.issuperset(lowered(good)):
             now, was = restorer.model.means([good, token])
             if now > was + GAIN_UTF8:
                 out.append((m, [Candidate(0.0, token, good, how)]))
