@@ -30,6 +30,8 @@ from weftline.session import Scratch
 CELLS = 1 << 21
 #: Share of all characters below which a character's own frequency is not counted as rarer.
 FLOOR = 1e-4
+#: Sightings that every pair needs beside those expected by chance.
+FEW = 4.0
 #: Share of its expected count that a pair never seen is taken to have, and the range of scores.
 DISCOUNT, LEAST, MOST = 0.02, -6.0, 4.0
 #: A restored run may hold no character rarer than this.
@@ -59,8 +61,8 @@ ALL_WRITTEN = ("utf-8", *WRITTEN)
 BLANKS = "\t\r\n\f\v"
 #: Share of kana from which a run's Japanese reading needs no more evidence than UTF-8.
 KANA = 0.2
-#: A word is left out of the second counts if another reading's pairs are e**ELSEWHERE times as common;
-#: words are tested whose rarest pair has less than this share.
+#: A word may be left out of the second counts if another reading's pairs are e**ELSEWHERE times as
+#: common; words are tested whose rarest pair has less than this share.
 ELSEWHERE, RARE_PAIR = 2.5, 3e-5
 #: A restored run's pairs must be e**LIKELIER times as common as the run's own.
 LIKELIER = 1.0
@@ -102,12 +104,13 @@ class PairModel:
     def scores(self, points: np.ndarray) -> np.ndarray:
         """One score for each adjacent pair: the log of its count over the count expected by chance.
 
-        One more is expected than by chance alone, so a few sightings of rare characters prove
-        little; a pair never seen counts as DISCOUNT of the expectation.
+        FEW more are expected than by chance alone, so that some sightings of rare characters, such as
+        one damaged word in a few copies of a page, prove nothing; a pair never seen counts as DISCOUNT
+        of the expectation.
         """
         single = self.share[points]
         expected = single[:-1] * single[1:] * self.total
-        ratio = (self.pairs[cells_of(points)] + DISCOUNT * expected) / (expected + 1.0)
+        ratio = (self.pairs[cells_of(points)] + DISCOUNT * expected) / (expected + FEW)
         return np.clip(np.log(np.maximum(ratio, 1e-9)), LEAST, MOST)
 
     def means(self, texts: list[str]) -> np.ndarray:
@@ -221,33 +224,27 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
 
 
-def _count_pairs(left_out: Callable[[list[str]], list[bool]]):
+def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sparse pair counts (kind 0) and character counts (kind 1) of a partition of words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, chars = np.zeros(CELLS, np.int64), np.zeros(0x110000, np.int64)
-        for batch in batches:
-            out = left_out(batch.word.tolist())
-            kept = [(w, n) for w, n, bad in zip(batch.word, batch.n, out, strict=True) if not bad]
-            if not kept:
-                continue
-            points = [folded(f" {w} ") for w, _ in kept]
-            weights = np.repeat([n for _, n in kept], [len(p) for p in points])
-            points = np.concatenate(points)
-            np.add.at(chars, points, weights)
-            wide = points > 127
-            near = np.flatnonzero(wide[:-1] | wide[1:])
-            np.add.at(pairs, cells_of(points)[near], weights[near])
-        for kind, table in ((0, pairs), (1, chars)):
-            at = np.flatnonzero(table)
-            yield pd.DataFrame({"kind": np.full(len(at), kind, np.int32), "cell": at, "n": table[at]})
-
-    return run
+    pairs, chars = np.zeros(CELLS, np.int64), np.zeros(0x110000, np.int64)
+    for batch in batches:
+        if not len(batch):
+            continue
+        points = [folded(f" {w} ") for w in batch.word]
+        weights = np.repeat(batch.n.to_numpy(), [len(p) for p in points])
+        flat = np.concatenate(points)
+        np.add.at(chars, flat, weights)
+        wide = flat > 127
+        near = np.flatnonzero(wide[:-1] | wide[1:])
+        np.add.at(pairs, cells_of(flat)[near], weights[near])
+    for kind, table in ((0, pairs), (1, chars)):
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"kind": np.full(len(at), kind, np.int32), "cell": at, "n": table[at]})
 
 
-def _model(words: DataFrame, left_out: Callable[[list[str]], list[bool]]) -> PairModel:
+def _model(words: DataFrame) -> PairModel:
     """At most CELLS + 0x110000 sums come to the driver, whatever the corpus."""
-    sums = words.mapInPandas(_count_pairs(left_out), STATS).groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
+    sums = words.mapInPandas(_count_pairs, STATS).groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
     pairs, chars = np.zeros(CELLS, np.float32), np.zeros(0x110000, np.float32)
     for kind, table in ((0, pairs), (1, chars)):
         part = sums[sums.kind == kind]
@@ -263,19 +260,23 @@ def _without_plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit_pairs(texts: DataFrame) -> PairModel:
-    """Pair statistics of all texts, counted twice: the second time without words found better elsewhere."""
+    """Pair statistics of all texts, counted twice: the second time without words that another reading
+    turns into far likelier ones which the corpus holds, too."""
     spark = texts.sparkSession
     scratch = Scratch(spark, "pairs")
     words = texts.select("text").where("text is not null").mapInPandas(_count_words, WORDS)
     words = words.groupBy("word").agg(F.sum("n").alias("n")).mapInPandas(_without_plain, WORDS)
     words = scratch.cut(words, "words")
-    first = spark.sparkContext.broadcast(_model(words, lambda batch: [False] * len(batch)))
+    first = spark.sparkContext.broadcast(_model(words))
 
-    def left_out(batch: list[str]) -> list[bool]:
+    def readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(first.value)
-        return restorer.elsewhere(batch)
+        for batch in batches:
+            yield pd.DataFrame(restorer.elsewhere(batch.word.tolist()) if len(batch) else [], columns=["old", "word"])
 
-    return _model(words, left_out)
+    other = words.mapInPandas(readings, "old string, word string")
+    damaged = other.join(words.select("word"), "word", "left_semi").select(F.col("old").alias("word")).distinct()
+    return _model(words.join(damaged, "word", "left_anti"))
 
 
 def segments(gains: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -416,15 +417,14 @@ class Restorer:
                 out.append(Candidate(float(gain) + 2.0 * sure, run, text, how))
         return out
 
-    def elsewhere(self, words: list[str]) -> list[bool]:
-        """Whether another reading of each word has pairs far more common than its own, by counts alone."""
-        model, out = self.model, [False] * len(words)
+    def elsewhere(self, words: list[str]) -> list[tuple[str, str]]:
+        """(word, other reading) wherever the reading's pairs are far more common than the word's own."""
+        model, out = self.model, []
         rare = model.word_sums(words, lambda points, near: model.pairs[cells_of(points)] < RARE_PAIR * model.total)
         for i in np.flatnonzero(rare):
             if kana_share(words[i]) < KANA and (forms := self._forms(words[i])):
                 likely = model.likelihoods([words[i], *forms])
-                need = np.array([ELSEWHERE + LEGACY_GAIN * (how[1] in LEGACY) for how in forms.values()])
-                out[i] = bool((likely[1:] - likely[0] >= need).any())
+                out += [(words[i], f) for f, gain in zip(forms, likely[1:] - likely[0], strict=True) if gain >= ELSEWHERE]
         return out
 
 
