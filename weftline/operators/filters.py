@@ -22,10 +22,9 @@ def node_depths(graph: LineageGraph) -> DataFrame:
     nodes = graph.nodes.select("node_id", F.xxhash64("node_id").alias("ord"))
     deps = graph.edges.select(F.col("target_node").alias("node_id"), F.col("source_node").alias("dep")).where("node_id is not null and dep is not null")
     levels = scratch.cut(topological_order(nodes, deps, scratch), "levels")
-    most = levels.agg(F.greatest(F.max("level"), F.lit(0)).alias("most"))
-    return levels.crossJoin(F.broadcast(most)).select(
-        "node_id", (F.col("most") - F.greatest("level", F.lit(0))).alias("depth"), (F.col("level") < 0).alias("on_cycle")
-    )
+    most = max(levels.agg(F.max("level")).collect()[0][0] or 0, 0)
+    depth = F.lit(most).cast("bigint") - F.greatest("level", F.lit(0))
+    return levels.select("node_id", depth.alias("depth"), (F.col("level") < 0).alias("on_cycle"))
 
 
 def distinct_values(graph: LineageGraph) -> DataFrame:

@@ -64,8 +64,8 @@ def graph_stats(graph: LineageGraph) -> DataFrame:
         F.coalesce(F.sum("terminal"), F.lit(0)).alias("terminal_nodes"),
         F.coalesce(F.sum("truncated"), F.lit(0)).alias("truncated_nodes"),
     )
-    edges = graph.edges.agg(F.count("*").alias("total_edges"))
-    return totals.crossJoin(F.broadcast(edges)).withColumn("parse_errors", F.lit(graph.parse_errors).cast("bigint"))
+    counts = {"total_edges": graph.edges.count(), "parse_errors": graph.parse_errors}
+    return totals.withColumns({name: F.lit(n).cast("bigint") for name, n in counts.items()})
 
 
 def column_status(columns: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.skew import MAX_HEAVY, heavy_keys
+from weftline.operators.skew import MAX_HEAVY, heavy_keys, total_of
 from weftline.session import Scratch
 from weftline.sources.tables import named_id, newest, scan_order
 
@@ -106,8 +106,7 @@ def find_orphans(
     orphans = orphan_keys(refs, held, shared, scratch)
     kinds = scratch.cut(orphan_kinds(orphans, held, order), "kinds")
     # back to the referring rows: keys used by more than 1/MAX_HEAVY of them are few and go by broadcast
-    total = kinds.agg(F.sum("n").alias("total"))
-    marked = kinds.crossJoin(F.broadcast(total)).withColumn("hot", F.col("n") * MAX_HEAVY > F.col("total"))
+    marked = kinds.withColumn("hot", F.col("n") * MAX_HEAVY > F.lit(total_of(kinds, "n")))
     keys = marked.select(*KEY, "kind", "hot")
     hot = refs.join(F.broadcast(keys.where("hot")), KEY)
     rest = refs.join(keys.where("not hot"), KEY)

@@ -15,13 +15,13 @@ def heavy_keys(counts: DataFrame, keys: list[str], count: str = "n", parts: int
     There are fewer than ``parts`` such keys whatever the data, which is the size bound for
     broadcasting them.  ``counts`` holds pre-aggregated rows; keys may repeat.
     """
-    total = counts.agg(F.sum(count).alias("__total"))
     per_key = counts.groupBy(*keys).agg(F.sum(count).alias("__n"))
-    return (
-        per_key.crossJoin(F.broadcast(total))  # the total is a single row
-        .where(F.col("__n") * parts > F.col("__total"))
-        .select(*keys)
-    )
+    return per_key.where(F.col("__n") * parts > F.lit(total_of(counts, count))).select(*keys)
+
+
+def total_of(df: DataFrame, column: str) -> int:
+    """The sum of a column of a written table; 0 if it has no rows."""
+    return df.agg(F.sum(column)).collect()[0][0] or 0
 
 
 def salted(df: DataFrame, heavy: DataFrame, key: str, by: str, salts: int) -> DataFrame:
