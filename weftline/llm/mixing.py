@@ -192,8 +192,8 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"),
         F.max("copies").alias("most_copies"),
     )
-    total = used.agg(F.sum("used_tokens").alias("total"))
-    out = targets.join(used, "source", "left").crossJoin(F.broadcast(total))  # the total is a single row
+    total = used.agg(F.sum("used_tokens")).collect()[0][0] or 1
+    out = targets.join(used, "source", "left")
     zero = F.lit(0).cast("bigint")
     return out.select(
         "source",
@@ -201,6 +201,6 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         "max_repeats",
         F.coalesce("available_tokens", zero).alias("available_tokens"),
         F.coalesce("used_tokens", zero).alias("used_tokens"),
-        F.coalesce(F.col("used_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.col("used_tokens") / F.lit(total), F.lit(0.0)).alias("actual_share"),
         F.coalesce("most_copies", zero).alias("most_copies"),
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.hashing import Windows, winnow
-from weftline.operators.skew import MAX_HEAVY
+from weftline.operators.skew import MAX_HEAVY, total_of
 from weftline.session import Scratch
 
 PROBE = 64
@@ -89,8 +89,7 @@ def _in_several(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """
     found = rows.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("k"))
     found = scratch.cut(found.where("x <> y").select("h", "k"), "several")
-    total = found.agg(F.sum("k").alias("total"))
-    marked = found.crossJoin(F.broadcast(total)).withColumn("hot", F.col("k") * MAX_HEAVY > F.col("total"))
+    marked = found.withColumn("hot", F.col("k") * MAX_HEAVY > F.lit(total_of(found, "k")))
     hot = rows.join(F.broadcast(marked.where("hot").select("h")), "h", "left_semi")
     rest = rows.join(marked.where("not hot").select("h"), "h", "left_semi")
     return hot.unionByName(rest)
