@@ -57,6 +57,7 @@ LOST = "�"
 EDGE = "“”„‘’‚«»‹›–—…·¿¡ "
 MEMO = 400_000
 CHUNK = 20_000
+EASTERN = frozenset({"utf-8", "shift_jis", "euc_jp", "gb18030"})
 ALL_WRITTEN = ("utf-8", *WRITTEN)
 BLANKS = "\t\r\n\f\v"
 #: Share of kana from which a run's Japanese reading needs no more evidence than UTF-8.
@@ -373,6 +374,8 @@ class Restorer:
     def _forms(self, run: str, written: tuple[str, ...] = ALL_WRITTEN) -> dict[str, tuple[str, ...]]:
         """Other readings of a run that use known characters only, and the mappings that give them."""
         forms: dict[str, tuple[str, ...]] = {}
+        if kana_share(run) >= KANA:  # no single-byte text reads as kana
+            written = tuple(w for w in written if w in EASTERN)
         first, last = ord(run[0]), ord(run[-1])
         east = max(run) > "\u2e7f"  # marks alone do not make a double-byte text
         for read_as in (*SINGLE, *DOUBLE):
