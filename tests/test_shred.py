@@ -1,6 +1,6 @@
 import json
 
-from weftline.operators.shred import SAVED_GRAPH, Shredder, complete_json, export_items, flatten_exports
+from weftline.operators.shred import SAVED_GRAPH, TABLES, Shredder, complete_json, export_items, flat_table, flatten_exports
 
 GRAPH = {
     "nodes": {
@@ -54,3 +54,33 @@ def test_levels_of_a_record():
 def test_complete_json():
     assert complete_json('{"a": 1} ')[0] and not complete_json('{"a": 1')[0]
     assert not complete_json("[NaN]")[0] and not complete_json("[" * 100_000)[0] and not complete_json(None)[0]
+
+
+def test_whole_tables(spark):
+    config = {"target": "d.b", "datasets": ["d", "e"], "depth": 2}
+    graph = {
+        "metadata": {"project_id": "p", "generated_at": "now", "scan_config": config, "scan_stats": {"total_nodes": 2, "nodes_by_type": {"view": 1}}},
+        "nodes": {
+            "d.a": {"type": "table", "dataset": "d", "name": "a", "source": "s", "status": "ok", "columns": [{"name": "x", "data_type": "INT64"}]},
+            "d.b": {"type": "view", "sql": "SELECT 1", "description": None, "status_message": "m", "columns": [{"lineage_status": "resolved"}, {"name": "z"}]},
+        },
+        "edges": [
+            {"id": "e1", "source_node": "d.a", "target_node": "d.b", "edge_type": "manual", "column_mappings": None},
+            {"id": "e2", "description": "w", "column_mappings": [{"target_column": "z", "transformation": "direct", "expression": "x", "description": "y", "source_columns": "x"}, {"source_columns": ["p", "q"]}]},
+        ],
+        "prune_points": ["d.a"],
+    }
+    df = spark.createDataFrame([(1, "{}"), (7, json.dumps(graph)), (7, json.dumps(graph)), (8, json.dumps(graph)[:-1]), (9, None)], "export_id bigint, payload string")
+    got = {t: sorted(tuple(r) for r in flat_table(df, t).where("export_id = 7").collect()) for t in TABLES}
+    none = (None,) * 4
+    assert got == {
+        "metadata": [(7, "p", "now", None, "d.b", "2", "2", None, '{"view":1}', *none)],
+        "datasets": [(7, 0, "d"), (7, 1, "e")],
+        "nodes": [(7, 0, "d.a", "table", "d", "a", "s", None, None, "ok", None), (7, 1, "d.b", "view", None, None, None, "SELECT 1", None, None, "m")],
+        "columns": [(7, "d.a", 0, 0, "x", "INT64", None), (7, "d.b", 1, 0, None, None, "resolved"), (7, "d.b", 1, 1, "z", None, None)],
+        "edges": [(7, 0, "e1", "d.a", "d.b", "manual", None), (7, 1, "e2", None, None, None, "w")],
+        "mappings": [(7, "e2", 1, 0, "z", "direct", "x", "y"), (7, "e2", 1, 1, *none)],
+        "source_columns": [(7, "e2", 1, 0, 0, "x"), (7, "e2", 1, 1, 0, "p"), (7, "e2", 1, 1, 1, "q")],
+        "prune_points": [(7, 0, "d.a")],
+    }
+    assert {t: flat_table(df, t).where("export_id <> 7").count() for t in TABLES} == {t: int(t == "metadata") for t in TABLES}

@@ -35,8 +35,21 @@ class Leaf:
     repeated: bool = False
 
 
-#: The saved graph: nodes with columns, edges with mappings with source columns.
+#: The saved graph: metadata, nodes with columns, edges with mappings with source columns, prune points.
 SAVED_GRAPH = (
+    Group(
+        "metadata",
+        (
+            *map(Leaf, ("project_id", "generated_at", "description")),
+            Group("scan_config", (Leaf("target"), Leaf("datasets", repeated=True), Leaf("depth")), repeated=False),
+            Group(
+                "scan_stats",
+                tuple(map(Leaf, ("total_nodes", "total_edges", "nodes_by_type", "orphan_nodes", "terminal_nodes", "truncated_nodes", "parse_errors"))),
+                repeated=False,
+            ),
+        ),
+        repeated=False,
+    ),
     Group(
         "nodes",
         (
@@ -59,6 +72,7 @@ SAVED_GRAPH = (
         ),
         key="id",
     ),
+    Leaf("prune_points", repeated=True),
 )
 
 
@@ -100,16 +114,19 @@ class Shredder:
     def __init__(self, schema: tuple[Group | Leaf, ...]):
         self.schema = schema
         self.columns: dict[str, Column] = {}
-        self._declare(schema, "", [], 0)
+        self.leaves: dict[str, list[str]] = {}  # by the path of the last repeated ancestor, "" for the record
+        self._declare(schema, "", [], 0, "")
 
-    def _declare(self, shapes: tuple, path: str, tops: list[int], level: int) -> None:
+    def _declare(self, shapes: tuple, path: str, tops: list[int], level: int, above: str) -> None:
         for s in shapes:
             own = [*tops, level + 1] if s.repeated else tops
             name = f"{path}{s.name}"
+            under = name if s.repeated else above
             if isinstance(s, Leaf):
                 self.columns[name] = Column(own, level + 1 + s.repeated)
+                self.leaves.setdefault(under, []).append(name)
             else:
-                self._declare(s.children, f"{name}.", own, level + 1)
+                self._declare(s.children, f"{name}.", own, level + 1, under)
 
     def write(self, record: object) -> None:
         self._write(record if isinstance(record, dict) else {}, self.schema, "", 0, 0, 0)
@@ -161,6 +178,15 @@ class Shredder:
         there = defs >= (c.tops[-1] if c.tops else 0)
         return record[there], [p[there] for p in places], values[there]
 
+    def table(self, above: str) -> tuple[np.ndarray, list[np.ndarray], dict[str, np.ndarray]]:
+        """(record number, place in each repeated ancestor, values by leaf) of each item of a repeated ancestor.
+
+        Every leaf under the ancestor has an entry for each of its items, in the same order.
+        """
+        found = {leaf: self.read(leaf) for leaf in self.leaves[above]}
+        record, places, _ = next(iter(found.values()))
+        return record, places, {leaf: values for leaf, (_, _, values) in found.items()}
+
 
 def complete_json(text: str | None) -> tuple[bool, object]:
     """Whether the text is one complete JSON value, and the value."""
@@ -186,7 +212,8 @@ FLAT = "export_id bigint, entry string, owner_id string, owner_pos bigint, pos b
 BATCH = 64
 
 
-def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shredded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, Shredder]]:
+    """(export ids by record number, shredder) of some complete payloads at a time."""
     for batch in batches:
         for start in range(0, len(batch), BATCH):
             part = batch.iloc[start : start + BATCH]
@@ -196,25 +223,84 @@ def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shredder = Shredder(SAVED_GRAPH)
             for _, value in good:
                 shredder.write(value)
-            exports = np.array([e for e, _ in good], object)
-            for entry, (owner, leaf, names) in ENTRIES.items():
-                own_record, own_places, own_ids = shredder.read(owner)
-                record, places, values = shredder.read(leaf)
-                # the owner's id is found by its record and place: both columns list owners in order
-                first = np.searchsorted(own_record, record) + places[0]
-                at = dict(zip(names if names[0] == "owner" else ("owner", *names[1:]), places, strict=True))
-                none = np.full(len(record), -1, np.int64)
-                yield pd.DataFrame(
-                    {
-                        "export_id": exports[record],
-                        "entry": entry,
-                        "owner_id": own_ids[first],
-                        "owner_pos": at["owner"],
-                        "pos": at.get("pos", none),
-                        "src_pos": at.get("src_pos", none),
-                        "item": values,
-                    }
-                ).astype({"export_id": "Int64"})
+            yield np.array([e for e, _ in good], object), shredder
+
+
+def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for exports, shredder in _shredded(batches):
+        for entry, (owner, leaf, names) in ENTRIES.items():
+            own_record, own_places, own_ids = shredder.read(owner)
+            record, places, values = shredder.read(leaf)
+            # the owner's id is found by its record and place: both columns list owners in order
+            first = np.searchsorted(own_record, record) + places[0]
+            at = dict(zip(names if names[0] == "owner" else ("owner", *names[1:]), places, strict=True))
+            none = np.full(len(record), -1, np.int64)
+            yield pd.DataFrame(
+                {
+                    "export_id": exports[record],
+                    "entry": entry,
+                    "owner_id": own_ids[first],
+                    "owner_pos": at["owner"],
+                    "pos": at.get("pos", none),
+                    "src_pos": at.get("src_pos", none),
+                    "item": values,
+                }
+            ).astype({"export_id": "Int64"})
+
+
+@dataclass(frozen=True)
+class Flat:
+    """A flat table: all leaves under one repeated ancestor, with ``places`` in it and those around it."""
+
+    above: str
+    places: tuple[str, ...] = ()
+    owner: tuple[str, str] | None = None  # name and leaf of the outermost ancestor's key, if that is another
+
+    def fields(self) -> dict[str, str]:
+        """Leaf by column name."""
+        leaves = Shredder(SAVED_GRAPH).leaves[self.above]
+        if leaves == [self.above]:
+            return {"item": self.above}
+        return {leaf.removeprefix(f"{self.above or 'metadata'}.").replace(".", "_"): leaf for leaf in leaves}
+
+    def schema(self) -> str:
+        owner = [f"{self.owner[0]} string"] if self.owner else []
+        return ", ".join(["export_id bigint", *owner, *(f"{p} bigint" for p in self.places), *(f"{f} string" for f in self.fields())])
+
+
+TABLES = {
+    "metadata": Flat(""),
+    "datasets": Flat("metadata.scan_config.datasets", ("pos",)),
+    "nodes": Flat("nodes", ("pos",)),
+    "columns": Flat("nodes.columns", ("node_pos", "pos"), ("node_id", "nodes.id")),
+    "edges": Flat("edges", ("pos",)),
+    "mappings": Flat("edges.column_mappings", ("edge_pos", "pos"), ("edge_id", "edges.id")),
+    "source_columns": Flat("edges.column_mappings.source_columns", ("edge_pos", "mapping_pos", "pos"), ("edge_id", "edges.id")),
+    "prune_points": Flat("prune_points", ("pos",)),
+}
+
+
+def flat_table(graph_exports: DataFrame, name: str) -> DataFrame:
+    """One of :data:`TABLES` whole: (export_id, owner's id, places, all fields), values as text.
+
+    The owner's id and place lead to the node or edge, ``mapping_pos`` to the mapping.  Fields of
+    other kinds than text are JSON text.  Otherwise as :func:`flatten_exports`.
+    """
+    flat = TABLES[name]
+    fields = flat.fields()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for exports, shredder in _shredded(batches):
+            record, places, values = shredder.table(flat.above)
+            out = {"export_id": exports[record]}
+            if flat.owner:
+                own_record, _, own_ids = shredder.read(flat.owner[1])
+                out[flat.owner[0]] = own_ids[np.searchsorted(own_record, record) + places[0]]
+            out |= dict(zip(flat.places, places, strict=True))
+            yield pd.DataFrame(out | {f: values[leaf] for f, leaf in fields.items()}).astype({"export_id": "Int64"})
+
+    texts = graph_exports.select("export_id", "payload").where("payload is not null").distinct()
+    return texts.mapInPandas(rows, flat.schema())
 
 
 def flatten_exports(graph_exports: DataFrame) -> DataFrame:

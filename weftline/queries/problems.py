@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.hierarchy import graph_hierarchy
 from weftline.operators.orphans import find_orphans, orphan_report
-from weftline.operators.shred import export_items, flatten_exports
+from weftline.operators.shred import TABLES, export_items, flat_table, flatten_exports
 from weftline.operators.snapshot_diff import snapshot_changes
 from weftline.sources.tables import read_table
 
@@ -59,7 +59,15 @@ def p6_tables(spark: SparkSession, directory: str) -> DataFrame:
     return flat.groupBy("export_id", "entry").agg(F.count("*").alias("n"))
 
 
+def _flat_table(name: str) -> Query:
+    def query(spark: SparkSession, directory: str) -> DataFrame:
+        return flat_table(read_table(spark, directory, "graph_exports"), name)
+
+    query.__name__ = f"p6_{name}"
+    return query
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p2_found, p2_counts, p5_found, p5_paths, p5_descendants, p6_found, p6_tables)
+    for f in (p1_found, p1_report, p2_found, p2_counts, p5_found, p5_paths, p5_descendants, p6_found, p6_tables, *map(_flat_table, TABLES))
 }
