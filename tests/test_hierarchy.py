@@ -56,6 +56,27 @@ def test_paths_and_descendants(spark):
     assert [tuple(r) for r in h.descendants().collect()] == [("r", 4, 3)]
 
 
+def test_descendants_of_every_node(spark):
+    rng = random.Random(12)
+    links = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(40)}
+    links |= {("x", "x"), ("x", "y"), ("a1", "a2"), ("a2", "a3"), ("a3", "a1"), ("a3", "b"), *((f"c{i}", f"c{i + 1}") for i in range(12))}
+    out = {}
+    for p, c in links:
+        out.setdefault(p, set()).add(c)
+    want = set()
+    for n in out:
+        dist, queue = {n: 0}, deque([n])
+        while queue:
+            at = queue.popleft()
+            for m in out.get(at, set()) - set(dist):
+                dist[m] = dist[at] + 1
+                queue.append(m)
+        want |= {(n, m, d) for m, d in dist.items() if d}
+    df = spark.createDataFrame(list(links), "parent string, child string")
+    got = [tuple(r) for r in Hierarchy(df).pairs().collect()]
+    assert {("a3", "b", 1), ("a1", "b", 3), ("c5", "c12", 7)} < want and len(got) == len(want) and set(got) == want
+
+
 def test_only_known_ends_and_newest_edges_link(spark):
     edges = spark.createDataFrame(
         [("e1", " d.a", "`p.d.b`", 1), ("e2", "d.b", "d.zz", 1), ("e3", "d.b", "core.s", 2), ("e3", "d.a", "d.a", 1), (None, "d.b", "d.a", 1)],

@@ -67,10 +67,13 @@ class Hierarchy:
         """``frontier`` has src; a parent with many links is met in several tasks."""
         return spread(frontier, self.heavy, "src", SALTS).join(self.spread_links, ["src", "salt"]).drop("salt")
 
-    def reach(self, with_paths: bool = False) -> DataFrame:
-        """(root, node, depth[, path]) of every node that a root reaches, as hashes; roots at depth 0."""
+    def reach(self, with_paths: bool = False, starts: DataFrame | None = None) -> DataFrame:
+        """(root, node, depth[, path]) of every node that a root reaches, as hashes; roots at depth 0.
+
+        ``starts`` (h) takes other nodes in place of the roots.
+        """
         path = ["path"] if with_paths else []
-        start = self.roots().select(F.col("h").alias("root"), F.col("h").alias("node"))
+        start = (self.roots() if starts is None else starts).select(F.col("h").alias("root"), F.col("h").alias("node"))
         if with_paths:
             start = start.join(self.names, start.node == self.names.h).select("root", "node", F.array("id").alias("path"))
             names = self.names.select(F.col("h").alias("dst"), "id")
@@ -173,6 +176,17 @@ class Hierarchy:
         )
         return sums.join(near, "root").select("root_id", "n_descendants", "max_depth")
 
+    def pairs(self) -> DataFrame:
+        """(node_id, descendant_id, depth): every node, inner ones and those on loops too, with all that it reaches.
+
+        Depth is the least number of links between the two; no node is its own descendant (that a
+        node reaches itself is told by :meth:`cycles`).  n nodes on one loop give n * (n - 1) pairs.
+        """
+        near = self.names.select(F.col("h").alias("root"), F.col("id").alias("node_id"))
+        far = self.names.select(F.col("h").alias("node"), F.col("id").alias("descendant_id"))
+        reach = self.reach(starts=self.links.select(F.col("src").alias("h")).distinct()).where("depth > 0")
+        return reach.join(far, "node").join(near, "root").select("node_id", "descendant_id", "depth")
+
 
 def graph_hierarchy(edges: DataFrame, nodes: DataFrame, shared_nodes: DataFrame) -> Hierarchy:
     """The hierarchy over the newest edges between known nodes."""

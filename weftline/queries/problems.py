@@ -49,6 +49,10 @@ def p5_descendants(spark: SparkSession, directory: str) -> DataFrame:
     return graph_hierarchy(*_tables(spark, directory, "edges", "nodes", "shared_nodes")).descendants()
 
 
+def p5_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    return graph_hierarchy(*_tables(spark, directory, "edges", "nodes", "shared_nodes")).pairs()
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return export_items(read_table(spark, directory, "graph_exports"))
 
@@ -69,5 +73,5 @@ def _flat_table(name: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p2_found, p2_counts, p5_found, p5_paths, p5_descendants, p6_found, p6_tables, *map(_flat_table, TABLES))
+    for f in (p1_found, p1_report, p2_found, p2_counts, p5_found, p5_paths, p5_descendants, p5_pairs, p6_found, p6_tables, *map(_flat_table, TABLES))
 }
