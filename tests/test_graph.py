@@ -273,3 +273,25 @@ def test_events(spark, tmp_path):
     assert rows(fold_status(read_events(spark, path))) == [("s1", "complete", "complete", 4)]
     open_scan = spark.createDataFrame([("a", 1, "scan_start"), ("b", 1, "error"), ("b", 2, "scan_node")], "scan_id string, seq int, type string")
     assert rows(fold_status(open_scan)) == [("a", "running", "scan_start", 1), ("b", "error", "scan_node", 2)]
+
+
+def test_entity_reach(spark, tmp_path):
+    from weftline.queries.graph import entity_reach
+
+    tables = {
+        "region": ("r_regionkey int", [(0,), (1,)]),
+        "nation": ("n_nationkey int, n_regionkey int", [(10, 0), (11, 1)]),
+        "customer": ("c_custkey int, c_nationkey int", [(20, 11), (21, None)]),
+        "supplier": ("s_suppkey int, s_nationkey int", [(30, 0), (31, 10)]),
+        "orders": ("o_orderkey int, o_custkey int", [(40, 20)]),
+        "part": ("p_partkey int", [(50,), (51,)]),
+        "lineitem": ("l_orderkey int, l_linenumber int, l_suppkey int, l_partkey int", [(40, 1, 31, 50), (40, 2, None, 50)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert {tuple(r) for r in entity_reach(spark, str(tmp_path)).collect()} == {
+        ("region.0", "region.0", 0), ("region.0", "nation.10", 1), ("region.0", "supplier.31", 2), ("region.0", "lineitem.40.1", 3),
+        ("region.1", "region.1", 0), ("region.1", "nation.11", 1), ("region.1", "customer.20", 2), ("region.1", "orders.40", 3),
+        ("region.1", "lineitem.40.1", 4), ("region.1", "lineitem.40.2", 4),
+        ("part.50", "part.50", 0), ("part.50", "lineitem.40.1", 1), ("part.50", "lineitem.40.2", 1), ("part.51", "part.51", 0),
+    }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from weftline.operators import filters, trace
 from weftline.operators.edit import matched_columns
 from weftline.operators.graph import column_status, graph_stats, split_manual, topological_order
 from weftline.operators.scan import resolve_references, run_scan
-from weftline.operators.walk import closure
+from weftline.operators.walk import closure, walk
 from weftline.model import LineageGraph, ScanConfig
 from weftline.plans.lineage import parse_views, view_references
 from weftline.session import Scratch
@@ -212,7 +214,7 @@ def events_fold(spark, directory) -> DataFrame:
 
 
 def entity_closure(spark, directory) -> DataFrame:
-    """What hangs on each region's nations: customers, suppliers and orders, by level."""
+    """What hangs on the first region's nations: customers, suppliers and orders, by level; :func:`entity_reach` is whole."""
     t = {n: read_table(spark, directory, n) for n in ("nation", "customer", "supplier", "orders")}
 
     def pair(df, a, x, b, y):
@@ -227,6 +229,32 @@ def entity_closure(spark, directory) -> DataFrame:
     return closure(scratch.cut(links, "links"), seeds, scratch)
 
 
+def entity_reach(spark, directory) -> DataFrame:
+    """(root, node, depth): what hangs on every region and every part, line items included, by level under each root."""
+    t = {n: read_table(spark, directory, n) for n in ("region", "nation", "customer", "supplier", "orders", "part", "lineitem")}
+
+    def name(table, *keys):
+        return F.concat(F.lit(table), *(F.concat(F.lit("."), F.col(k).cast("string")) for k in keys))  # null for a null key
+
+    line = name("lineitem", "l_orderkey", "l_linenumber")
+    ends = (
+        (t["nation"], name("region", "n_regionkey"), name("nation", "n_nationkey")),
+        (t["customer"], name("nation", "c_nationkey"), name("customer", "c_custkey")),
+        (t["supplier"], name("nation", "s_nationkey"), name("supplier", "s_suppkey")),
+        (t["orders"], name("customer", "o_custkey"), name("orders", "o_orderkey")),
+        (t["lineitem"], name("orders", "l_orderkey"), line),
+        (t["lineitem"], name("supplier", "l_suppkey"), line),
+        (t["lineitem"], name("part", "l_partkey"), line),
+    )
+    links = reduce(DataFrame.unionByName, (df.select(a.alias("src"), b.alias("dst")) for df, a, b in ends)).where("src is not null and dst is not null")
+    scratch = Scratch(spark, "entity")
+    links = scratch.cut(links.distinct(), "links")
+    roots = t["region"].select(name("region", "r_regionkey").alias("root")).union(t["nation"].select(name("region", "n_regionkey")))
+    roots = roots.union(t["part"].select(name("part", "p_partkey"))).where("root is not null").distinct()
+    start = roots.select("root", F.col("root").alias("node"))
+    return walk(start, lambda f: f.join(links, f.node == links.src).select("root", F.col("dst").alias("node")), ["root", "node"], scratch)
+
+
 def _all():
     from pyspark.sql import Window
 
@@ -239,6 +267,6 @@ QUERIES = {
         catalog_datasets, catalog_columns, stats_totals, stats_by_type, status_of_columns, topo_order, node_depths, trace_column,
         trace_column_edges, trace_table, trace_paths, trace_chain, trace_origins, trace_origin_tables, prune_upstream, filter_views,
         fuzzy_names, fuzzy_search, mapping_merge, mapping_same, graph_warnings, graph_gaps, manual_retention, default_mappings,
-        export_mermaid, export_sizes, table_refs, lineage_parse, scan_upstream, scan_views, events_fold, entity_closure,
+        export_mermaid, export_sizes, table_refs, lineage_parse, scan_upstream, scan_views, events_fold, entity_closure, entity_reach,
     )
 }

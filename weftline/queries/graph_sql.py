@@ -162,4 +162,14 @@ SELECT 'region.' || k AS node, 0::BIGINT AS depth FROM r UNION ALL SELECT 'natio
 UNION ALL SELECT 'customer.' || c_custkey, 2 FROM c
 UNION ALL SELECT 'supplier.' || s_suppkey, 2 FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n)
 UNION ALL SELECT 'orders.' || o_orderkey, 3 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)""",
+    "entity_reach": """WITH RECURSIVE links(src, dst) AS (
+SELECT 'region.' || n_regionkey, 'nation.' || n_nationkey FROM nation UNION SELECT 'nation.' || c_nationkey, 'customer.' || c_custkey FROM customer
+UNION SELECT 'nation.' || s_nationkey, 'supplier.' || s_suppkey FROM supplier UNION SELECT 'customer.' || o_custkey, 'orders.' || o_orderkey FROM orders
+UNION SELECT 'orders.' || l_orderkey, 'lineitem.' || l_orderkey || '.' || l_linenumber FROM lineitem
+UNION SELECT 'supplier.' || l_suppkey, 'lineitem.' || l_orderkey || '.' || l_linenumber FROM lineitem
+UNION SELECT 'part.' || l_partkey, 'lineitem.' || l_orderkey || '.' || l_linenumber FROM lineitem),
+roots(r) AS (SELECT 'region.' || r_regionkey FROM region UNION SELECT 'region.' || n_regionkey FROM nation UNION SELECT 'part.' || p_partkey FROM part),
+reached(root, node, depth) AS (SELECT r, r, 0::BIGINT FROM roots WHERE r IS NOT NULL
+UNION SELECT root, dst, depth + 1 FROM reached JOIN links ON src = node WHERE dst IS NOT NULL)
+SELECT root, node, min(depth) AS depth FROM reached GROUP BY ALL""",
 }
