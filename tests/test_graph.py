@@ -69,6 +69,15 @@ def test_traces(chain):
     assert [tuple(r.path) for r in trace.trace_paths(chain, "lone.e", "z").collect()] == [("lone.e.z",)]
 
 
+def test_deep_paths_are_whole(spark):
+    ends = [(f"d.n{i:02}", f"d.n{i + 1:02}") for i in range(36)] + [("d.n05", "d.n03")]
+    edges = [(f"e{i}", a, b, "automatic", None) for i, (a, b) in enumerate(ends)]
+    maps = [(f"e{i}", a, b, "c", ["c"], "direct", None, None) for i, (a, b) in enumerate(ends)]
+    g = make(spark, [], {}, edges, maps)
+    whole = tuple(f"d.n{i:02}.c" for i in range(37))
+    assert {tuple(r.path) for r in trace.trace_paths(g, "d.n36", "c").collect()} == {whole}
+
+
 def test_split_paths(spark):
     df = spark.createDataFrame([("n", "c", list("abxy")), ("n", "c", list("qxy")), ("m", "c", ["z"])], "node string, column string, path array<string>")
     assert {(tuple(r.branch), tuple(r.suffix)) for r in trace.split_paths(df).collect()} == {(("a", "b"), ("x", "y")), (("q",), ("x", "y")), ((), ("z",))}

@@ -190,16 +190,11 @@ def tree_counts(tree: DataFrame) -> DataFrame:
     )
 
 
-#: Paths of more steps than this are cut; every cut path is marked.
-MAX_STEPS = 32
+def trace_paths(graph: LineageGraph, node: DataFrame | str, column: str | None = None) -> DataFrame:
+    """(node, column, path): all ways from a source through the column to a sink, as arrays of "node.column".
 
-
-def trace_paths(graph: LineageGraph, node: DataFrame | str, column: str | None = None, max_steps: int = MAX_STEPS) -> DataFrame:
-    """(node, column, path, cut): all ways from a source through the column to a sink, as arrays of "node.column".
-
-    No path meets a column twice.  A path of one step is given only if it is the only one.  The
-    number of paths may grow exponentially with depth; ``max_steps`` bounds each side, ``cut`` tells
-    where it did.
+    Neither side of a path meets a column twice, which ends the search on loops.  A path of one step is given only
+    if it is the only one.  The number of paths may grow exponentially with depth.
     """
     scratch = Scratch(graph.spark, "paths")
     label = F.concat_ws(".", "node", "column")
@@ -211,28 +206,23 @@ def trace_paths(graph: LineageGraph, node: DataFrame | str, column: str | None =
             F.concat_ws(".", f"{come}.node", f"{come}.column").alias("at"), F.concat_ws(".", f"{go}.node", f"{go}.column").alias("to")
         ).distinct()
         level = scratch.cut(start.select("node", "column", label.alias("at"), F.array(label).alias("path")), "paths")
-        done = []
-        for _ in range(max_steps):
+        ended, schema = [], level.select("node", "column", "path").schema
+        while True:
             grown = level.join(links, "at").where(~F.array_contains("path", F.col("to")))
             grown = scratch.cut(grown.select("node", "column", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path")), "paths")
             more = grown.select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct()
-            done.append(level.join(more, "path", "left_anti").withColumn("cut", F.lit(False)))
+            ended.append(scratch.write(level.join(more, "path", "left_anti").select("node", "column", "path"), "ended"))
             level = grown
             if level.isEmpty():
                 break
-        else:
-            done.append(level.withColumn("cut", F.lit(True)))
-        out = done[0].select("node", "column", "path", "cut")
-        for part in done[1:]:
-            out = out.unionByName(part.select("node", "column", "path", "cut"))
-        return out.withColumnsRenamed({"path": name, "cut": f"{name}_cut"})
+        # read together by one scan, so the plan keeps its size however deep the paths are
+        return scratch.read(ended, schema).withColumnRenamed("path", name)
 
     both = side("down", "up", "ups").join(side("up", "down", "downs"), ["node", "column"])
     whole = both.select(
         "node",
         "column",
         F.concat(F.reverse("ups"), F.slice("downs", F.lit(2), F.greatest(F.size("downs") - 1, F.lit(0)))).alias("path"),
-        (F.col("ups_cut") | F.col("downs_cut")).alias("cut"),
     )
     count = F.count("*").over(Window.partitionBy("node", "column"))
     return whole.withColumn("__n", count).where((F.size("path") > 1) | (F.col("__n") == 1)).drop("__n")

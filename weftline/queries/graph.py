@@ -60,12 +60,6 @@ def node_depths(spark, directory) -> DataFrame:
     return filters.node_depths(_graph(spark, directory))
 
 
-def _least_fed(g: LineageGraph) -> DataFrame:
-    """The least column that some column feeds: where the trace queries begin."""
-    least = g.column_edges().where("source_column <> '*'").agg(F.min(F.struct("target_node", "target_column")).alias("s"))
-    return least.select(F.col("s.target_node").alias("node"), F.col("s.target_column").alias("column"))
-
-
 def _busiest(g: LineageGraph) -> DataFrame:
     """The column that feeds most others, the least of several."""
     counts = g.column_edges().groupBy("source_node", "source_column").agg(F.count("*").alias("n"))
@@ -90,7 +84,7 @@ def trace_table(spark, directory) -> DataFrame:
 
 def trace_paths(spark, directory) -> DataFrame:
     g = _graph(spark, directory)
-    return trace.trace_paths(g, _least_fed(g)).select("node", "column", F.array_join("path", " > ").alias("path"))
+    return trace.trace_paths(g, _busiest(g)).select("node", "column", F.array_join("path", " > ").alias("path"))
 
 
 def trace_chain(spark, directory) -> DataFrame:
