@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from weftline.llm.mojibake import find_garbled, segments
+from weftline.llm.mojibake import Candidate, find_garbled, restore, segments
 
 LETTERS = {
     "fr": ("bcdfglmnprstv", "aeiouéèêàâ"), "es": ("bcdflmnprstvñ", "aeiouáéíóú"), "de": ("bdfghklmnrstwß", "aeiouäöü"), "pl": ("bcdklmnprsztwłśćżź", "aeiouąęóy"),
@@ -75,3 +75,11 @@ def test_segments():
 
     assert segments(np.array([-1, 2, 2, -1, 2, -9, 3.0, -1]), 2.5) == [(1, 5), (6, 7)]
     assert segments(np.array([]), 1) == [] and segments(np.array([-1.0, -2.0]), 1) == []
+
+
+def test_every_run_of_a_token_is_restored():
+    class Cafes:
+        def token(self, token):
+            return [Candidate(1.0, "Ã©", "é", ("latin-1", "utf-8"))] if "Ã©" in token else []
+
+    assert restore("x " + "cafÃ©," * 30, Cafes()) == (1, "x " + "café," * 30)

@@ -51,7 +51,7 @@ RUN = re.compile(r"[^\x00-\x7f]+")
 STOPS = ".!?\n。！？"
 #: A sentence with more damaged tokens than this does not merely quote damage.
 QUOTED = 3
-#: Runs restored in one token.
+#: Runs restored in one token, or as many as it has characters.
 TURNS = 8
 LOST = "�"
 EDGE = "“”„‘’‚«»‹›–—…·¿¡ "
@@ -478,7 +478,7 @@ def restore(text: str, restorer: Restorer) -> tuple[int, str]:
     out, last = [], 0
     for m, found in tokens:
         token = m.group()
-        for _ in range(TURNS):  # a token may hold several damaged runs
+        for _ in range(max(TURNS, len(token))):  # a token may hold several damaged runs, never more than characters
             best = max(found, key=lambda c: (votes.get(c.how[:2], 0.0), c.rank))
             if best.run == best.text:
                 break
