@@ -84,3 +84,35 @@ def test_whole_tables(spark):
         "prune_points": [(7, 0, "d.a")],
     }
     assert {t: flat_table(df, t).where("export_id <> 7").count() for t in TABLES} == {t: int(t == "metadata") for t in TABLES}
+
+
+def test_deep_payloads_count(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    text = json.dumps(GRAPH)[:-1] + f', "other": {deep}, "metadata": {{"description": {deep}}}}}'
+    assert items(spark, [(1, text)]) == items(spark, [(1, json.dumps(GRAPH))]) != []
+    df = spark.createDataFrame([(1, text)], "export_id bigint, payload string")
+    assert flat_table(df, "metadata").collect()[0].description == deep
+
+
+def test_deep_reading_is_json():
+    import random
+
+    from weftline.operators.shred import _deep_json, _deep_text
+
+    whole = {"a": [1, -2.5e3, True, None, "\u00e9\\\"", {}, [], {"b": {"c": [[]]}}], "": {"d": "x"}}
+    for indent in (None, 2):
+        text = json.dumps(whole, indent=indent)
+        assert _deep_json(text) == whole and _deep_text(whole) == json.dumps(whole, ensure_ascii=False, separators=(",", ":"))
+        rng = random.Random(5)
+        for _ in range(3000):
+            at = rng.randrange(len(text))
+            broken = text[:at] + rng.choice(["", ",", "]", "}", "1", '"', " ", ":", "["]) + text[at + rng.randrange(2) :]
+            try:
+                want = json.loads(broken)
+            except ValueError:
+                want = ValueError
+            try:
+                got = _deep_json(broken)
+            except ValueError:
+                got = ValueError
+            assert got == want, broken

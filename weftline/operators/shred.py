@@ -8,8 +8,10 @@ repeated ancestor, are then read back from those level sequences alone.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import numpy as np
 import pandas as pd
@@ -94,7 +96,29 @@ class Column:
 def _text(value: object) -> str | None:
     if value is None or isinstance(value, str):
         return value
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    try:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        return _deep_text(value)
+
+
+def _deep_text(value: object) -> str:
+    """What ``json.dumps`` gives, for values nested beyond its stack."""
+    out, todo = [], [(value, False)]  # values, and text that is written already
+    while todo:
+        x, written = todo.pop()
+        if written:
+            out.append(x)
+        elif isinstance(x, dict | list) and x:
+            keyed = isinstance(x, dict)
+            todo.append(("}" if keyed else "]", True))
+            for i, item in reversed(list(enumerate(x.items() if keyed else x))):
+                todo.append((item[1] if keyed else item, False))
+                todo.append(("," * (i > 0) + (f"{json.dumps(item[0], ensure_ascii=False)}:" if keyed else ""), True))
+            out.append("{" if keyed else "[")
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def _items(value: object, shape: Group | Leaf) -> list:
@@ -188,15 +212,80 @@ class Shredder:
         return record, places, {leaf: values for leaf, (_, _, values) in found.items()}
 
 
+BLANKS = re.compile(r"[ \t\n\r]*")
+ATOM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null")
+
+
+def _deep_json(text: str) -> object:
+    """What ``json.loads`` gives, for texts nested beyond its stack."""
+
+    def skip(at: int) -> int:
+        return BLANKS.match(text, at).end()
+
+    def name(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(at)
+        key, at = scanstring(text, at + 1, True)
+        if text[(at := skip(at)) : at + 1] != ":":
+            raise ValueError(at)
+        return key, skip(at + 1)
+
+    around: list[dict | list] = []
+    keys: list[str | None] = []
+    at = skip(0)
+    while True:
+        first = text[at : at + 1]
+        if first in ("{", "["):
+            value: object = {} if first == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if first == "{" else "]"):
+                key, at = name(at) if first == "{" else (None, at)
+                around.append(value)
+                keys.append(key)
+                continue
+            at += 1
+        elif first == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif atom := ATOM.match(text, at):
+            value, at = json.loads(atom.group()), atom.end()
+        else:
+            raise ValueError(at)
+        while around:  # a value has ended
+            top = around[-1]
+            if keyed := isinstance(top, dict):
+                top[keys[-1]] = value
+            else:
+                top.append(value)
+            at = skip(at)
+            end = text[at : at + 1]
+            if end == ",":
+                at = skip(at + 1)
+                if keyed:
+                    keys[-1], at = name(at)
+                break
+            if end != ("}" if keyed else "]"):
+                raise ValueError(at)
+            at += 1
+            value = around.pop()
+            keys.pop()
+        else:
+            if skip(at) != len(text):
+                raise ValueError(at)
+            return value
+
+
 def complete_json(text: str | None) -> tuple[bool, object]:
-    """Whether the text is one complete JSON value, and the value."""
+    """Whether the text is one complete JSON value, however deep, and the value."""
 
     def refuse(name: str) -> None:
         raise ValueError(name)
 
     try:
-        return True, json.loads(text, parse_constant=refuse)
-    except (ValueError, TypeError, RecursionError):
+        try:
+            return True, json.loads(text, parse_constant=refuse)
+        except RecursionError:
+            return True, _deep_json(text)
+    except (ValueError, TypeError):
         return False, None
 
 
