@@ -43,6 +43,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert set(groups) == set(sets) and len({groups[i][0] for i in ("d000", "copy1", "copy2")}) == 1
 
 
+def test_classes_are_named_by_their_least_id(spark):
+    rows = corpus(random.Random(4))
+    sets = {i: frozenset(s) for i, t in rows if t and len(s := shingles(t, 3)) >= 20}
+    near = NearDuplicates(texts_of(spark, rows), (3, 5), SQL_TOKEN, 3, 20)
+    links = {r.id: r.n_links for r in near.groups().collect()}
+    want = {(i, min(j for j in sets if sets[j] == s), links[i]) for i, s in sets.items()}
+    assert {tuple(r) for r in near.named_groups().collect()} == want and ("d000", "copy1") in {(i, c) for i, c, _ in want}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert NearDuplicates(texts_of(spark, [])).pairs().count() == 0
     assert NearDuplicates(texts_of(spark, [("a", "x y z"), ("b", None)])).pairs().count() == 0

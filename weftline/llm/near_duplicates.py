@@ -150,3 +150,9 @@ class NearDuplicates:
         ends = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
         out = self.membership.join(ends, "c", "left")
         return out.select("id", F.col("c").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+    def named_groups(self) -> DataFrame:
+        """:meth:`groups` with the least id of each class as its class_id."""
+        groups = self.scratch.cut(self.groups(), "groups")
+        least = groups.groupBy("class_id").agg(F.min("id").alias("least"))
+        return groups.join(least, "class_id").select("id", F.col("least").alias("class_id"), "n_links")

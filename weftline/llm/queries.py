@@ -37,6 +37,10 @@ def p3_groups(spark: SparkSession, directory: str) -> DataFrame:
     return groups.select("id", "n_links")
 
 
+def p3_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return NearDuplicates(view_texts(spark, directory), (3, 5), SQL_TOKEN, 3, 20).named_groups()
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return SharedSpans(view_texts(spark, directory)).shared_chars()
 
@@ -79,4 +83,4 @@ def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
     return find_garbled(read_table(spark, directory, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_lines, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p3_classes, p4_found, p4_lines, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_restored)}
