@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +32,7 @@ class Trace:
     leaves: list[tuple[str, str]] = field(default_factory=list)
     steps: list[Step] = field(default_factory=list)
     unnested: bool = False
+    nested: bool = False  # a field of a column
 
     def add(self, other: Trace) -> None:
         self.leaves += other.leaves
@@ -82,11 +83,11 @@ class Scope:
     def from_source(self, source: Source, column: str, patch: bool) -> Trace | None:
         """The column of this source; ``patch`` takes one that a table does not list."""
         if source.array is not None:
-            if column == (source.offset or "").lower() and column != (source.alias or "").lower():
-                return Trace([], [Step(column, columns=False)])
-            trace = Trace([], [Step(f"UNNEST({self.tracer.text(source.array)})")], True)
-            for ref in columns_in(source.array):
-                trace.leaves += self.resolve(ref.parts).leaves
+            # items and their offsets both come from the array
+            inside = list(parts_in(source.array))
+            trace = Trace([], [Step(f"UNNEST({self.tracer.text(source.array)})", columns=bool(inside))], True)
+            for part in inside:
+                trace.leaves += self.part(part).leaves
             return trace
         if (inner := self.query_of(source)) is not None:
             return inner.trace(column)
@@ -101,23 +102,29 @@ class Scope:
         sources = self.select.sources
         if len(low) > 1:
             for source in sources:
-                if self.label(source) == low[0] or len(low) > 2 and [p.lower() for p in source.path] == low[:2]:
-                    rest = low[1:] if self.label(source) == low[0] else low[2:]
+                path = [p.lower() for p in source.path]
+                # table.column in full, with or without the project before it
+                full = next((n for n in (2, 3) if len(low) > n and path and low[n - len(path) : n] == path), 0)
+                if self.label(source) == low[0] or full:
+                    rest = low[1:] if self.label(source) == low[0] else low[full:]
                     if source.array is not None and self.label(source) == low[0]:
                         return self.from_source(source, low[0], True)
                     if (found := self.from_source(source, rest[0], True)) is not None:
+                        found.nested = len(rest) > 1
                         return found
                     raise Unresolved(".".join(parts))
         for source in sources:
             if source.array is not None and low[0] not in (self.columns_of(source) or []):
                 continue
             if (found := self.from_source(source, low[0], False)) is not None:
+                found.nested = len(low) > 1
                 return found
         open_sources = [s for s in sources if self.columns_of(s) is None]
-        if len(sources) == 1 and sources[0].array is None and self.query_of(sources[0]) is None:
-            return self.from_source(sources[0], low[0], True)
-        if len(open_sources) == 1:
-            return self.from_source(open_sources[0], low[0], True)
+        only = sources if len(sources) == 1 and sources[0].array is None and self.query_of(sources[0]) is None else open_sources
+        if len(only) == 1:
+            found = self.from_source(only[0], low[0], True)
+            found.nested = len(low) > 1
+            return found
         # an array alias over structs lends its fields
         arrays = [s for s in sources if s.array is not None]
         if self.outer is not None:
@@ -142,7 +149,7 @@ class Scope:
                         if column not in e.drop:
                             out.append((column, replaced.get(column, (source, column))))
             elif e.struct_star:
-                out += struct_fields(e)
+                out += struct_fields(e, self.tracer.sql)
             else:
                 out.append((item.alias or (e.parts[-1] if e.kind == "column" else None), e))
         self.outputs_known = out
@@ -162,31 +169,51 @@ class Scope:
     def trace(self, e: Expr) -> Trace:
         out = Trace([], [self.tracer.step(e)])
         for part in parts_in(e):
-            if part.kind == "column":
-                out.add(self.resolve(part.parts))
-            else:
-                inner = self.tracer.scope(part.query, self.ctes, self)
-                out.add(inner.trace_at(0))
+            found = self.part(part)
+            if part is e and found.nested:
+                out.steps[0] = replace(out.steps[0], bare=False)
+            out.add(found)
         return out
 
+    def part(self, part: Expr) -> Trace:
+        """A column reference or a sub-query's first column."""
+        if part.kind == "column":
+            return self.resolve(part.parts)
+        return self.tracer.scope(part.query, self.ctes, self).trace_at(0)
+
 
 class QueryScope:
     """A query with its branches; columns of a set operation come from all branches by place."""
 
     def __init__(self, tracer: Tracer, query: Query, ctes: dict, outer: Scope | None):
-        self.ctes = dict(ctes)
+        self.tracer, self.query, self.ctes = tracer, query, dict(ctes)
         for name, inner in query.ctes:
-            self.ctes[name.lower()] = (inner, dict(self.ctes))
+            around = dict(self.ctes)
+            self.ctes[name.lower()] = (inner, around)
+            if query.recursive:  # the name stands for the query in its own text, too
+                around[name.lower()] = (inner, around)
         self.branches: list[Scope | QueryScope] = [
             Scope(tracer, b, self.ctes, outer) if isinstance(b, Select) else QueryScope(tracer, b, self.ctes, outer)
             for b in query.branches
         ]
 
     def outputs(self) -> list[tuple[str | None, object]]:
-        return self.branches[0].outputs()
+        found = self.branches[0].outputs()
+        names = (*self.query.names, *(name for name, _ in found[len(self.query.names) :]))
+        return [(name, how) for name, (_, how) in zip(names, found, strict=False)]
 
     def trace_at(self, place: int) -> Trace:
-        out = Trace()
+        """What feeds a column; a recursive query adds nothing to itself."""
+        out, key = Trace(), (id(self.query), place)
+        if key in self.tracer.open:
+            return out
+        self.tracer.open.add(key)
+        try:
+            return self._trace_at(place, out)
+        finally:
+            self.tracer.open.discard(key)
+
+    def _trace_at(self, place: int, out: Trace) -> Trace:
         for branch in self.branches:
             if isinstance(branch, QueryScope):
                 out.add(branch.trace_at(place))
@@ -211,10 +238,6 @@ def parts_in(e: Expr) -> Iterator[Expr]:
         yield from parts_in(child)
 
 
-def columns_in(e: Expr) -> list[Expr]:
-    return [p for p in parts_in(e) if p.kind == "column"]
-
-
 def calls_in(e: Expr) -> Iterator[Expr]:
     if e.kind == "call":
         yield e
@@ -227,15 +250,17 @@ def calls_in(e: Expr) -> Iterator[Expr]:
                     yield from calls_in(item.expr)
 
 
-def struct_fields(e: Expr) -> list[tuple[str | None, Expr]]:
+def struct_fields(e: Expr, sql: str) -> list[tuple[str | None, Expr]]:
     """The fields of ARRAY_AGG(STRUCT(...) ORDER BY ...)[...].*, each as an aggregate of its own."""
+    end = sql.rfind(".", e.start, e.stop)
     for call in calls_in(e):
         if call.name == "STRUCT":
             around = [c for c in calls_in(e) if c.name in AGGREGATES]
             order = [x for c in around for x in c.children if x is not call]
             return [
                 (alias or (x.parts[-1] if x.kind == "column" else None),
-                 Expr("call", e.start, e.stop, children=[x, *order], name="ARRAY_AGG"))
+                 Expr("call", e.start, e.stop, children=[x, *order], name="ARRAY_AGG",
+                      text=sql[e.start : call.start] + sql[x.start : x.stop] + sql[call.stop : end]))
                 for x, alias in zip(call.children, call.aliases, strict=True)
             ]
     return []
@@ -245,6 +270,7 @@ class Tracer:
     def __init__(self, sql: str, schemas: Schemas):
         self.sql, self.schemas = sql, schemas
         self.scopes: dict[tuple[int, int], QueryScope] = {}
+        self.open: set[tuple[int, int]] = set()  # columns being traced
 
     def node_id(self, path: tuple[str, ...]) -> str:
         return ".".join(path)
@@ -254,7 +280,7 @@ class Tracer:
         return None if not found else {c.lower(): t for c, t in found.items()}
 
     def text(self, e: Expr) -> str:
-        return " ".join(self.sql[e.start : e.stop].split())
+        return " ".join((e.text or self.sql[e.start : e.stop]).split())
 
     def scope(self, query: Query, ctes: dict, outer: Scope | None) -> QueryScope:
         key = (id(query), id(outer))
@@ -266,11 +292,7 @@ class Tracer:
         calls = list(calls_in(e))
         window = any(c.windowed for c in calls)
         aggregate = any(c.name in AGGREGATES for c in calls)
-        bare = e.kind == "column" and not self._has_fields(e)
-        return Step(self.text(e), bare, window, aggregate, bool(columns_in(e)) or any(True for p in parts_in(e)))
-
-    def _has_fields(self, e: Expr) -> bool:
-        return len(e.parts) > 2
+        return Step(self.text(e), e.kind == "column", window, aggregate, any(True for _ in parts_in(e)))
 
 
 def classify(steps: list[Step], target: str, columns: list[str], unnested: bool) -> tuple[str, str | None]:
@@ -284,11 +306,6 @@ def classify(steps: list[Step], target: str, columns: list[str], unnested: bool)
     return "expression", None
 
 
-def _field_access(scope: Scope, e: Expr) -> bool:
-    """Whether a two-part name is a struct field rather than alias.column."""
-    return e.kind == "column" and len(e.parts) == 2 and e.parts[0].lower() not in map(scope.label, scope.select.sources)
-
-
 def _branch_mappings(tracer: Tracer, scope: Scope | QueryScope, wanted: list[tuple[str, int | None]], tables: list[str]) -> list[Mapping]:
     """Mappings of the wanted (target column, place or None) outputs of one SELECT or set operation."""
     out: list[Mapping] = []
@@ -299,10 +316,7 @@ def _branch_mappings(tracer: Tracer, scope: Scope | QueryScope, wanted: list[tup
             if place is None:
                 raise Unresolved(target)
             if isinstance(scope, Scope):
-                how = scope.outputs()[place][1]
-                trace = scope.trace_output(how)
-                if isinstance(how, Expr) and _field_access(scope, how):
-                    trace.steps[0] = Step(trace.steps[0].text)
+                trace = scope.trace_output(scope.outputs()[place][1])
             else:
                 trace = scope.trace_at(place)
         except (Unresolved, RecursionError):

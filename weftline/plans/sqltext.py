@@ -33,7 +33,7 @@ PARTS = frozenset(
     "YEAR QUARTER MONTH WEEK DAY HOUR MINUTE SECOND MILLISECOND MICROSECOND NANOSECOND ISOWEEK ISOYEAR DAYOFWEEK DAYOFYEAR DATE TIME".split()
 )
 PART_CALL = re.compile(r"^(DATE|TIME|TIMESTAMP|DATETIME)_?(DIFF|TRUNC|ADD|SUB|BUCKET)$|^LAST_DAY$|^EXTRACT$")
-AGGREGATES = frozenset(
+AGGREGATES = frozenset(  # fixed values: names by which an expression counts as an aggregation
     "COUNT SUM AVG MIN MAX COUNT_IF COUNTIF APPROX_COUNT_DISTINCT ANY_VALUE ARRAY_AGG STRING_AGG STDDEV VARIANCE CORR "
     "STDDEV_POP STDDEV_SAMP VAR_POP VAR_SAMP COVAR_POP COVAR_SAMP BIT_AND BIT_OR BIT_XOR LOGICAL_AND LOGICAL_OR ARRAY_CONCAT_AGG "
     "APPROX_QUANTILES MAX_BY MIN_BY".split()
@@ -71,6 +71,7 @@ class Expr:
     aliases: list[str | None] = field(default_factory=list)
     drop: frozenset[str] = frozenset()
     struct_star: bool = False
+    text: str = ""  # in place of what stands between start and stop
 
 
 @dataclass
@@ -103,6 +104,8 @@ class Query:
     ctes: list[tuple[str, Query]]
     branches: list[Select | Query]
     setop: bool = False
+    recursive: bool = False
+    names: tuple[str, ...] = ()  # of its columns, if the WITH query lists them
 
 
 def tokens(sql: str) -> list[Token]:
@@ -202,17 +205,21 @@ class Reader:
 
     # -- queries
     def query(self, depth: int) -> Query:
-        ctes = []
+        ctes, recursive = [], False
         if self.accept("WITH"):
-            self.accept("RECURSIVE")
+            recursive = self.accept("RECURSIVE")
             while True:
-                name = self.name()
+                name, names = self.name(), []
                 self.cte_names.add(name)
                 if self.accept("("):
-                    self.skip_group()
+                    while not self.accept(")"):
+                        names.append(self.name())
+                        self.accept(",")
                 self.need("AS")
                 self.need("(")
-                ctes.append((name, self.query(depth + 3)))
+                inner = self.query(depth + 3)
+                inner.names = tuple(names)
+                ctes.append((name, inner))
                 self.need(")")
                 if not self.accept(","):
                     break
@@ -222,7 +229,7 @@ class Reader:
             self.accept("ALL", "DISTINCT")
             branches.append(self.branch(depth + 1))
         self.tail(depth)
-        return Query(ctes, branches, len(branches) > 1)
+        return Query(ctes, branches, len(branches) > 1, recursive)
 
     def branch(self, depth: int) -> Select | Query:
         if self.accept("("):

@@ -1,153 +1,154 @@
 """A catalogue of views over the driver's tables: executable, and read for their lineage.
 
-``raw.x`` is the table x.  The texts run on Spark as they stand once names are resolved.
+``tpc.x`` is the table x.  The texts are warehouse SQL; each shows some constructs that lineage must
+understand, and runs on Spark through :mod:`weftline.plans.dialect`.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.model import COLUMNS, NODES
+from weftline.plans.dialect import run_sql
 from weftline.sources.tables import read_table
 
 VIEWS: dict[str, str] = {
-    "staging.orders_clean": """
-SELECT o_orderkey AS order_id, o_custkey AS customer_id, CAST(o_totalprice AS DECIMAL(18, 2)) AS revenue, o_orderdate AS created_at
-FROM raw.orders WHERE o_orderstatus <> 'P'""",
-    "staging.customers_clean": """
-SELECT c_custkey AS customer_id, UPPER(c_name) AS customer_name, c_nationkey AS nation, c_acctbal FROM raw.customer WHERE c_acctbal IS NOT NULL""",
-    "staging.orders_with_customer": """
-SELECT o.order_id, o.revenue, o.created_at, c.customer_name AS name, c.nation
-FROM staging.orders_clean o INNER JOIN staging.customers_clean c ON o.customer_id = c.customer_id""",
-    "analytics.monthly_revenue": """
-SELECT DATE_TRUNC('MONTH', created_at) AS month, nation, CAST(SUM(revenue) AS DOUBLE) AS total_revenue, COUNT(*) AS order_count
-FROM staging.orders_with_customer GROUP BY DATE_TRUNC('MONTH', created_at), nation""",
-    "analytics.customer_summary": """
-WITH totals AS (
-  SELECT name, nation, COUNT(*) AS total_orders, CAST(SUM(revenue) AS DOUBLE) AS total_spent
-  FROM staging.orders_with_customer GROUP BY name, nation)
-SELECT name, nation, total_orders, total_spent, total_spent / NULLIF(total_orders, 0) AS avg_order_value FROM totals""",
-    "analytics.customer_ranking": """
-SELECT name, nation, total_spent, total_orders,
-  CAST(ROW_NUMBER() OVER (PARTITION BY nation ORDER BY total_spent DESC, name) AS BIGINT) AS rank_in_nation,
-  CAST(RANK() OVER (PARTITION BY nation ORDER BY total_orders DESC) AS BIGINT) AS orders_rank,
-  LAG(total_spent) OVER (PARTITION BY nation ORDER BY total_spent DESC, name) AS prev_spent
-FROM analytics.customer_summary""",
-    "staging.parts_clean": """
-SELECT p_partkey AS part_id, LOWER(p_name) AS part_name, UPPER(p_brand) AS brand,
-  CASE WHEN p_size > 25 THEN 'large' WHEN p_size > 10 THEN 'medium' ELSE 'small' END AS size_class, p_retailprice AS unit_price
-FROM raw.part""",
-    "staging.lineitems_clean": """
-SELECT l_orderkey AS order_id, l_partkey AS part_id, COALESCE(l_quantity, 0) AS quantity, IF(l_returnflag = 'R', TRUE, FALSE) AS returned,
-  l_shipdate AS shipped_at, l_returnflag AS flag
-FROM raw.lineitem""",
-    "analytics.part_sales": """
-SELECT p.part_id, p.part_name, p.brand, p.unit_price, CAST(SUM(CAST(l.quantity AS BIGINT)) AS BIGINT) AS units, COUNT(l.order_id) AS sales,
-  COUNT(DISTINCT l.flag) AS flags, MAX(l.shipped_at) AS last_sale
-FROM staging.parts_clean p LEFT JOIN staging.lineitems_clean l ON p.part_id = l.part_id
-GROUP BY p.part_id, p.part_name, p.brand, p.unit_price""",
-    "staging.all_revenue": """
-SELECT order_id AS event_id, CAST(revenue AS DOUBLE) AS amount, created_at AS event_at, 'order' AS event_type FROM staging.orders_clean
-UNION ALL
-SELECT order_id, CAST(quantity AS DOUBLE), shipped_at, 'line' FROM staging.lineitems_clean""",
-    "staging.raw_sessions": """
-SELECT user_id, event_type AS page, MIN(ts) AS session_start, MAX(ts) AS session_end, COUNT(*) AS event_count
-FROM raw.events GROUP BY user_id, event_type""",
-    "staging.sessions": """
-SELECT user_id, page, session_start, session_end, event_count,
-  CAST(UNIX_TIMESTAMP(DATE_TRUNC('SECOND', session_end)) - UNIX_TIMESTAMP(DATE_TRUNC('SECOND', session_start)) AS BIGINT) AS duration_seconds
-FROM (SELECT * FROM staging.raw_sessions)""",
-    "analytics.user_funnel": """
-WITH per_user AS (
-  SELECT user_id, COUNT(DISTINCT page) AS pages_visited, CAST(SUM(duration_seconds) AS BIGINT) AS total_time, MAX(session_start) AS last_seen
-  FROM staging.sessions GROUP BY user_id),
-marked AS (
-  SELECT user_id, pages_visited, total_time, last_seen,
-    CASE WHEN pages_visited >= 4 THEN 'engaged' WHEN pages_visited >= 2 THEN 'active' ELSE 'new' END AS segment
-  FROM per_user)
-SELECT user_id, pages_visited, total_time, last_seen, segment FROM marked""",
-    "reporting.dashboard": """
-SELECT m.month, m.nation, n.n_name AS nation_name, m.total_revenue, m.order_count, m.total_revenue / NULLIF(m.order_count, 0) AS revenue_per_order
-FROM analytics.monthly_revenue m LEFT JOIN raw.nation n ON m.nation = n.n_nationkey""",
-    "analytics.big_spenders": """
-SELECT customer_id, customer_name FROM staging.customers_clean c
-WHERE customer_id IN (SELECT customer_id FROM staging.orders_clean WHERE revenue > 200000)
-  AND EXISTS (SELECT 1 FROM staging.orders_clean o WHERE o.customer_id = c.customer_id AND o.revenue > 1000)""",
-    "analytics.customers_without_orders": """
-SELECT customer_id, customer_name, 'none' AS orders FROM staging.customers_clean c
-WHERE NOT EXISTS (SELECT 1 FROM staging.orders_clean o WHERE o.customer_id = c.customer_id)""",
-    "analytics.largest_order": """
-SELECT c.customer_id, (SELECT MAX(o.revenue) FROM staging.orders_clean o WHERE o.customer_id = c.customer_id) AS largest
-FROM staging.customers_clean c""",
-    "analytics.nation_pages": """
-SELECT DISTINCT n_name AS label FROM raw.nation UNION SELECT r_name FROM raw.region""",
-    "analytics.wide_orders": """
-SELECT o.*, c.customer_name FROM staging.orders_clean o LEFT JOIN staging.customers_clean c ON c.customer_id = o.customer_id""",
+    "freight.consignments": """
+SELECT l.l_orderkey AS order_ref, l.l_partkey AS part_ref, l.l_suppkey AS shipper, s.s_nationkey AS from_nation,
+  SAFE_CAST(l.l_quantity AS INT64) AS pieces, CAST(ROUND(l.l_extendedprice * 100) AS INT64) AS cents,
+  CONCAT(l.l_returnflag, '/', l.l_linestatus) AS state, l.l_shipdate AS left_at
+FROM `acme-dw.tpc.lineitem` AS l INNER JOIN `acme-dw`.tpc.supplier AS s ON s.s_suppkey = l.l_suppkey""",
+    "freight.load_calendar": """
+SELECT FORMAT_TIMESTAMP("%Y-%m", left_at) AS period, state, SUM(pieces) AS pieces, COUNT(*) AS n_lines, COUNTIF(pieces >= 40) AS bulky,
+  SUM(CASE WHEN state = 'R/F' THEN cents ELSE 0 END) AS returned_cents
+FROM freight.consignments GROUP BY period, 2""",
+    "freight.lead_times": """
+SELECT c.*, TIMESTAMP_DIFF(c.left_at, o.o_orderdate, DAY) AS lead_days, n.n_name AS origin, r.r_name AS zone
+FROM freight.consignments c
+LEFT JOIN tpc.orders o ON o.o_orderkey = c.order_ref
+LEFT JOIN tpc.nation n ON n.n_nationkey = c.from_nation
+LEFT OUTER JOIN tpc.region r ON r.r_regionkey = n.n_regionkey""",
+    "freight.zone_marks": """
+WITH by_origin AS (
+  SELECT zone, origin, SUM(pieces) AS pieces, COUNT(DISTINCT shipper) AS shippers, MAX(left_at) AS last_out
+  FROM freight.lead_times GROUP BY zone, origin)
+SELECT zone, origin, pieces, last_out,
+  ROW_NUMBER() OVER (PARTITION BY zone ORDER BY pieces DESC, origin) AS place,
+  RANK() OVER (ORDER BY shippers DESC) AS wide_rank, DENSE_RANK() OVER (ORDER BY shippers) AS thin_rank,
+  LAG(pieces) OVER (PARTITION BY zone ORDER BY pieces DESC, origin) AS ahead,
+  LEAD(origin) OVER (PARTITION BY zone ORDER BY pieces DESC, origin) AS behind,
+  SUM(pieces) OVER (PARTITION BY zone) AS zone_pieces, AVG(shippers) OVER (PARTITION BY zone) AS mean_shippers,
+  COUNT(*) OVER () AS origins, SUM(pieces * 2) OVER (PARTITION BY zone ORDER BY origin) AS running
+FROM by_origin""",
+    "freight.state_shares": """
+SELECT state, COUNT(*) AS n_lines, SUM(COUNT(*)) OVER () AS all_lines, RANK() OVER (ORDER BY COUNT(*) DESC, state) AS place
+FROM freight.consignments GROUP BY state""",
+    "freight.newest_line": """
+SELECT shipper, order_ref, part_ref, left_at FROM freight.consignments WHERE pieces > 10
+QUALIFY ROW_NUMBER() OVER (PARTITION BY shipper ORDER BY left_at DESC, order_ref DESC, part_ref DESC) = 1""",
+    "buyers.last_order": """
+SELECT o_custkey AS buyer, ARRAY_AGG(STRUCT(o_orderkey AS order_ref, o_orderstatus) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)[OFFSET(0)].*
+FROM tpc.orders GROUP BY o_custkey""",
+    "buyers.next_order": """
+SELECT o_custkey AS buyer, ARRAY_AGG(STRUCT(o_orderkey AS order_ref) ORDER BY o_orderdate DESC, o_orderkey LIMIT 2)[OFFSET(1)].*
+FROM tpc.orders GROUP BY buyer""",
+    "buyers.watch": """
+SELECT c.c_custkey AS buyer, UPPER(c.c_name) AS label, (SELECT MAX(o.o_totalprice) FROM tpc.orders o WHERE o.o_custkey = c.c_custkey) AS dearest
+FROM tpc.customer c
+WHERE c.c_nationkey NOT IN (SELECT n_nationkey FROM tpc.nation WHERE n_regionkey = 0)
+  AND EXISTS (SELECT 1 FROM tpc.orders x WHERE x.o_custkey = c.c_custkey AND x.o_orderstatus = 'O')
+  AND c.c_custkey IN (SELECT o_custkey FROM tpc.orders WHERE o_totalprice > 300000)""",
+    "buyers.parties": """
+SELECT c_name AS party, 'buyer' AS role, c_nationkey AS home FROM tpc.customer
+UNION ALL SELECT s_name, 'seller', s_nationkey FROM tpc.supplier
+UNION ALL SELECT n_name, 'land', n_nationkey FROM tpc.nation""",
+    "buyers.initials": """
+SELECT initial, COUNT(*) AS n FROM (
+  SELECT LOWER(SUBSTR(party, 1, 1)) AS initial, home FROM buyers.parties UNION DISTINCT SELECT r_name, r_regionkey FROM tpc.region)
+GROUP BY initial""",
+    "goods.bands": """
+SELECT band, COUNT(*) AS parts, MIN(price) AS low, MAX(price) AS high, ROUND(SUM(price) / NULLIF(COUNTIF(big), 0), 2) AS per_big
+FROM (SELECT band, price, big FROM (
+  SELECT CASE WHEN p_retailprice < 930 THEN 'low' WHEN p_retailprice < 960 THEN 'mid' ELSE 'high' END AS band,
+    COALESCE(p_retailprice, 0) AS price, IF(p_size > 25, TRUE, FALSE) AS big
+  FROM tpc.part WHERE p_size >= 1))
+GROUP BY band""",
+    "goods.kinds": """
+SELECT p_type AS kind, ROUND(AVG(p_size), 6) AS mean_size, ROUND(STDDEV(p_size), 6) AS spread, ROUND(VARIANCE(p_size), 6) AS variance,
+  ROUND(CORR(p_size, p_retailprice), 6) AS tie, APPROX_COUNT_DISTINCT(p_brand) > 0 AS branded, ANY_VALUE(p_type) AS again,
+  ARRAY_LENGTH(ARRAY_AGG(p_brand)) AS rows_held
+FROM tpc.part GROUP BY 1""",
+    "goods.brand_lists": """
+SELECT kind, STRING_AGG(brand, ',' ORDER BY brand DESC) AS brands
+FROM (SELECT DISTINCT p_type AS kind, p_brand AS brand FROM tpc.part) GROUP BY kind""",
+    "goods.by_zone": """
+SELECT r.r_name AS zone, t.kinds FROM tpc.region r JOIN (SELECT COUNT(DISTINCT p_type) AS kinds FROM tpc.part) t ON TRUE""",
+    "goods.words": """
+SELECT p.p_partkey AS part_ref, word, at FROM tpc.part p LEFT JOIN UNNEST(SPLIT(p.p_name, ' ')) AS word WITH OFFSET AS at""",
+    "signals.cells": """
+SELECT e.vec_id, v AS value, at, half FROM tpc.embeddings AS e, UNNEST(e.embedding) AS v WITH OFFSET AS at CROSS JOIN UNNEST([1, 2]) AS half""",
+    "signals.boxes": """
+SELECT vec_id, box.kind AS kind, box.dims.n AS n, box.dims.head AS head
+FROM (SELECT vec_id, STRUCT(label AS kind, STRUCT(ARRAY_LENGTH(embedding) AS n, embedding[OFFSET(0)] AS head) AS dims) AS box FROM tpc.embeddings)""",
+    "signals.visits": """
+WITH gaps AS (
+  SELECT user_id, ts, TIMESTAMP_DIFF(ts, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), SECOND) AS pause FROM tpc.events),
+marked AS (SELECT user_id, ts, IF(pause IS NULL OR pause > 86400, 1, 0) AS begins FROM gaps)
+SELECT user_id, SUM(begins) AS visits, MIN(ts) AS since, TIMESTAMP_DIFF(MAX(ts), MIN(ts), HOUR) AS hours FROM marked GROUP BY user_id""",
+    "signals.loudest": """
+SELECT user_id, COUNT(*) AS n, 'events' AS unit, CURRENT_TIMESTAMP() > TIMESTAMP '2020-01-01 00:00:00' AS after_start
+FROM tpc.events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10""",
+    "desk.open_book": """
+-- written anew every night
+CREATE OR REPLACE TABLE desk.open_book AS
+SELECT * EXCEPT (o_totalprice) REPLACE (UPPER(o_orderpriority) AS o_orderpriority) FROM tpc.orders WHERE o_orderstatus = 'O'""",
+    "desk.overview": """
+SELECT z.zone, z.origin, z.pieces, p.parts, ROUND(z.pieces / NULLIF(p.parts, 0), 4) AS per_part
+FROM freight.zone_marks z LEFT JOIN (SELECT SUM(parts) AS parts FROM goods.bands) p ON TRUE""",
 }
 
 # Columns of each view, in order, as a catalogue would list them.
 VIEW_COLUMNS: dict[str, tuple[str, ...]] = {
-    "staging.orders_clean": ("order_id", "customer_id", "revenue", "created_at"),
-    "staging.customers_clean": ("customer_id", "customer_name", "nation", "c_acctbal"),
-    "staging.orders_with_customer": ("order_id", "revenue", "created_at", "name", "nation"),
-    "analytics.monthly_revenue": ("month", "nation", "total_revenue", "order_count"),
-    "analytics.customer_summary": ("name", "nation", "total_orders", "total_spent", "avg_order_value"),
-    "analytics.customer_ranking": ("name", "nation", "total_spent", "total_orders", "rank_in_nation", "orders_rank", "prev_spent"),
-    "staging.parts_clean": ("part_id", "part_name", "brand", "size_class", "unit_price"),
-    "staging.lineitems_clean": ("order_id", "part_id", "quantity", "returned", "shipped_at", "flag"),
-    "analytics.part_sales": ("part_id", "part_name", "brand", "unit_price", "units", "sales", "flags", "last_sale"),
-    "staging.all_revenue": ("event_id", "amount", "event_at", "event_type"),
-    "staging.raw_sessions": ("user_id", "page", "session_start", "session_end", "event_count"),
-    "staging.sessions": ("user_id", "page", "session_start", "session_end", "event_count", "duration_seconds"),
-    "analytics.user_funnel": ("user_id", "pages_visited", "total_time", "last_seen", "segment"),
-    "reporting.dashboard": ("month", "nation", "nation_name", "total_revenue", "order_count", "revenue_per_order"),
-    "analytics.big_spenders": ("customer_id", "customer_name"),
-    "analytics.customers_without_orders": ("customer_id", "customer_name", "orders"),
-    "analytics.largest_order": ("customer_id", "largest"),
-    "analytics.nation_pages": ("label",),
-    "analytics.wide_orders": ("order_id", "customer_id", "revenue", "created_at", "customer_name"),
+    view: tuple(names.split())
+    for view, names in {
+        "freight.consignments": "order_ref part_ref shipper from_nation pieces cents state left_at",
+        "freight.load_calendar": "period state pieces n_lines bulky returned_cents",
+        "freight.lead_times": "order_ref part_ref shipper from_nation pieces cents state left_at lead_days origin zone",
+        "freight.zone_marks": "zone origin pieces last_out place wide_rank thin_rank ahead behind zone_pieces mean_shippers origins running",
+        "freight.state_shares": "state n_lines all_lines place",
+        "freight.newest_line": "shipper order_ref part_ref left_at",
+        "buyers.last_order": "buyer order_ref o_orderstatus",
+        "buyers.next_order": "buyer order_ref",
+        "buyers.watch": "buyer label dearest",
+        "buyers.parties": "party role home",
+        "buyers.initials": "initial n",
+        "goods.bands": "band parts low high per_big",
+        "goods.kinds": "kind mean_size spread variance tie branded again rows_held",
+        "goods.brand_lists": "kind brands",
+        "goods.by_zone": "zone kinds",
+        "goods.words": "part_ref word at",
+        "signals.cells": "vec_id value at half",
+        "signals.boxes": "vec_id kind n head",
+        "signals.visits": "user_id visits since hours",
+        "signals.loudest": "user_id n unit after_start",
+        "desk.open_book": "o_orderkey o_custkey o_orderstatus o_orderdate o_orderpriority",
+        "desk.overview": "zone origin pieces parts per_part",
+    }.items()
 }
-RAW = ("orders", "customer", "part", "lineitem", "events", "nation", "region")
-NAME = re.compile(r"\b(raw|staging|analytics|reporting)\.(\w+)")
-
-
-def needed(view: str, seen: list[str] | None = None) -> list[str]:
-    """The view and all views it rests on, each after those it needs."""
-    seen = [] if seen is None else seen
-    for dataset, name in NAME.findall(VIEWS[view]):
-        if dataset != "raw" and f"{dataset}.{name}" not in seen:
-            needed(f"{dataset}.{name}", seen)
-    if view not in seen:
-        seen.append(view)
-    return seen
-
-
-def one_statement(view: str, raw: str = "{name}") -> str:
-    """The view and what it rests on as one statement; ``raw`` formats the name of a raw table."""
-
-    def named(m: re.Match) -> str:
-        return raw.replace("name", m[2]) if m[1] == "raw" else f"{m[1]}_{m[2]}"
-
-    parts = [f"{v.replace('.', '_')} AS ({NAME.sub(named, VIEWS[v])})" for v in needed(view)]
-    return f"WITH {', '.join(parts)} SELECT * FROM {view.replace('.', '_')}"
+RAW = ("customer", "embeddings", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
 
 
 def run_view(spark: SparkSession, directory: str, view: str) -> DataFrame:
-    text = one_statement(view)
-    tables = {t: read_table(spark, directory, t) for t in RAW if f"{{{t}}}" in text}
-    return spark.sql(text, **tables)
+    return run_sql(spark, VIEWS[view], {f"tpc.{t}": read_table(spark, directory, t) for t in RAW}, VIEWS)
 
 
 def catalogue_rows(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and columns of the views and the raw tables they rest on."""
-    from weftline.model import COLUMNS, NODES
-
     nodes, cols = [], []
     for t in RAW:
-        nodes.append((f"raw.{t}", "table", "raw", t, "ingestion", None, None, "ok", None))
+        nodes.append((f"tpc.{t}", "table", "tpc", t, "ingestion", None, None, "ok", None))
         for i, f in enumerate(read_table(spark, directory, t).schema.fields):
-            cols.append((f"raw.{t}", i, f.name, f.name.lower(), f.dataType.simpleString(), "resolved"))
+            cols.append((f"tpc.{t}", i, f.name, f.name.lower(), f.dataType.simpleString(), "resolved"))
     for view, sql in VIEWS.items():
         dataset, name = view.split(".")
         nodes.append((view, "view", dataset, name, "bigquery_view", sql, None, "ok", None))
