@@ -1,7 +1,9 @@
 import random
 from collections import deque
 
-from weftline.operators.hierarchy import Hierarchy, graph_hierarchy
+import pytest
+
+from weftline.operators.hierarchy import Hierarchy, graph_hierarchy, strong_sets
 
 
 def brute(links):
@@ -31,16 +33,30 @@ def brute(links):
     return rows
 
 
-def got(spark, links):
+def got(spark, links, **how):
     df = spark.createDataFrame([(*l, "x") for l in links], "parent string, child string, root string")
-    return {tuple(r) for r in Hierarchy(df).table().collect()}
+    rows = [tuple(r) for r in Hierarchy(df, **how).table().collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
 
 
-def test_random_graph(spark):
+@pytest.mark.parametrize("how", [{}, {"stride": 1, "one_task": 0}, {"stride": 4}])
+def test_random_graph(spark, how):
     rng = random.Random(11)
     links = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(45)} | {("hot", f"n{i}") for i in range(30)}
     links |= {("x", "x"), ("x", "y"), ("a1", "a2"), ("a2", "a1")}
-    assert got(spark, list(links) + list(links)[:3]) == brute(links)
+    links |= {("r0", "q0"), *((f"q{i}", f"q{i + 1}") for i in range(14)), ("q9", "q3"), ("q12", "q11"), ("r1", "q5")}
+    assert got(spark, list(links) + list(links)[:3], **how) == brute(links)
+
+
+def test_strong_sets():
+    rng = random.Random(5)
+    for n in (3, 8, 30):
+        links = [(rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)]
+        rows = brute({(f"{a:02}", f"{b:02}") for a, b in links})
+        want = {n: d for k, _, n, d in rows if k == "cycle" and d > 1}
+        assert {f"{h:02}": len(p) for p in strong_sets(links) if len(p) > 1 for h in p} == want
+    assert [len(p) for p in strong_sets([(i, i + 1) for i in range(5000)] + [(5000, 0)])] == [5001] and strong_sets([]) == []
 
 
 def test_null_ends_and_nothing(spark):

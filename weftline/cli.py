@@ -5,10 +5,10 @@ from __future__ import annotations
 import argparse
 
 from weftline.model import ScanConfig
-from weftline.operators.edit import full_scan
+from weftline.service import LineageService
 from weftline.session import local_session
 from weftline.sources.catalog import from_spark_catalog, saved_graph
-from weftline.sources.store import load_graph, save_graph, scan_report
+from weftline.sources.store import log_report, scan_report
 
 
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
@@ -19,7 +19,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     serve.add_argument("--target", help="dataset.table to trace back from")
     serve.add_argument("--dataset", action="append", default=[], dest="datasets")
     serve.add_argument("--depth", type=int)
-    serve.add_argument("--port", type=int, default=8000, help="accepted for compatibility; nothing is served over HTTP")
+    serve.add_argument("--all", action="store_true", help="scan the whole project")
     serve.add_argument("--data-dir", default="data")
     serve.add_argument("--tables", help="directory of nodes, edges and shared_nodes tables; Spark's catalogue if not given")
     serve.add_argument("--no-scan", action="store_true")
@@ -29,21 +29,21 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> int:
     args = parse_args(argv)
     spark = local_session()
-    path = f"{args.data_dir}/{args.project}/current"
-    before = load_graph(spark, path)
-    if args.no_scan or not (args.target or args.datasets):
-        print("No graph yet" if before is None else scan_report(before))
-        return 0
     errors: list[str] = []
-    if args.tables:
-        saved = saved_graph(spark, args.tables)
-        catalogue = (saved.nodes, saved.columns)
-    else:
-        nodes, columns, errors = from_spark_catalog(spark)
-        catalogue = (nodes, columns)
-    graph = full_scan(catalogue, ScanConfig(args.target, tuple(args.datasets), args.depth), args.project, before)
-    save_graph(graph, path)
-    print(scan_report(graph, errors))
+
+    def catalogue():
+        if args.tables:
+            saved = saved_graph(spark, args.tables)
+            return saved.nodes, saved.columns
+        nodes, columns, failed = from_spark_catalog(spark)
+        errors[:] = failed
+        return nodes, columns
+
+    service = LineageService(spark, args.data_dir, args.project, catalogue, args.no_scan)
+    if not args.no_scan and (args.target or args.datasets or args.all):
+        service.scan(ScanConfig(args.target, tuple(args.datasets), args.depth))
+        log_report(service.current, errors)
+    print("No graph yet" if service.current is None else scan_report(service.current, errors))
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -9,10 +11,19 @@ from pyspark.sql import functions as F
 
 from weftline.model import EDGES, MAPPINGS, LineageGraph, ScanConfig
 from weftline.operators.graph import build_graph
-from weftline.operators.scan import resolve_references, run_scan
+from weftline.operators.scan import ScanResult, resolve_references, run_scan
 from weftline.plans.lineage import view_references
 
 
+#: An argument that was not given, where None is a value.
+UNSET = object()
+Progress = Callable[[str, str], None]
+
+
+def silent(kind: str, message: str = "") -> None:
+    """Progress that nobody follows."""
+
+
 class EditError(Exception):
     """A refused edit; ``status`` is the matching HTTP status."""
 
@@ -22,13 +33,14 @@ class EditError(Exception):
 
 
 def _mapping_rows(edge_id: str, source: str, target: str, mappings: list[dict]) -> list[tuple]:
-    return [
-        (
-            edge_id, source, target, m.get("target_column") or "", list(m.get("source_columns") or []),
-            m.get("transformation") or "external", m.get("expression"), m.get("description"),
-        )
-        for m in mappings
-    ]
+    """Rows of a mapping payload; a mapping must name its target column, the rest has defaults."""
+    out = []
+    for m in mappings:
+        if not m.get("target_column"):
+            raise EditError(422, "target_column is required")
+        kind = m.get("transformation") or "unknown"
+        out.append((edge_id, source, target, m["target_column"], list(m.get("source_columns") or []), kind, m.get("expression"), m.get("description")))
+    return out
 
 
 def create_manual_edge(
@@ -39,10 +51,9 @@ def create_manual_edge(
         raise EditError(400, "No graph loaded")
     if not source or not target:
         raise EditError(422, "source_node and target_node are required")
-    have = {r.node_id for r in graph.nodes.where(F.col("node_id").isin(source, target)).select("node_id").collect()}
-    for end in (source, target):
-        if end not in have:
-            raise EditError(404, f"Node {end} not found")
+    have = {r.node_id for r in graph.nodes.where(F.col("node_id").isin(source, target)).select("node_id").distinct().collect()}
+    if gone := [end for end in (source, target) if end not in have]:
+        raise EditError(404, f"Nodes not found: {', '.join(gone)}")
     base = f"manual_{source}__{target}"
     near = F.col("edge_id") == base
     numbered = F.col("edge_id").startswith(f"{base}_") & F.col("edge_id").substr(F.lit(len(base) + 2), F.length("edge_id")).rlike(r"^\d+$")
@@ -62,12 +73,15 @@ def _manual(graph: LineageGraph, edge_id: str):
     return rows[0]
 
 
-def update_manual_edge(graph: LineageGraph, edge_id: str, description: str | None = None, mappings: list[dict] | None = None) -> LineageGraph:
-    """Change a manual edge's description, mappings or both; automatic edges cannot be addressed."""
+def update_manual_edge(graph: LineageGraph, edge_id: str, description: object = UNSET, mappings: list[dict] | None = None) -> LineageGraph:
+    """Change a manual edge's description, mappings or both; automatic edges cannot be addressed.
+
+    A description of None removes the one there is.
+    """
     row = _manual(graph, edge_id)
     edges, maps = graph.edges, graph.mappings
-    if description is not None:
-        text = F.when(F.col("edge_id") == edge_id, F.lit(description)).otherwise(F.col("description"))
+    if description is not UNSET:
+        text = F.when(F.col("edge_id") == edge_id, F.lit(description).cast("string")).otherwise(F.col("description"))
         edges = edges.withColumn("description", text)
     if mappings is not None:
         new = graph.spark.createDataFrame(_mapping_rows(edge_id, row.source_node, row.target_node, mappings), MAPPINGS)
@@ -129,12 +143,23 @@ def set_prune_points(graph: LineageGraph | None, points: object) -> LineageGraph
     return replace(graph, prune_points=[str(p) for p in points])
 
 
-def full_scan(catalogue: tuple[DataFrame, DataFrame], config: ScanConfig, project: str = "", before: LineageGraph | None = None) -> LineageGraph:
+def _scanned(catalogue: tuple[DataFrame, DataFrame], config: ScanConfig, progress: Progress) -> ScanResult:
+    nodes, _ = catalogue
+    return run_scan(nodes, resolve_references(view_references(nodes), nodes), config, progress)
+
+
+def full_scan(
+    catalogue: tuple[DataFrame, DataFrame],
+    config: ScanConfig,
+    project: str = "",
+    before: LineageGraph | None = None,
+    progress: Progress = silent,
+) -> LineageGraph:
     """Scan and build anew; manual edges of the graph before are kept where their nodes still exist, prune points are not."""
-    nodes, columns = catalogue
-    found = run_scan(nodes, resolve_references(view_references(nodes), nodes), config).nodes
+    found = _scanned(catalogue, config, progress).nodes
     manual = _only(before, "manual") if before is not None else None
-    return build_graph(found, columns.join(found.select("node_id"), "node_id", "left_semi"), config, project, manual)
+    columns = catalogue[1].join(found.select("node_id"), "node_id", "left_semi")
+    return build_graph(found, columns, config, project, manual, progress=progress)
 
 
 def _only(graph: LineageGraph, kind: str) -> LineageGraph:
@@ -142,7 +167,9 @@ def _only(graph: LineageGraph, kind: str) -> LineageGraph:
     return replace(graph, edges=edges, mappings=graph.mappings.join(edges.select("edge_id"), "edge_id", "left_semi"))
 
 
-def overlay(graph: LineageGraph, nodes: DataFrame, columns: DataFrame, config: ScanConfig | None = None) -> LineageGraph:
+def overlay(
+    graph: LineageGraph, nodes: DataFrame, columns: DataFrame, config: ScanConfig | None = None, progress: Progress = silent
+) -> LineageGraph:
     """Newly scanned nodes laid over a graph: they replace nodes of their id, and what they touch is parsed again.
 
     Parsed are the new nodes and the targets of automatic edges out of them; other automatic edges
@@ -158,25 +185,30 @@ def overlay(graph: LineageGraph, nodes: DataFrame, columns: DataFrame, config: S
     again = fresh.unionByName(touched.select(F.col("target_node").alias("node_id"))).distinct()
     stay = auto.edges.join(again.withColumnRenamed("node_id", "target_node"), "target_node", "left_anti").select(*graph.edges.columns)
     carried = replace(auto, edges=stay, mappings=auto.mappings.join(stay.select("edge_id"), "edge_id", "left_semi").select(*graph.mappings.columns))
-    built = build_graph(all_nodes, all_cols, config, graph.metadata.get("project_id", ""), _only(graph, "manual"), again, carried)
+    built = build_graph(all_nodes, all_cols, config, graph.metadata.get("project_id", ""), _only(graph, "manual"), again, carried, progress=progress)
     return replace(built, prune_points=graph.prune_points)
 
 
-def merge_scan(graph: LineageGraph | None, catalogue: tuple[DataFrame, DataFrame], config: ScanConfig) -> LineageGraph:
+def merge_scan(
+    graph: LineageGraph | None, catalogue: tuple[DataFrame, DataFrame], config: ScanConfig, progress: Progress = silent
+) -> LineageGraph:
     """Scan more and merge: the configuration becomes the union of datasets without target or depth."""
     if graph is None:
         raise EditError(400, "No graph loaded")
-    nodes, columns = catalogue
-    found = run_scan(nodes, resolve_references(view_references(nodes), nodes), config).nodes
+    found = _scanned(catalogue, config, progress).nodes
     old = graph.metadata.get("scan_config") or {}
     both = tuple(sorted({*(old.get("datasets") or []), *config.datasets}))
-    return overlay(graph, found, columns, ScanConfig(datasets=both))
+    return overlay(graph, found, catalogue[1], ScanConfig(datasets=both), progress)
 
 
-def expand_node(graph: LineageGraph | None, catalogue: tuple[DataFrame, DataFrame], node_id: str, depth: int = 1) -> LineageGraph:
+def expand_node(
+    graph: LineageGraph | None, catalogue: tuple[DataFrame, DataFrame], node_id: str, depth: int = 1, progress: Progress = silent
+) -> LineageGraph:
     """Scan on from a truncated node, within the datasets of the graph's own scan and the node's."""
     if graph is None:
         raise EditError(400, "No graph loaded")
+    if not node_id:
+        raise EditError(422, "node_id is required")
     rows = graph.nodes.where(F.col("node_id") == node_id).select("status", "dataset").limit(1).collect()
     if not rows:
         raise EditError(404, f"Node {node_id} not found")
@@ -184,12 +216,11 @@ def expand_node(graph: LineageGraph | None, catalogue: tuple[DataFrame, DataFram
         raise EditError(400, f"Node {node_id} is not truncated")
     old = graph.metadata.get("scan_config") or {}
     datasets = tuple(sorted({*(old.get("datasets") or []), rows[0].dataset})) if old.get("datasets") else ()
-    nodes, columns = catalogue
-    found = run_scan(nodes, resolve_references(view_references(nodes), nodes), ScanConfig(node_id, datasets, depth)).nodes
+    found = _scanned(catalogue, ScanConfig(node_id, datasets, depth), progress).nodes
     real = found.where("status <> 'truncated'").unionByName(
         found.where("status = 'truncated'").join(graph.nodes.select("node_id"), "node_id", "left_anti")
     )
-    built = overlay(graph, real, columns)
+    built = overlay(graph, real, catalogue[1], progress=progress)
     return replace(built, metadata={**built.metadata, "scan_config": old})
 
 
@@ -197,10 +228,12 @@ class ScanLock:
     """One scan at a time: claimed when it is accepted, so that two requests cannot both begin."""
 
     def __init__(self) -> None:
-        import threading
-
         self._lock = threading.Lock()
 
+    @property
+    def held(self) -> bool:
+        return self._lock.locked()
+
     def __enter__(self) -> ScanLock:
         if not self._lock.acquire(blocking=False):
             raise EditError(409, "A scan is already in progress")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.model import LineageGraph
 from weftline.operators.graph import topological_order
+from weftline.operators.hierarchy import Hierarchy
 from weftline.operators.walk import closure
 from weftline.session import Scratch
 
@@ -16,15 +17,26 @@ from weftline.session import Scratch
 def node_depths(graph: LineageGraph) -> DataFrame:
     """(node_id, depth, on_cycle): longest distance from a root, turned round so that the deepest are 0.
 
-    Nodes on or behind a cycle have no longest distance; they count as unreached and are marked.
+    A set of nodes that reach each other counts as one step, so what lies behind a loop keeps its
+    distance; its nodes are marked.  Nodes that no root leads to count as distance 0.
     """
     scratch = Scratch(graph.spark, "depths")
-    nodes = graph.nodes.select("node_id", F.xxhash64("node_id").alias("ord"))
-    deps = graph.edges.select(F.col("target_node").alias("node_id"), F.col("source_node").alias("dep")).where("node_id is not null and dep is not null")
-    levels = scratch.cut(topological_order(nodes, deps, scratch), "levels")
-    most = max(levels.agg(F.max("level")).collect()[0][0] or 0, 0)
-    depth = F.lit(most).cast("bigint") - F.greatest("level", F.lit(0))
-    return levels.select("node_id", depth.alias("depth"), (F.col("level") < 0).alias("on_cycle"))
+    links = graph.edges.select(F.col("source_node").alias("parent"), F.col("target_node").alias("child"))
+    ids = graph.nodes.select("node_id")
+    links = links.join(ids.withColumnRenamed("node_id", "parent"), "parent", "left_semi").join(ids.withColumnRenamed("node_id", "child"), "child", "left_semi")
+    links = scratch.cut(links.where("parent <> child").distinct(), "links")
+    sets = scratch.cut(Hierarchy(links).named_cycles().where("root_id <> node_id or depth > 1"), "sets").select("node_id", F.col("root_id").alias("set"))
+    whole = scratch.cut(ids.join(sets, "node_id", "left").select("node_id", F.coalesce("set", "node_id").alias("set"), F.col("set").isNotNull().alias("on_cycle")), "whole")
+    roots = ids.join(links.select(F.col("child").alias("node_id")), "node_id", "left_anti").select(F.col("node_id").alias("node"))
+    led = closure(links.select(F.col("parent").alias("src"), F.col("child").alias("dst")), roots, scratch)
+    links = links.join(led.select(F.col("node").alias("parent")), "parent", "left_semi")
+    above = whole.select(F.col("node_id").alias("parent"), F.col("set").alias("dep"))
+    below = whole.select(F.col("node_id").alias("child"), F.col("set").alias("node_id"))
+    deps = links.join(above, "parent").join(below, "child").where("dep <> node_id").select("node_id", "dep")
+    groups = whole.select(F.col("set").alias("node_id")).distinct().withColumn("ord", F.xxhash64("node_id"))
+    levels = scratch.cut(topological_order(groups, deps, scratch).select(F.col("node_id").alias("set"), "level"), "levels")
+    most = levels.agg(F.max("level")).collect()[0][0] or 0
+    return whole.join(levels, "set").select("node_id", (F.lit(most).cast("bigint") - F.col("level")).alias("depth"), "on_cycle")
 
 
 def distinct_values(graph: LineageGraph) -> DataFrame:

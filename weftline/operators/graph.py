@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -16,33 +17,33 @@ def topological_order(nodes: DataFrame, deps: DataFrame, scratch: Scratch) -> Da
     """(node_id, level, place): a node comes after all it depends on, first come first served.
 
     ``nodes`` is (node_id, ord), ``deps`` (node_id, dep).  Dependencies on itself or on unknown nodes
-    do not count.  Nodes on or behind a cycle have level -1 and come last, in their own order.
-    ``place`` rises with the order without being dense, so no task sorts everything.
+    do not count.  Nodes on or behind a cycle have level -1 and come last, in their own order.  The
+    order is that of (level, place) with -1 last; ``place`` lists the ords along the last dependencies,
+    so that no task sorts everything.  Each round handles the links out of the last level only.
     """
     own = deps.where("node_id <> dep").select("node_id", "dep").distinct()
     own = own.join(nodes.select("node_id"), "node_id", "left_semi")
     own = scratch.cut(own.join(nodes.select(F.col("node_id").alias("dep")), "dep", "left_semi").select("node_id", "dep"), "deps")
-    left = scratch.cut(nodes.select("node_id", "ord"), "left")
-    paths: list[str] = []
-    ready = left.join(own.select("node_id").distinct(), "node_id", "left_anti").withColumn("last", F.lit(-1).cast("bigint"))
-    while True:
-        level = ready.orderBy("last", "ord", "node_id").select("node_id", "ord").withColumn("seq", F.monotonically_increasing_id())
-        level = level.withColumn("level", F.lit(len(paths)).cast("bigint"))
-        paths.append(scratch.write(level, "level"))
-        last = scratch.read(paths[-1:], level.schema)
-        done = scratch.read(paths, level.schema)
-        if last.isEmpty():
-            break
-        left = scratch.cut(left.join(last.select("node_id"), "node_id", "left_anti"), "left")
-        waiting = own.join(left.select("node_id"), "node_id", "left_semi").join(
-            done.select(F.col("node_id").alias("dep"), "level", "seq"), "dep", "left"
+    need = own.groupBy("node_id").agg(F.count("*").alias("need"))
+    todo = nodes.select("node_id", F.col("ord").cast("bigint").alias("ord")).join(need, "node_id", "left")
+    todo = scratch.cut(todo.withColumn("need", F.coalesce("need", F.lit(0))), "todo")
+    # of each node: how many of what it needs came up to a level, and the place that follows from the last
+    state = todo.where("need = 0").select(
+        "node_id", F.lit(0).cast("bigint").alias("level"), F.lit(0).cast("bigint").alias("got"), F.lit(True).alias("ready"), F.array("ord").alias("place")
+    )
+    schema, paths = state.schema, [scratch.write(state, "level")]
+    while not (last := scratch.read(paths[-1:], schema).where("ready")).isEmpty():
+        came = own.join(last.select(F.col("node_id").alias("dep"), "place"), "dep").groupBy("node_id").agg(
+            F.count("*").alias("more"), F.max("place").alias("after")
         )
-        free = waiting.groupBy("node_id").agg(
-            F.max(F.col("seq").isNull()).alias("blocked"), F.max(F.struct("level", "seq")).alias("after")
+        before = scratch.read(paths, schema).groupBy("node_id").agg(F.max("got").alias("had"))
+        now = came.join(before, "node_id", "left").join(todo, "node_id").select(
+            "node_id", F.lit(len(paths)).cast("bigint").alias("level"), (F.coalesce("had", F.lit(0)) + F.col("more")).alias("got"), "need", F.concat("after", F.array("ord")).alias("place")
         )
-        ready = left.join(free.where("not blocked"), "node_id").select("node_id", "ord", F.col("after.seq").alias("last"))
-    rest = left.select("node_id", F.lit(-1).cast("bigint").alias("level"), F.col("ord").cast("bigint").alias("place"))
-    return rest.unionByName(done.select("node_id", "level", F.col("seq").alias("place")))
+        paths.append(scratch.write(now.select("node_id", "level", "got", (F.col("got") == F.col("need")).alias("ready"), "place"), "level"))
+    done = scratch.read(paths, schema).where("ready").select("node_id", "level", "place")
+    rest = todo.join(done.select("node_id"), "node_id", "left_anti")
+    return done.unionByName(rest.select("node_id", F.lit(-1).cast("bigint").alias("level"), F.array("ord").alias("place")))
 
 
 def graph_stats(graph: LineageGraph) -> DataFrame:
@@ -95,6 +96,7 @@ def build_graph(
     only: DataFrame | None = None,
     carried: LineageGraph | None = None,
     generated_at: str | None = None,
+    progress: Callable[[str, str], None] = lambda kind, message: None,
 ) -> LineageGraph:
     """The graph of scanned nodes: views parsed, statuses set, manual edges kept, parse errors counted.
 
@@ -103,6 +105,7 @@ def build_graph(
     it had another status; other findings never override a status that is not ok.
     """
     scratch = Scratch(nodes.sparkSession, "build")
+    progress("build_sort", "Reading the SQL of views")
     parsed = scratch.cut(parse_views(nodes, columns, only), "parsed")
     found = parsed.where("outcome = 'ok'")
     edge_id = F.concat(F.lit("edge_"), "source_node", F.lit("__"), "target_node").alias("edge_id")
@@ -145,7 +148,11 @@ def build_graph(
         "description": None,
         "scan_config": {"target": config.target, "datasets": list(config.datasets), "depth": config.depth},
     }
-    errors = outcome.where("outcome <> 'ok'").count()
+    by_outcome = {r.outcome: r["count"] for r in outcome.groupBy("outcome").count().collect()}
+    errors = sum(n for kind, n in by_outcome.items() if kind != "ok")
+    progress("build_parse", f"Read {sum(by_outcome.values())} views, {errors} without lineage")
     parts = {"nodes": statuses, "columns": cols, "edges": edges, "mappings": maps}
     # written once: graphs are built upon graphs, and plans must not grow with every step
-    return LineageGraph(*(scratch.cut(df, name) for name, df in parts.items()), metadata=meta, parse_errors=errors)
+    built = LineageGraph(*(scratch.cut(df, name) for name, df in parts.items()), metadata=meta, parse_errors=errors)
+    progress("build_complete", f"Graph of {built.nodes.count()} nodes and {built.edges.count()} edges")
+    return built

@@ -37,6 +37,15 @@ walk(n, l) AS (
   UNION SELECT x.n, w.l + 1 FROM walk w JOIN deps x ON x.d = w.n WHERE x.n NOT IN (SELECT n FROM bad)),
 levels AS (SELECT node_id, CASE WHEN node_id IN (SELECT n FROM bad) THEN -1 ELSE (SELECT max(l) FROM walk WHERE n = node_id) END::BIGINT AS level FROM g_nodes)"""
 
+_DEPTHS = """
+mutual AS (SELECT x.a AS n, min(x.b) AS s FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+sets AS (SELECT node_id AS n, coalesce(s, node_id) AS s, s IS NOT NULL AS looped FROM g_nodes LEFT JOIN mutual ON n = node_id),
+tops AS (SELECT node_id AS n FROM g_nodes WHERE node_id NOT IN (SELECT n FROM deps)),
+led AS (SELECT n FROM tops UNION SELECT b FROM reach WHERE a IN (SELECT n FROM tops)),
+set_deps AS (SELECT DISTINCT p.s AS d, c.s AS n FROM deps x JOIN sets p ON p.n = x.d JOIN sets c ON c.n = x.n WHERE p.s <> c.s AND x.d IN (SELECT n FROM led)),
+fall(n, l) AS (SELECT s, 0 FROM sets UNION SELECT x.n, f.l + 1 FROM fall f JOIN set_deps x ON x.d = f.n),
+falls AS (SELECT n, max(l)::BIGINT AS l FROM fall GROUP BY n)"""
+
 _BUSY = """
 busy AS (SELECT sn AS node, sc AS col FROM ce WHERE sn IS NOT NULL AND sc IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, sn, sc LIMIT 1),
 hops AS (SELECT DISTINCT sn, sc, tn, tc FROM ce),
@@ -110,7 +119,7 @@ FROM (SELECT status, node_id IN (SELECT target_node FROM g_edges) AS i, node_id
 (SELECT (target_node, lower(target_column)) FROM g_maps WHERE transformation <> 'unknown' AND target_node IS NOT NULL AND target_column IS NOT NULL)
 THEN 'resolved' ELSE 'unknown' END AS lineage_status FROM g_cols""",
     "topo_order": f"{_W}, {_LEVELS} SELECT node_id, level FROM levels",
-    "node_depths": f"""{_W}, {_LEVELS} SELECT node_id, (SELECT greatest(max(level), 0) FROM levels) - greatest(level, 0) AS depth, level < 0 AS on_cycle FROM levels""",
+    "node_depths": f"""{_W}, {_LEVELS}, {_DEPTHS} SELECT s.n AS node_id, (SELECT max(l) FROM falls) - l AS depth, looped AS on_cycle FROM sets s JOIN falls f ON f.n = s.s""",
     "trace_column": f'{_W}, {_BUSY} SELECT direction, node, col AS "column", depth FROM traced',
     "trace_column_edges": f"""{_W}, {_BUSY} SELECT DISTINCT edge_id FROM ce
 WHERE (sn, sc) IN (SELECT (node, col) FROM traced) AND (tn, tc) IN (SELECT (node, col) FROM traced)""",

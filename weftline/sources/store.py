@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from dataclasses import replace
 
@@ -37,22 +38,57 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
-def save_graph(graph: LineageGraph, path: str) -> None:
-    """One Parquet table for each part and a metadata file, written last, that makes the save valid."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete saves of a graph, oldest first."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(p)]
+    numbers = sorted(int(n.removeprefix("v")) for n in names if re.fullmatch(r"v\d+", n))
+    return [n for n in numbers if fs.exists(_fs(spark, f"{_version(path, n)}/graph.json")[1])]
+
+
+def _version(path: str, number: int) -> str:
+    return f"{path}/v{number:010}"
+
+
+def save_graph(graph: LineageGraph, path: str) -> LineageGraph:
+    """Save as a new version and return the graph as saved.
+
+    A version holds one Parquet table for each part and a metadata file, which appears last and whole
+    and makes the version valid: a save that breaks off leaves the one before.  The version before is
+    kept, since the saved graph may still be read from it; older ones are deleted.
+    """
+    spark = graph.spark
+    before = _versions(spark, path)
+    target = _version(path, before[-1] + 1 if before else 1)
     for name in TABLES:
-        getattr(graph, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        getattr(graph, name).write.mode("overwrite").parquet(f"{target}/{name}")
     meta = {"metadata": graph.metadata, "prune_points": graph.prune_points, "parse_errors": graph.parse_errors}
-    _write_text(graph.spark, f"{path}/graph.json", json.dumps(meta))
+    _write_text(spark, f"{target}/.graph.json.tmp", json.dumps(meta))
+    fs, part = _fs(spark, f"{target}/.graph.json.tmp")
+    fs.rename(part, _fs(spark, f"{target}/graph.json")[1])
+    for number in before[:-1]:
+        fs.delete(_fs(spark, _version(path, number))[1], True)
+    return load_graph(spark, path) or graph
+
+
+def _metadata(spark: SparkSession, path: str) -> tuple[str, dict] | None:
+    """Folder and metadata of the newest version; None if there is none."""
+    found = _versions(spark, path)
+    if not found:
+        return None
+    folder = _version(path, found[-1])
+    return folder, json.loads(_read_text(spark, f"{folder}/graph.json") or "")
 
 
 def load_graph(spark: SparkSession, path: str) -> LineageGraph | None:
     """A saved graph; None if there is none or it cannot be read."""
     try:
-        text = _read_text(spark, f"{path}/graph.json")
-        if text is None:
+        if (found := _metadata(spark, path)) is None:
             return None
-        meta = json.loads(text)
-        parts = [spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()]
+        folder, meta = found
+        parts = [spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in TABLES.items()]
         return LineageGraph(*parts, meta.get("prune_points") or [], meta.get("metadata") or {}, meta.get("parse_errors") or 0)
     except Exception:
         return None
@@ -74,7 +110,7 @@ def list_scans(spark: SparkSession, root: str) -> list[dict]:
         name = status.getPath().getName().removeprefix("name=")
         entry = {"name": name}
         try:
-            entry |= json.loads(_read_text(spark, f"{root}/scans/name={name}/graph.json") or "")["metadata"]
+            entry |= _metadata(spark, f"{root}/scans/name={name}")[1]["metadata"]
         except (ValueError, KeyError, TypeError):
             pass
         out.append(entry)
@@ -100,8 +136,7 @@ def load_scan(spark: SparkSession, root: str, name: str) -> LineageGraph:
     graph = load_graph(spark, _scan_path(root, name))
     if graph is None:
         raise EditError(404, f"Scan {name} not found")
-    save_graph(graph, f"{root}/current")
-    return graph
+    return save_graph(graph, f"{root}/current")
 
 
 def delete_scan(spark: SparkSession, root: str, name: str) -> None:
@@ -212,11 +247,33 @@ def scan_report(graph: LineageGraph, errors: list[str] | None = None) -> str:
         f"Edges: {s.total_edges}",
         f"Orphans: {s.orphan_nodes}, terminal: {s.terminal_nodes}, truncated: {s.truncated_nodes}, parse errors: {s.parse_errors}",
     ]
-    weak = graph.nodes.where("status <> 'ok'").select("node_id", "status", "status_message").orderBy("node_id").limit(100).collect()
-    lines += [f"  {r.status}: {r.node_id} {r.status_message or ''}".rstrip() for r in weak]
+    config = graph.metadata.get("scan_config") or {}
+    told = [f"{k}={v}" for k, v in config.items() if v]
+    lines[1:1] = [f"Scan of: {', '.join(told)}"] if told else []
+    for r in graph.nodes.where("status <> 'ok'").groupBy("status").count().orderBy("status").collect():
+        lines.append(f"Nodes with status {r.status}: {r['count']}")
+    weak = graph.nodes.where("status <> 'ok'").select("node_id", "status", "status_message").orderBy("node_id")
+    lines += [f"  {r.status}: {r.node_id} {r.status_message or ''}".rstrip() for r in weak.toLocalIterator()]
     lines += [f"  error: {e}" for e in errors or []]
     return "\n".join(lines)
 
 
+def log_report(graph: LineageGraph, errors: list[str] | None = None, log: logging.Logger | None = None) -> None:
+    """The totals of a scan in the log: what needs looking at as warnings, the rest as information."""
+    log = log or logging.getLogger("weftline")
+    s = graph_stats(graph).collect()[0]
+    log.info("graph of %d nodes and %d edges; by type: %s", s.total_nodes, s.total_edges, dict(s.nodes_by_type or {}))
+    for level, text, n in (
+        (logging.WARNING, "without any edge", s.orphan_nodes),
+        (logging.INFO, "that feed nothing", s.terminal_nodes),
+        (logging.INFO, "cut off by the scan's limits", s.truncated_nodes),
+        (logging.WARNING, "whose SQL gave no lineage", s.parse_errors),
+    ):
+        if n:
+            log.log(level, "nodes %s: %d", text, n)
+    for error in errors or []:
+        log.warning("scan error: %s", error)
+
+
 def with_prune_points(graph: LineageGraph, points: list[str]) -> LineageGraph:
     return replace(graph, prune_points=points)

@@ -6,6 +6,7 @@ import itertools
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,30 +40,63 @@ class EventLog:
         fs.rename(part, target)  # whole files only ever appear
 
 
+def reset(spark: SparkSession, path: str) -> None:
+    """Forget all events; those who follow see no more of them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
-def stream_events(spark: SparkSession, path: str) -> DataFrame:
-    """All events from the first on, then new ones as they come; late readers miss nothing."""
-    return spark.readStream.schema(SCHEMA).json(path)
+#: Event files taken into one batch of a stream, and events handed over at a time.
+FILES, CHUNK = 1000, 500
 
 
-def follow(spark: SparkSession, path: str, on_rows, checkpoint: str, timeout: float = 600.0) -> None:
-    """Hand events to ``on_rows`` (a list of rows, in order) until a scan's terminal event or the timeout."""
-    ended = []
+def stream_events(spark: SparkSession, path: str, files: int = FILES) -> DataFrame:
+    """All events from the first on, then new ones as they come; late readers miss nothing."""
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).json(path)
+
+
+def follow(
+    spark: SparkSession,
+    path: str,
+    on_rows: Callable[[list], None],
+    checkpoint: str,
+    timeout: float = 600.0,
+    on_idle: Callable[[], None] | None = None,
+    idle: float = 30.0,
+    files: int = FILES,
+) -> None:
+    """Hand events to ``on_rows`` (lists of rows, in order) until a scan's terminal event or the timeout.
+
+    A backlog is taken in batches of at most ``files`` files and handed over in short lists, so that it
+    never lies in memory whole.  ``on_idle`` is called when nothing has come for ``idle`` seconds.
+    """
+    ended, heard = [], [time.time()]
 
     def batch(df: DataFrame, _: int) -> None:
-        rows = df.orderBy("ts", "seq").collect()
-        if rows:
-            on_rows(rows)
-        ended.extend(r for r in rows if r.type in TERMINAL)
-
-    query = stream_events(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+        part = []
+        for row in df.orderBy("ts", "seq").toLocalIterator():
+            part.append(row)
+            if row.type in TERMINAL:
+                ended.append(row)
+            if len(part) >= CHUNK:
+                on_rows(part)
+                part = []
+        if part:
+            on_rows(part)
+        heard[0] = time.time()
+
+    query = stream_events(spark, path, files).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
     began = time.time()
     try:
         while not ended and time.time() - began < timeout and query.isActive:
             query.processAllAvailable()
+            if on_idle and time.time() - heard[0] >= idle:
+                on_idle()
+                heard[0] = time.time()
             time.sleep(0.1)
     finally:
         query.stop()
