@@ -45,3 +45,18 @@ def test_scan_order_by_time_not_by_id(spark):
     df = spark.createDataFrame(rows, "snapshot_id bigint, project_id string, generated_at string, received_at int")
     got = {r.snapshot_id: (r.ord, r.prev_id) for r in scan_order(df).collect()}
     assert got == {7: (1, None), 3: (2, 7), 5: (3, 3), 9: (1, None)}
+
+
+def test_scratch_is_freed(spark, tmp_path):
+    import os
+
+    from weftline.session import Scratch, scratch_scope
+
+    outer = Scratch(spark, "outer")
+    kept = outer.cut(spark.range(3))
+    with scratch_scope():
+        inner = Scratch(spark, "inner")
+        assert inner.cut(spark.range(2)).count() == 2 and os.path.exists(inner.root)
+    assert not os.path.exists(inner.root) and kept.count() == 3
+    outer.drop()
+    assert not os.path.exists(outer.root)

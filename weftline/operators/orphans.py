@@ -49,6 +49,10 @@ def held_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where("id is not null").select("snapshot_id", F.col("id").alias("node"), names.alias("cols"))
 
 
+#: Held rows of heavy keys, and column names in them, that are broadcast; more are joined by shuffle.
+HOT_ROWS, HOT_NAMES = 100_000, 2_000_000
+
+
 def _lacking(keys: DataFrame, held: DataFrame, common: DataFrame) -> DataFrame:
     """Keys whose node is neither held nor common, or has columns of which none is the one named."""
     found = keys.join(held, ["snapshot_id", "node"], "left").join(common, "node", "left")
@@ -60,12 +64,16 @@ def _lacking(keys: DataFrame, held: DataFrame, common: DataFrame) -> DataFrame:
 def orphan_keys(refs: DataFrame, held: DataFrame, shared: DataFrame, scratch: Scratch) -> DataFrame:
     """(snapshot_id, node, col, n): keys of references that lack their record, n references each.
 
-    ``held`` is (snapshot_id, node, cols); ``shared`` (node, cols) belongs to every period.
+    ``held`` is (snapshot_id, node, cols); ``shared`` (node, cols) belongs to every period.  What is held
+    of heavy keys is broadcast if it is measured to be small: then their references are checked where they lie.
     """
     counts = scratch.cut(refs.groupBy(*KEY).agg(F.count("*").alias("n")), "counts")
     heavy = F.broadcast(scratch.cut(heavy_keys(counts, ["node"]), "heavy"))  # under MAX_HEAVY rows
     common = shared.groupBy("node").agg(F.flatten(F.collect_list("cols")).alias("common_cols"))
-    hot = _lacking(counts.join(heavy, "node", "left_semi"), held.join(heavy, "node", "left_semi"), common)
+    hot_held = scratch.cut(held.join(heavy, "node", "left_semi"), "hot_held")
+    size = hot_held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("cols")), F.lit(0)).alias("names")).collect()[0]
+    small = size.n <= HOT_ROWS and size.names <= HOT_NAMES
+    hot = _lacking(counts.join(heavy, "node", "left_semi"), F.broadcast(hot_held) if small else hot_held, common)
     rest = _lacking(counts.join(heavy, "node", "left_anti"), held.join(heavy, "node", "left_anti"), common)
     return hot.unionByName(rest)
 
@@ -112,7 +120,8 @@ def find_orphans(
     rest = refs.join(keys.where("not hot"), KEY)
     ref = F.when(F.col("field") == "source_columns", F.col("col")).otherwise(F.col("node"))
     both = hot.unionByName(rest)
-    return both.select("snapshot_id", "edge_id", "field", ref.alias("ref"), "kind").distinct()
+    # one row each: references are distinct within an edge, and keys have one kind
+    return both.select("snapshot_id", "edge_id", "field", ref.alias("ref"), "kind")
 
 
 def orphan_report(

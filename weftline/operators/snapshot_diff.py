@@ -1,10 +1,11 @@
 """What changed between consecutive full snapshots, by subtracting invertible Bloom lookup tables.
 
-A record is the pair (hash of its key, digest of its content).  Each scan's pairs are split into
-hash buckets, and each bucket is folded into one small table of cells holding counts and xors, so
-that only cells, not records, are compared between scans.  Subtracting two tables cancels what both
-hold; the rest is peeled into the differing pairs.  Buckets that do not peel are folded again with
-more cells, and after the last enlargement compared row by row.
+A record is the pair (hash of its key, digest of its key and content), 128 bits in all.  Pairs are moved
+once, to hash buckets that all scans of a project share; there each scan's bucket is folded into one
+small table of cells holding counts and xors, so that only cells, not records, are compared between
+scans.  Subtracting two tables cancels what both hold; the rest is peeled into the differing pairs.
+Buckets that do not peel are folded again with more cells, and after the last enlargement compared row
+by row.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ CELLS, GROWTH, ROUNDS = 60, 4, 4
 BUCKET = 256
 SEED = 42
 HASHES = 3
+#: A list of at most this many scans is broadcast.
+SCANS = 100_000
 PIECE = 20  # bits of the position hash for each of the three cells
-PEELED_COLUMNS = ["snapshot_id", "entity", "bucket", "kh", "ch", "sign"]
-PEELED = "snapshot_id bigint, entity string, bucket bigint, kh bigint, ch bigint, sign int"
+PLACE = ["project_id", "entity", "bucket"]
+PEELED_COLUMNS = [*PLACE, "snapshot_id", "kh", "ch", "sign"]
+PEELED = "project_id string, entity string, bucket bigint, snapshot_id bigint, kh bigint, ch bigint, sign int"
 
 
 def node_content(columns: Column) -> Column:
@@ -54,43 +58,26 @@ def edge_content(mappings: Column) -> Column:
 
 
 def records(node_snapshots: DataFrame, edge_snapshots: DataFrame) -> DataFrame:
-    """(snapshot_id, entity, id, kh, ch) of the newest rows; kh and ch are 64-bit hashes of id and content."""
+    """(snapshot_id, entity, id, kh, ch) of the newest rows; kh and ch are 64-bit hashes of id, and of id and content.
+
+    Contents are hashed where they are read, so that only hashes are moved.
+    """
     parts = []
     for df, entity, column, content in (
         (node_snapshots, "node", "columns", node_content),
         (edge_snapshots, "edge", "column_mappings", edge_content),
     ):
-        rows = newest(df, ["snapshot_id", "id"], "received_at", [column]).where("snapshot_id is not null and id is not null")
-        parts.append(
-            rows.select(
-                "snapshot_id",
-                F.lit(entity).alias("entity"),
-                "id",
-                F.xxhash64("id").alias("kh"),
-                F.xxhash64(content(F.col(column))).alias("ch"),
-            )
+        hashed = df.where("snapshot_id is not null and id is not null").select(
+            "snapshot_id", "id", "received_at", F.xxhash64("id", content(F.col(column))).alias("ch")
         )
+        rows = newest(hashed, ["snapshot_id", "id"], "received_at", ["ch"])
+        parts.append(rows.select("snapshot_id", F.lit(entity).alias("entity"), "id", F.xxhash64("id").alias("kh"), "ch"))
     return parts[0].unionByName(parts[1])
 
 
-def _cells(items: DataFrame, scans: DataFrame, per_table: int) -> DataFrame:
-    """Differing cells (snapshot_id, entity, bucket, cell, n, kx, cx, gx) of each scan against the one before."""
-    spot = F.xxhash64("kh", "ch")
-    cell = [
-        F.pmod(F.shiftright(spot, PIECE * j).bitwiseAND(F.lit((1 << PIECE) - 1)), F.lit(per_table)) + F.lit(j * per_table)
-        for j in range(HASHES)
-    ]
-    keys = ["snapshot_id", "entity", "bucket", "cell"]
-    each = (
-        items.withColumn("g", F.xxhash64("ch", "kh"))
-        .withColumn("cell", F.explode(F.array(*cell)))
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("ch").alias("cx"), F.bit_xor("g").alias("gx")
-        )
-    )
-    # a scan is the later of one pair and the earlier of the next
-    roles = scans.select(
+def _paired(rows: DataFrame, scans: DataFrame) -> DataFrame:
+    """Rows once for each pair of scans they belong to: ``snapshot_id`` is the later one, ``role`` 1 or -1."""
+    pairs = scans.select(
         "snapshot_id",
         F.explode(
             F.array(
@@ -99,12 +86,29 @@ def _cells(items: DataFrame, scans: DataFrame, per_table: int) -> DataFrame:
             )
         ).alias("x"),
     ).select("snapshot_id", "x.*").where("pair is not null")
-    both = each.join(roles, "snapshot_id").withColumn("snapshot_id", F.col("pair"))
-    left = both.groupBy(*keys).agg(
-        F.sum(F.col("n") * F.col("role")).alias("n"),
-        *(F.bit_xor(c).alias(c) for c in ("kx", "cx", "gx")),
+    return rows.join(pairs, "snapshot_id").withColumn("snapshot_id", F.col("pair")).drop("pair")
+
+
+def _tables(items: DataFrame, scans: DataFrame, per_table: int) -> DataFrame:
+    """(place, snapshot_id, cells): differing cells (cell, n, kx, cx, gx) of each scan against the one before.
+
+    ``items`` is partitioned by PLACE, which all steps keep: nothing is moved again.
+    """
+    spot = F.xxhash64("kh", "ch")
+    cell = [
+        F.pmod(F.shiftright(spot, PIECE * j).bitwiseAND(F.lit((1 << PIECE) - 1)), F.lit(per_table)) + F.lit(j * per_table)
+        for j in range(HASHES)
+    ]
+    keys = [*PLACE, "snapshot_id", "cell"]
+    xors = ("kx", "cx", "gx")
+    each = items.withColumn("gx", F.xxhash64("ch", "kh")).withColumn("cell", F.explode(F.array(*cell)))
+    each = each.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("ch").alias("cx"), F.bit_xor("gx").alias("gx")
     )
-    return left.where("n <> 0 or kx <> 0 or cx <> 0 or gx <> 0")
+    left = _paired(each, F.broadcast(scans)) if scans.count() <= SCANS else _paired(each, scans)
+    left = left.groupBy(*keys).agg(F.sum(F.col("n") * F.col("role")).alias("n"), *(F.bit_xor(c).alias(c) for c in xors))
+    left = left.where("n <> 0 or kx <> 0 or cx <> 0 or gx <> 0")
+    return left.groupBy(*PLACE, "snapshot_id").agg(F.collect_list(F.struct("cell", "n", *xors)).alias("cells"))
 
 
 def _hash(first: int, second: int) -> int:
@@ -144,64 +148,61 @@ def _peeler(per_table: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for sid, entity, bucket, cells in zip(batch.snapshot_id, batch.entity, batch.bucket, batch.cells, strict=True):
+            for project, entity, bucket, sid, cells in zip(batch.project_id, batch.entity, batch.bucket, batch.snapshot_id, batch.cells, strict=True):
                 table = {i: [0, 0, 0, 0] for i in range(HASHES * per_table)}
                 for c in cells:
                     table[c["cell"]] = [int(c["n"]), int(c["kx"]), int(c["cx"]), int(c["gx"])]
                 found = peel(table, per_table)
                 for kh, ch, sign in [(0, 0, 0)] if found is None else found:
-                    rows.append((sid, entity, bucket, kh, ch, sign))
+                    rows.append((project, entity, bucket, sid, kh, ch, sign))
             yield pd.DataFrame(rows, columns=PEELED_COLUMNS)
 
     return run
 
 
-def _exact(items: DataFrame, scans: DataFrame, failed: DataFrame) -> DataFrame:
-    """The differing pairs of buckets that never peeled, row by row."""
-    pairs = failed.join(scans.select("snapshot_id", "prev_id"), "snapshot_id")
-    key = ["snapshot_id", "entity", "bucket"]
-    later = items.join(failed, key, "left_semi").select(*key, "kh", "ch", F.lit(1).alias("role"))
-    earlier = (
-        items.withColumnRenamed("snapshot_id", "prev_id")
-        .join(pairs, ["prev_id", "entity", "bucket"])
-        .select(*key, "kh", "ch", F.lit(-1).alias("role"))
-    )
-    both = later.unionByName(earlier).groupBy(*key, "kh", "ch").agg(F.sum("role").cast("int").alias("sign"))
-    return both.where("sign <> 0")
+def _in(items: DataFrame, places: DataFrame) -> DataFrame:
+    """Items whose place is among ``places``; a null project is a project."""
+    flat = [F.coalesce(F.concat(F.lit("p"), "project_id"), F.lit("")).alias("p"), "entity", "bucket"]
+    return items.withColumn("p", flat[0]).join(places.select(*flat).distinct(), ["p", "entity", "bucket"], "left_semi").drop("p").select(*items.columns)
+
+
+def _exact(items: DataFrame, scans: DataFrame) -> DataFrame:
+    """The differing pairs of ``items``, row by row."""
+    both = _paired(items, scans).groupBy(*PLACE, "snapshot_id", "kh", "ch").agg(F.sum("role").cast("int").alias("sign"))
+    return both.where("sign <> 0").select(*PEELED_COLUMNS)
 
 
 def differing(items: DataFrame, scans: DataFrame, scratch: Scratch, cells: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
     """(snapshot_id, entity, kh, ch, sign): +1 pairs only in the scan, -1 only in the one before.
 
-    ``items`` is (snapshot_id, entity, bucket, kh, ch) with distinct kh, ``scans`` (snapshot_id,
-    prev_id, next_id).  The result is exact; cells and rounds only decide how it is found.
+    ``items`` is (project_id, entity, bucket, snapshot_id, kh, ch) with distinct pairs in a scan,
+    ``scans`` (snapshot_id, prev_id, next_id).  The result is exact; cells and rounds only decide how
+    it is found.
     """
-    key = ["snapshot_id", "entity", "bucket"]
     found: list[DataFrame] = []
-    open_items = items
-    failed = None
+    # one partition holds a bucket of all scans of a project, so that folding and subtracting move nothing
+    todo = items.repartition(*PLACE)
     for turn in range(rounds):
         per_table = cells // HASHES * GROWTH**turn
-        diff = _cells(open_items, scans, per_table)
-        if failed is not None:
-            diff = diff.join(failed, key, "left_semi")
-        tables = diff.groupBy(*key).agg(F.collect_list(F.struct("cell", "n", "kx", "cx", "gx")).alias("cells"))
-        peeled = scratch.cut(tables.mapInPandas(_peeler(per_table), PEELED), "peeled")
-        found.append(peeled.where("sign <> 0"))
-        failed = peeled.where("sign = 0").select(*key)
+        peeled = scratch.cut(_tables(todo, scans, per_table).mapInPandas(_peeler(per_table), PEELED), "peeled")
+        failed = peeled.where("sign = 0")
         if failed.isEmpty():
-            failed = None
+            found.append(peeled)
             break
-        touched = failed.join(scans.select("snapshot_id", "prev_id"), "snapshot_id").select(
-            F.explode(F.array("snapshot_id", "prev_id")).alias("snapshot_id"), "entity", "bucket"
-        )
-        open_items = items.join(touched.distinct(), key, "left_semi")
-    if failed is not None:
-        found.append(_exact(items, scans, failed).select(*PEELED_COLUMNS))
+        # a failed bucket is folded again for all its scans: what it gave before is left out
+        found.append(_not_in(peeled.where("sign <> 0"), failed))
+        todo = scratch.cut(_in(items, failed), "again").repartition(*PLACE)
+    else:
+        found.append(_exact(todo, scans))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.drop("bucket")
+    return out.select("snapshot_id", "entity", "kh", "ch", "sign")
+
+
+def _not_in(items: DataFrame, places: DataFrame) -> DataFrame:
+    flat = [F.coalesce(F.concat(F.lit("p"), "project_id"), F.lit("")).alias("p"), "entity", "bucket"]
+    return items.withColumn("p", flat[0]).join(places.select(*flat).distinct(), ["p", "entity", "bucket"], "left_anti").drop("p").select(*items.columns)
 
 
 def snapshot_changes(
@@ -214,7 +215,8 @@ def snapshot_changes(
     """(snapshot_id, entity, record_id, change) for each scan after the first of its project.
 
     Only scans with a header count.  Rows with a null snapshot_id or id are no record; a null array
-    equals an empty one.  Keys and contents are compared by 64-bit hashes.  Empty tables give no rows.
+    equals an empty one.  Records are compared by 128 bits of hashes and told apart by their ids.  Empty
+    tables give no rows.
     """
     scratch = Scratch(node_snapshots.sparkSession, "changes")
     order = scratch.cut(scan_order(graph_metadata), "order")
@@ -223,23 +225,17 @@ def snapshot_changes(
     rows = scratch.cut(records(node_snapshots, edge_snapshots), "records")
     # one bucket count per project, so that its scans are split alike
     sizes = rows.groupBy("snapshot_id", "entity").count().join(scans, "snapshot_id")
-    sizes = sizes.groupBy("project_id").agg(F.ceil(F.max("count") / BUCKET).alias("buckets"))
-    split = scans.join(sizes, scans.project_id.eqNullSafe(sizes.project_id)).select("snapshot_id", "buckets")
-    items = rows.join(split, "snapshot_id").select(
-        "snapshot_id", "entity", F.pmod(F.xxhash64("kh"), F.col("buckets")).cast("bigint").alias("bucket"), "kh", "ch"
+    sizes = sizes.groupBy(F.col("project_id").alias("of")).agg(F.ceil(F.max("count") / BUCKET).alias("buckets"))
+    split = scans.join(sizes, F.col("project_id").eqNullSafe(F.col("of"))).select("snapshot_id", "project_id", "buckets")
+    items = rows.join(scratch.cut(split, "split"), "snapshot_id").select(
+        "project_id", "entity", F.pmod(F.xxhash64("kh"), F.col("buckets")).cast("bigint").alias("bucket"), "snapshot_id", "kh", "ch"
     )
     diff = scratch.cut(differing(items, scans, scratch, cells, rounds), "diff")
-    kinds = diff.groupBy("snapshot_id", "entity", "kh").agg(
-        F.max(F.when(F.col("sign") > 0, F.col("ch"))).alias("now"), F.max(F.when(F.col("sign") < 0, F.col("ch"))).alias("was")
-    )
-    kinds = kinds.join(scans.select("snapshot_id", "prev_id"), "snapshot_id").select(
-        "snapshot_id",
-        "entity",
-        "kh",
-        F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed").alias("change"),
-        F.when(F.col("now").isNull(), F.col("prev_id")).otherwise(F.col("snapshot_id")).alias("held_in"),
-        F.coalesce("now", "was").alias("ch"),
-    )
-    # the record itself gives the id back, and its digest confirms what was peeled
+    # the records give their ids back, and their digests confirm what was peeled
+    placed = diff.join(scans.select("snapshot_id", "prev_id"), "snapshot_id").withColumn("held_in", F.when(F.col("sign") > 0, F.col("snapshot_id")).otherwise(F.col("prev_id")))
     named = rows.select(F.col("snapshot_id").alias("held_in"), "entity", "kh", "ch", F.col("id").alias("record_id"))
-    return kinds.join(named, ["held_in", "entity", "kh", "ch"]).select("snapshot_id", "entity", "record_id", "change")
+    sides = placed.join(named, ["held_in", "entity", "kh", "ch"]).groupBy("snapshot_id", "entity", "record_id").agg(
+        F.max("sign").alias("now"), F.min("sign").alias("was")
+    )
+    change = F.when(F.col("was") > 0, "added").when(F.col("now") < 0, "removed").otherwise("changed")
+    return sides.select("snapshot_id", "entity", "record_id", change.alias("change"))

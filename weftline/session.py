@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -44,18 +46,38 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Areas not dropped yet, oldest first.
+_areas: list[Scratch] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Drops on leaving all scratch areas made inside; write results before that.
+
+    Results of operators are read from scratch tables, so these must outlive them: a long session
+    wraps each step, from building a result to writing it, in a scope.
+    """
+    before = set(map(id, _areas))
+    try:
+        yield
+    finally:
+        for area in [a for a in _areas if id(a) not in before]:
+            area.drop()
+
+
 class Scratch:
     """Parquet tables under the checkpoint folder, one sub-folder per operator run.
 
     A written table cuts the lineage (a lost executor re-reads it), is computed once whatever
-    the number of readers, and stays columnar.  Tables live until :meth:`drop` or process end.
+    the number of readers, and stays columnar.  Tables live until :meth:`drop`, the end of a
+    :func:`scratch_scope` or of the process.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/weftline-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(self.drop)
+        _areas.append(self)
 
     def path(self, part: str) -> str:
         return f"{self.root}/{part}"
@@ -74,11 +96,18 @@ class Scratch:
         """Several written tables of one schema by a single scan, however many they are."""
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def drop(self, part: str = "") -> None:
-        """Delete the whole area, or one table of it."""
+    def drop(self) -> None:
+        """Delete the whole area."""
+        if self in _areas:
+            _areas.remove(self)
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for area in list(_areas):
         try:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(self.path(part) if part else self.root)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            area.drop()
         except Exception:  # the session may be gone at process end
-            pass
+            continue
