@@ -1,8 +1,12 @@
 import random
+import re
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from weftline.llm.mojibake import Candidate, find_garbled, restore, segments
+from weftline.llm.mojibake import CELLS, Candidate, PairModel, Restorer, _count_pairs, find_garbled, restore, segments
 
 LETTERS = {
     "fr": ("bcdfglmnprstv", "aeiouéèêàâ"), "es": ("bcdflmnprstvñ", "aeiouáéíóú"), "de": ("bdfghklmnrstwß", "aeiouäöü"), "pl": ("bcdklmnprsztwłśćżź", "aeiouąęóy"),
@@ -71,15 +75,51 @@ def test_nothing(spark):
 
 
 def test_segments():
-    import numpy as np
-
     assert segments(np.array([-1, 2, 2, -1, 2, -9, 3.0, -1]), 2.5) == [(1, 5), (6, 7)]
     assert segments(np.array([]), 1) == [] and segments(np.array([-1.0, -2.0]), 1) == []
 
 
-def test_every_run_of_a_token_is_restored():
-    class Cafes:
-        def token(self, token):
-            return [Candidate(1.0, "Ã©", "é", ("latin-1", "utf-8"))] if "Ã©" in token else []
+class Cafes:
+    """Knows one damaged run only."""
+
+    known = frozenset()
 
-    assert restore("x " + "cafÃ©," * 30, Cafes()) == (1, "x " + "café," * 30)
+    def token(self, token):
+        return [Candidate(1.0, m.start(), m.end(), "é", ("latin-1", "utf-8")) for m in re.finditer("Ã©", token)]
+
+
+def test_every_run_of_a_token_is_restored():
+    token = "cafÃ©,sound,мир," * 30
+    assert restore(f"x {token}", Cafes(), {token: Cafes().token(token)}) == (1, f"x {token.replace('Ã©', 'é')}")
+    nested = [Candidate(2.0, 0, 4, "ÃÂ©", ("latin-1", "utf-8")), Candidate(1.0, 2, 4, "Â©", ("latin-1", "utf-8"))]
+    assert restore("ÃÃÂ©", Cafes(), {"ÃÃÂ©": nested}) == (1, "ÃÂ©")
+
+
+def test_quotations():
+    def known(*tokens):
+        return {t: Cafes().token(t) for t in tokens}
+
+    one, many = "Search for cafÃ© and write café.", "cafÃ© thÃ© prÃ© blÃ© dÃ© read café thé pré blé dé."
+    assert restore(one, Cafes(), known("cafÃ©"))[0] == 0 and restore(many, Cafes(), known("cafÃ©", "thÃ©", "prÃ©", "blÃ©", "dÃ©"))[0] == 0
+    assert restore("cafÃ© thÃ© prÃ© read café.", Cafes(), known("cafÃ©", "thÃ©", "prÃ©"))[0] == 3
+
+
+def test_damage_glued_to_another_script():
+    words = ["слово", "дело", "время", "место", "человек", "словом", "\u2014", "слово\u2014дело"] * 40
+    rows = [" ".join(words)] * 20
+    model = fit_of(rows)
+    restorer = Restorer(model)
+    token = "слово" + "\u2014".encode().decode("cp1252") + "дело"
+    best = restorer.token(token)[0]
+    assert token[: best.lo] + best.text + token[best.hi :] == "слово\u2014дело"
+
+
+def fit_of(texts):
+    counts = Counter(w for t in texts for w in t.split() if not w.isascii())
+    frame = pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+    pairs, chars = np.zeros(CELLS, np.float32), np.zeros(0x110000, np.float32)
+    for part in _count_pairs(iter([frame])):
+        for kind, table in ((0, pairs), (1, chars)):
+            rows = part[part.kind == kind]
+            table[rows.cell.to_numpy()] = rows.n.to_numpy()
+    return PairModel(pairs, chars, float(chars.sum()))

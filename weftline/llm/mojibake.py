@@ -6,15 +6,16 @@ made a second time without words that the first counts know far better in anothe
 score is its mutual information with rare characters' frequencies raised to a floor, so that two
 strangers do not look related.  Maximum-scoring segments of improbable pairs isolate runs; inverse
 mappings are tested only inside those, and one is taken if the restored run scores well above the run
-as it stands and is likelier, too.
+as it stands and is likelier, too.  Every distinct word is tested once, wherever it stands; the texts
+that hold such words are then read for quotations and restored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.encodings import DOUBLE, SINGLE, WRITTEN, byte_of, to_bytes, to_text
 from weftline.llm.hashing import code_points, mix
+from weftline.operators.skew import MAX_HEAVY
 from weftline.session import Scratch
 
 #: Pairs are counted in this many cells; a power of two.  Bounds the model whatever the corpus.
@@ -49,15 +51,14 @@ LEGACY, LEGACY_GAIN = frozenset({"mac-roman", "cp437", "cp850", "gb18030"}), 2.0
 TOKEN = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f][^ \t\r\n\f\v]*")
 RUN = re.compile(r"[^\x00-\x7f]+")
 STOPS = ".!?\n。！？"
-#: A sentence with more damaged tokens than this does not merely quote damage.
-QUOTED = 3
-#: Runs restored in one token, or as many as it has characters.
-TURNS = 8
 LOST = "�"
 EDGE = "“”„‘’‚«»‹›–—…·¿¡ "
-MEMO = 400_000
+#: Ranks that a reading may lie behind a token's best one and still count for its mapping.
+CLOSE = 2.0
+#: Words whose pairs are scored together.
 CHUNK = 20_000
-EASTERN = frozenset({"utf-8", "shift_jis", "euc_jp", "gb18030"})
+#: Scripts whose letters do not stand beside those of others in one word.
+SCRIPTS = re.compile("[\u0370-\u03ff]+|[\u0400-\u052f]+|[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]+|[^\x00-\x7f\u0370-\u052f\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]+")
 ALL_WRITTEN = ("utf-8", *WRITTEN)
 BLANKS = "\t\r\n\f\v"
 #: Share of kana from which a run's Japanese reading needs no more evidence than UTF-8.
@@ -67,8 +68,6 @@ KANA = 0.2
 ELSEWHERE, RARE_PAIR = 2.5, 3e-5
 #: A restored run's pairs must be e**LIKELIER times as common as the run's own.
 LIKELIER = 1.0
-#: Parts of a run are not tried if the whole run restores with this much gain.
-ENOUGH = 5.0
 
 
 def lowered(text: str) -> str:
@@ -102,7 +101,7 @@ class PairModel:
         self.total = max(self.total, 1.0)
         self.share = np.maximum(self.chars / self.total, FLOOR)
 
-    def scores(self, points: np.ndarray) -> np.ndarray:
+    def scores(self, points: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
         """One score for each adjacent pair: the log of its count over the count expected by chance.
 
         FEW more are expected than by chance alone, so that some sightings of rare characters, such as
@@ -111,26 +110,27 @@ class PairModel:
         """
         single = self.share[points]
         expected = single[:-1] * single[1:] * self.total
-        ratio = (self.pairs[cells_of(points)] + DISCOUNT * expected) / (expected + FEW)
+        ratio = (self.pairs[cells_of(points) if cells is None else cells] + DISCOUNT * expected) / (expected + FEW)
         return np.clip(np.log(np.maximum(ratio, 1e-9)), LEAST, MOST)
 
-    def means(self, texts: list[str]) -> np.ndarray:
-        """Mean score of each run between blanks, over its pairs that hold a character beyond ASCII."""
-        return self._means(texts, self.scores)
-
-    def _means(self, texts: list[str], score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    def ratings(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean score of each run between blanks, over its pairs that hold a character beyond ASCII, and the
+        mean log of these pairs' shares of all pairs."""
         points = [folded(f" {t} ") for t in texts]
-        scores = score(np.concatenate(points))
-        wide = np.concatenate(points) > 127
+        flat = np.concatenate(points)
+        cells = cells_of(flat)
+        wide = flat > 127
         near = wide[:-1] | wide[1:]
         lengths = np.fromiter(map(len, points), np.int64, len(points))
         starts = np.cumsum(lengths) - lengths
-        inside = np.ones(len(scores), bool)
-        inside[starts[1:] - 1] = False  # the pair between two runs belongs to neither
-        used = np.append(near & inside, False)
-        sums = np.add.reduceat(np.append(np.where(near & inside, scores, 0.0), 0.0), starts)
-        counts = np.add.reduceat(used.astype(np.int64), starts)
-        return np.where(counts > 0, sums / np.maximum(counts, 1), MOST)
+        near[starts[1:] - 1] = False  # the pair between two runs belongs to neither
+        counts = np.add.reduceat(np.append(near, False).astype(np.int64), starts)
+
+        def mean(values: np.ndarray) -> np.ndarray:
+            sums = np.add.reduceat(np.append(np.where(near, values, 0.0), 0.0), starts)
+            return np.where(counts > 0, sums / np.maximum(counts, 1), MOST)
+
+        return mean(self.scores(flat, cells)), mean(np.log((self.pairs[cells] + 0.5) / self.total))
 
     def word_sums(self, words: list[str], score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         """Sum for each word between blanks of ``score`` (of points and which pairs are beyond ASCII)."""
@@ -143,10 +143,6 @@ class PairModel:
         near[starts[1:] - 1] = False
         return np.add.reduceat(np.append(np.where(near, score(flat, near), 0.0), 0.0), starts)
 
-    def likelihoods(self, texts: list[str]) -> np.ndarray:
-        """As :meth:`means`, of the log of each pair's share of all pairs."""
-        return self._means(texts, lambda points: np.log((self.pairs[cells_of(points)] + 0.5) / self.total))
-
     def known(self) -> frozenset[str]:
         """Characters beyond ASCII that the corpus uses."""
         return frozenset(map(chr, np.flatnonzero(self.chars >= max(2.0, self.total * RARE)) ))
@@ -209,20 +205,21 @@ def wide_words(text: str) -> list[str]:
 
 WORDS = "word string, n bigint"
 STATS = "kind int, cell bigint, n bigint"
-FLUSH = 200_000
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter[str] = Counter()
+def _doc_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, word, n): the words beyond ASCII of each text."""
     for batch in batches:
-        for text in batch.text:
+        docs, words, counts = [], [], []
+        for doc, text in zip(batch.doc_id, batch.text, strict=True):
             if not text.isascii():
-                counts.update(wide_words(text))
-        if len(counts) > FLUSH:
-            yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
-            counts.clear()
-    if counts:
-        yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+                inside: dict[str, int] = {}
+                for w in wide_words(text):
+                    inside[w] = inside.get(w, 0) + 1
+                docs += [doc] * len(inside)
+                words += inside.keys()
+                counts += inside.values()
+        yield pd.DataFrame({"doc_id": np.array(docs, np.int64), "word": words, "n": np.array(counts, np.int64)})
 
 
 def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,14 +257,11 @@ def _without_plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(kept, columns=["word", "n"])
 
 
-def fit_pairs(texts: DataFrame) -> PairModel:
-    """Pair statistics of all texts, counted twice: the second time without words that another reading
-    turns into far likelier ones which the corpus holds, too."""
-    spark = texts.sparkSession
-    scratch = Scratch(spark, "pairs")
-    words = texts.select("text").where("text is not null").mapInPandas(_count_words, WORDS)
-    words = words.groupBy("word").agg(F.sum("n").alias("n")).mapInPandas(_without_plain, WORDS)
-    words = scratch.cut(words, "words")
+def fit_pairs(words: DataFrame) -> PairModel:
+    """Pair statistics of all words (word, n), counted twice: the second time without words that another
+    reading turns into far likelier ones which the corpus holds, too."""
+    spark = words.sparkSession
+    words = Scratch(spark, "pairs").cut(words.mapInPandas(_without_plain, WORDS), "words")
     first = spark.sparkContext.broadcast(_model(words))
 
     def readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,81 +295,80 @@ def segments(gains: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Candidate:
-    """A run of a token, its restored form, and the mapping that gives it."""
+    """A run [lo, hi) of a token, its restored form, and the mapping that gives it; a lost run restores to itself."""
 
     rank: float
-    run: str
+    lo: int
+    hi: int
     text: str
     how: tuple[str, ...]
 
 
 class Restorer:
-    """Tests inverse mappings of tokens; results are remembered within a task."""
+    """Tests inverse mappings inside the improbable runs of tokens."""
 
     def __init__(self, model: PairModel):
         self.model = model
         self.known = model.known() | frozenset(map(chr, range(128)))
-        self.memo: dict[str, list[Candidate]] = {}
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Test words not met before; most show too few improbable pairs for any segment and are passed over together."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        fresh = [w for w in words if w not in self.memo]
-        for start in range(0, len(fresh), CHUNK):
-            part = fresh[start : start + CHUNK]
+
+    def tokens(self, tokens: list[str]) -> Iterator[tuple[str, list[Candidate]]]:
+        """Tokens with their candidates; most show too few improbable pairs for any segment and are passed over together."""
+        for start in range(0, len(tokens), CHUNK):
+            part = tokens[start : start + CHUNK]
             most = self.model.word_sums(part, lambda points, near: np.maximum(LIMIT - self.model.scores(points), 0.0))
-            for word, reach in zip(part, most, strict=True):
-                self.memo[word] = self._token(word) if reach >= SEGMENT or LOST in word else []
+            for token, reach in zip(part, most, strict=True):
+                if (reach >= SEGMENT or LOST in token) and (found := self.token(token)):
+                    yield token, found
 
     def token(self, token: str) -> list[Candidate]:
-        """Restored forms of the first improbable run that has any, best first; a lost run restores to itself."""
-        if token not in self.memo:
-            self.learn([token])
-        return self.memo[token]
-
-    def _token(self, token: str) -> list[Candidate]:
-        if LOST in token:
-            return [Candidate(9.0, token, token, ())]
+        """Restored forms of all improbable runs, best first."""
         points = folded(f" {token} ")
         scores = self.model.scores(points)
         wide = points > 127
-        near = wide[:-1] | wide[1:]
-        gains = np.where(near, LIMIT - scores, -0.5)
-        for a, b in segments(gains, SEGMENT):
-            lo, hi = max(0, a - 1), min(len(token), b)  # pair i joins token characters i - 1 and i
-            if found := self._run(token, lo, hi):
-                return found
-        return []
-
-    def _run(self, token: str, lo: int, hi: int) -> list[Candidate]:
-        """Try the stretch of the segment, widened to whole runs beyond ASCII, and parts of it without outer marks."""
-        while lo > 0 and token[lo - 1] > "\x7f":
-            lo -= 1
-        while hi < len(token) and token[hi] > "\x7f":
-            hi += 1
-        while lo < hi and token[lo] <= "\x7f":
-            lo += 1
-        tail = hi
-        while hi > lo and token[hi - 1] <= "\x7f":
-            hi -= 1
-        run = token[lo:hi]
-        left, right = len(run) - len(run.lstrip(EDGE)), len(run) - len(run.rstrip(EDGE))
-        spans = [(lo, hi), (lo + left, hi), (lo, hi - right), (lo + left, hi - right)]
-        spans += [(lo, min(len(token), max(tail, hi + 1))), (0, len(token))]
-        found: list[Candidate] = []
-        for a, b in dict.fromkeys(spans):
-            if a < b and not token[a:b].isascii():
-                found += self._inverse(token, a, b)
-                if found and (a, b) == (lo, hi) and max(c.rank for c in found) >= ENOUGH:
-                    break
-        return sorted(found, key=lambda c: -c.rank)[:8]
-
-    def _forms(self, run: str, written: tuple[str, ...] = ALL_WRITTEN) -> dict[str, tuple[str, ...]]:
+        gains = np.where(wide[:-1] | wide[1:], LIMIT - scores, -0.5)
+        # pair i joins token characters i - 1 and i
+        runs = [(max(0, a - 1), min(len(token), b)) for a, b in segments(gains, SEGMENT)]
+        found: dict[tuple, Candidate] = {}
+        for spans in self._spans(token, runs):
+            for lo, hi in spans:
+                if lo < hi and not token[lo:hi].isascii():
+                    found |= {(c.lo, c.hi, c.text): c for c in self._inverse(token, lo, hi)}
+            if found:
+                break
+        if LOST in token:
+            found[0, len(token), token] = Candidate(9.0, 0, len(token), token, ())
+        return sorted(found.values(), key=lambda c: -c.rank)
+
+    def _spans(self, token: str, runs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+        """What to test in a token's improbable runs: the characters beyond ASCII around each, with and without
+        outer marks and following bytes; all runs together; and if nothing comes of that, parts of one
+        script and the bare runs, which sound text of another script may surround."""
+        outer: list[tuple[int, int]] = []
+        for lo, hi in runs:
+            while lo > 0 and token[lo - 1] > "\x7f":
+                lo -= 1
+            while hi < len(token) and token[hi] > "\x7f":
+                hi += 1
+            while lo < hi and token[lo] <= "\x7f":
+                lo += 1
+            tail = hi
+            while hi > lo and token[hi - 1] <= "\x7f":
+                hi -= 1
+            run = token[lo:hi]
+            left, right = len(run) - len(run.lstrip(EDGE)), len(run) - len(run.rstrip(EDGE))
+            outer += [(lo, hi), (lo + left, hi), (lo, hi - right), (lo + left, hi - right), (lo, min(len(token), max(tail, hi + 1)))]
+        if outer:
+            outer.append((min(lo for lo, _ in outer), max(hi for _, hi in outer)))
+        yield list(dict.fromkeys(outer))
+        inner: list[tuple[int, int]] = []
+        for lo, hi in runs:
+            inner += [(m.start(), m.end()) for m in SCRIPTS.finditer(token) if m.start() < hi and m.end() > lo]
+            inner += [(lo, hi), (lo + 1, hi), (lo, hi - 1), (lo + 1, hi - 1)]
+        yield [s for s in dict.fromkeys(inner) if s not in outer]
+
+    def _forms(self, run: str) -> dict[str, tuple[str, ...]]:
         """Other readings of a run that use known characters only, and the mappings that give them."""
         forms: dict[str, tuple[str, ...]] = {}
-        if kana_share(run) >= KANA:  # no single-byte text reads as kana
-            written = tuple(w for w in written if w in EASTERN)
         first, last = ord(run[0]), ord(run[-1])
         east = max(run) > "\u2e7f"  # marks alone do not make a double-byte text
         for read_as in (*SINGLE, *DOUBLE):
@@ -385,7 +378,7 @@ class Restorer:
                 data = None
             if data is None or data.isascii():
                 continue
-            for written_as in written:
+            for written_as in ALL_WRITTEN:
                 if written_as == read_as:
                     continue
                 utf8 = written_as == "utf-8"
@@ -398,26 +391,22 @@ class Restorer:
                     forms[text] = how
         return forms
 
-    def _inverse(self, token: str, a: int, b: int) -> list[Candidate]:
-        run, head, rear = token[a:b], token[max(0, a - 1) : a], token[b : b + 1]
-        # bytes that are UTF-8 are hardly anything else: then other readings are not tried
-        found = self._scored(run, head, rear, self._forms(run, ("utf-8",)))
-        if not found or max(c.rank for c in found) < ENOUGH:
-            found = self._scored(run, head, rear, self._forms(run))
-        return found
-
-    def _scored(self, run: str, head: str, rear: str, forms: dict[str, tuple[str, ...]]) -> list[Candidate]:
+    def _inverse(self, token: str, lo: int, hi: int) -> list[Candidate]:
+        """Forms of a run that score well above it, between the characters around it."""
+        run, head, rear = token[lo:hi], token[max(0, lo - 1) : lo], token[hi : hi + 1]
+        forms = self._forms(run)
         if not forms:
             return []
         texts = [head + run + rear, *(head + t + rear for t in forms)]
-        scores, likely = self.model.means(texts), self.model.likelihoods(texts)
+        scores, likely = self.model.ratings(texts)
         out = []
         for i, (text, how) in enumerate(forms.items(), 1):
             gain, more = scores[i] - scores[0], likely[i] - likely[0]
             need = GAIN + LEGACY_GAIN if how[1] in LEGACY else GAIN
             sure = how[1] == "utf-8" or how[1] in ("euc_jp", "shift_jis") and kana_share(text) >= KANA
             if gain >= (GAIN_UTF8 if sure else need) and (sure or scores[i] >= SOUND and more >= LIKELIER):
-                out.append(Candidate(float(gain) + 2.0 * sure, run, text, how))
+                # bytes that are UTF-8 are hardly anything else
+                out.append(Candidate(float(gain) + (6.0 if how[1] == "utf-8" else 2.0) * sure, lo, hi, text, how))
         return out
 
     def elsewhere(self, words: list[str]) -> list[tuple[str, str]]:
@@ -426,7 +415,7 @@ class Restorer:
         rare = model.word_sums(words, lambda points, near: model.pairs[cells_of(points)] < RARE_PAIR * model.total)
         for i in np.flatnonzero(rare):
             if kana_share(words[i]) < KANA and (forms := self._forms(words[i])):
-                likely = model.likelihoods([words[i], *forms])
+                _, likely = model.ratings([words[i], *forms])
                 out += [(words[i], f) for f, gain in zip(forms, likely[1:] - likely[0], strict=True) if gain >= ELSEWHERE]
         return out
 
@@ -437,61 +426,86 @@ def _sentence(text: str, at: int) -> tuple[int, int]:
 
 
 def tells_of_damage(sentence: str, tokens: list[tuple[str, list[Candidate]]]) -> bool:
-    """Whether a restored form of some token also stands in the sentence as a word of its own.
+    """Whether a restored form of each token also stands in the sentence as a word of its own.
 
     The rest of such a sentence is plain: one that holds other words beyond ASCII merely repeats itself.
     """
-    forms: set[str] = set()
-    for token, found in tokens:
-        runs = [r for m in RUN.finditer(token) for r in (m.group(), m.group().strip(EDGE))]
-        forms |= {c.text.strip(EDGE) for c in found if c.text != c.run} | {f for r in runs if (f := utf8_inside(r))}
-    forms = {f for f in forms if any(c > "\x7f" and c.isalpha() for c in f)}
     rest = sentence
     for token, _ in tokens:
         rest = rest.replace(token, " ")
     plain = rest
-    for f in forms:
-        plain = re.sub(rf"(?<!\w){re.escape(f)}(?!\w)", " ", plain)
-    return plain != rest and not any(c > "\x7f" and c.isalpha() for c in plain)
-
-
-def restore(text: str, restorer: Restorer) -> tuple[int, str]:
-    """(number of garbled tokens, text with what could be restored).
+    for token, found in tokens:
+        runs = [r for m in RUN.finditer(token) for r in (m.group(), m.group().strip(EDGE))]
+        forms = {f.strip(EDGE) for c in found if c.text != token[c.lo : c.hi] for f in (c.text, token[: c.lo] + c.text + token[c.hi :])}
+        forms |= {f for r in runs if (f := utf8_inside(r))}
+        forms = {f for f in forms if any(c > "\x7f" and c.isalpha() for c in f)}
+        standing = [f for f in forms if re.search(rf"(?<!\w){re.escape(f)}(?!\w)", rest)]
+        if not standing:
+            return False
+        for f in standing:
+            plain = re.sub(rf"(?<!\w){re.escape(f)}(?!\w)", " ", plain)
+    return not any(c > "\x7f" and c.isalpha() for c in plain)
+
+
+def rebuilt(token: str, found: list[Candidate], votes: dict[tuple[str, ...], float], look: Callable[[str], list[Candidate]]) -> str:
+    """The token with all its runs restored, until nothing changes: those first that most votes are for, then
+    those that gain most, over all their characters."""
+    seen = {token}
+
+    def order(c: Candidate) -> tuple[float, float]:
+        return -votes.get(c.how[:2], 0.0), -c.rank * sum(x > "\x7f" for x in token[c.lo : c.hi])
+
+    while found:
+        taken: list[Candidate] = []
+        for c in sorted(found, key=order):
+            if c.text != token[c.lo : c.hi] and all(c.hi <= t.lo or c.lo >= t.hi for t in taken):
+                taken.append(c)
+        for c in sorted(taken, key=lambda c: -c.lo):
+            token = token[: c.lo] + c.text + token[c.hi :]
+        if token in seen:
+            break
+        seen.add(token)
+        found = look(token)
+    return token
+
+
+def restore(text: str, restorer: Restorer, known: dict[str, list[Candidate]]) -> tuple[int, str]:
+    """(number of garbled tokens, text with what could be restored); ``known`` holds the candidates of its tokens.
 
     A text's tokens vote for the mapping, so that a token with several readings follows the others.
     A sentence that shows damage beside the right form quotes it and is left alone.
     """
     sentences: dict[tuple[int, int], list] = {}
     for m in TOKEN.finditer(text):
-        if found := restorer.token(m.group()):
+        if found := known.get(m.group()):
             sentences.setdefault(_sentence(text, m.start()), []).append((m, found))
     tokens, votes = [], {}
     for (lo, hi), inside in sentences.items():
-        if len(inside) <= QUOTED and tells_of_damage(text[lo:hi], [(m.group(), f) for m, f in inside]):
+        if tells_of_damage(text[lo:hi], [(m.group(), f) for m, f in inside]):
             continue
         tokens += inside
-        for c in (c for _, found in inside for c in found):
-            votes[c.how[:2]] = votes.get(c.how[:2], 0.0) + c.rank
+        for _, found in inside:
+            best: dict[tuple[str, ...], float] = {}
+            for c in found:
+                if c.how:
+                    best[c.how[:2]] = max(best.get(c.how[:2], 0.0), c.rank)
+            for how, rank in best.items():  # readings far behind the best one have no say
+                votes[how] = votes.get(how, 0.0) + max(0.0, rank - max(best.values()) + CLOSE)
     count = len(tokens)
     if votes:
         tokens = sorted([*tokens, *_also(text, restorer, tokens, max(votes, key=votes.get))], key=lambda x: x[0].start())
-    out, last = [], 0
+    out, last, made = [], 0, {}
     for m, found in tokens:
         token = m.group()
-        for _ in range(max(TURNS, len(token))):  # a token may hold several damaged runs, never more than characters
-            best = max(found, key=lambda c: (votes.get(c.how[:2], 0.0), c.rank))
-            if best.run == best.text:
-                break
-            token = token.replace(best.run, best.text, 1)
-            if not (found := restorer.token(token)):
-                break
-        out += [text[last : m.start()], token]
+        if token not in made:
+            made[token] = rebuilt(token, found, votes, restorer.token)
+        out += [text[last : m.start()], made[token]]
         last = m.end()
     return count, "".join([*out, text[last:]])
 
 
 def _also(text: str, restorer: Restorer, known: list, how: tuple[str, ...]) -> list:
-    """Tokens too unsure by themselves that the text's own mapping makes likelier."""
+    """Tokens too unsure by themselves that the mapping of most damage in the text makes likelier."""
     done, out = {m.start() for m, _ in known}, []
     if len(how) < 2 or len(known) < 3:
         return out
@@ -500,9 +514,9 @@ def _also(text: str, restorer: Restorer, known: list, how: tuple[str, ...]) -> l
         data = None if m.start() in done else to_bytes(token, how[0])
         good = data and to_text(data, how[1])
         if good and good != token and restorer.known.issuperset(lowered(good)):
-            now, was = restorer.model.means([good, token])
+            now, was = restorer.model.ratings([good, token])[0]
             if now > was + GAIN_UTF8:
-                out.append((m, [Candidate(0.0, token, good, how)]))
+                out.append((m, [Candidate(0.0, 0, len(token), good, how)]))
     return out
 
 
@@ -517,26 +531,52 @@ def restorer_of(name: str, model) -> Restorer:
     return _RESTORERS[name]
 
 
+def _packed(found: list[Candidate]) -> str:
+    return json.dumps([[c.rank, c.lo, c.hi, c.text, *c.how] for c in found])
+
+
+def _unpacked(text: str) -> list[Candidate]:
+    return [Candidate(rank, lo, hi, form, tuple(how)) for rank, lo, hi, form, *how in json.loads(text)]
+
+
 def find_garbled(texts: DataFrame, model: PairModel | None = None) -> DataFrame:
     """(doc_id, n_garbled, restored) of the texts that hold a garbled passage.
 
     Null and empty texts hold none.  ``restored`` keeps what cannot be restored as it stands.
     Without a model the pair statistics of ``texts`` are used.
     """
-    model = model or fit_pairs(texts)
-    shared, name = texts.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "garbled")
+    texts = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    inside = scratch.cut(texts.mapInPandas(_doc_words, "doc_id bigint, word string, n bigint"), "inside")
+    # many small files: words are few but dear to test
+    spread = inside.repartition(4 * spark.sparkContext.defaultParallelism, "word")
+    words = scratch.cut(spread.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "words")
+    model = model or fit_pairs(words.select("word", "n"))
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = dict(restorer_of(name, shared).tokens(batch.word.tolist())) if len(batch) else {}
+            part = batch[batch.word.isin(found)]
+            yield pd.DataFrame({"word": part.word, "docs": part.docs, "found": [_packed(found[w]) for w in part.word]})
+
+    damaged = scratch.cut(words.select("word", "docs").mapInPandas(test, "word string, docs bigint, found string"), "damaged")
+    # words of very many texts are few and go to these by broadcast
+    hot = F.col("docs") * MAX_HEAVY > F.lit(inside.count())
+    hits = inside.join(F.broadcast(damaged.where(hot)), "word").unionByName(inside.join(damaged.where(~hot), "word"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("word", "found")).alias("hits"))
+    hits = scratch.cut(hits, "hits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = restorer_of(name, shared)
         for batch in batches:
-            words = [[] if t.isascii() else wide_words(t) for t in batch.text]
-            restorer.learn({w for inside in words for w in inside})
             rows = []
-            for doc, text, inside in zip(batch.doc_id, batch.text, words, strict=True):
-                if any(restorer.token(w) for w in inside) and (got := restore(text, restorer))[0]:
-                    rows.append((doc, *got))
+            for doc, text, found in zip(batch.doc_id, batch.text, batch.hits, strict=True):
+                known = {h["word"]: _unpacked(h["found"]) for h in found}
+                count, good = restore(text, restorer_of(name, shared), known)
+                if count:
+                    rows.append((doc, count, good))
             yield pd.DataFrame(rows, columns=["doc_id", "n_garbled", "restored"])
 
-    return texts.select("doc_id", "text").where("text is not null").mapInPandas(
-        run, "doc_id bigint, n_garbled int, restored string"
-    )
+    touched = scratch.cut(texts.join(hits.select("doc_id"), "doc_id", "left_semi"), "touched")
+    return touched.join(hits, "doc_id").mapInPandas(run, "doc_id bigint, n_garbled int, restored string")
