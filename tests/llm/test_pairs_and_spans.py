@@ -39,17 +39,25 @@ def test_near_duplicates_against_brute_force(spark):
     near = NearDuplicates(texts_of(spark, rows), (3, 5), SQL_TOKEN, 3, 20)
     got = [tuple(r) for r in near.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    groups = {r.id: (r.class_id, r.n_links) for r in near.groups().collect()}
-    assert set(groups) == set(sets) and len({groups[i][0] for i in ("d000", "copy1", "copy2")}) == 1
 
 
-def test_classes_are_named_by_their_least_id(spark):
+def test_classes_are_named_by_their_least_id_and_links_tell_all_pairs(spark):
     rows = corpus(random.Random(4))
     sets = {i: frozenset(s) for i, t in rows if t and len(s := shingles(t, 3)) >= 20}
     near = NearDuplicates(texts_of(spark, rows), (3, 5), SQL_TOKEN, 3, 20)
-    links = {r.id: r.n_links for r in near.groups().collect()}
-    want = {(i, min(j for j in sets if sets[j] == s), links[i]) for i, s in sets.items()}
-    assert {tuple(r) for r in near.named_groups().collect()} == want and ("d000", "copy1") in {(i, c) for i, c, _ in want}
+    name = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
+    links = {tuple(r) for r in near.class_links().collect()}
+    want = {(i, name[i], sum(name[i] in pair for pair in links)) for i in sets}
+    assert {tuple(r) for r in near.groups().collect()} == want and ("d000", "copy1") in {w[:2] for w in want}
+    told = {(a, b) for a in sets for b in sets if a < b and (name[a] == name[b] or tuple(sorted((name[a], name[b]))) in links)}
+    assert told == {tuple(r) for r in near.pairs().collect()}
+
+
+def test_one_hot_class_and_band(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"c{i:03}", " ".join(words)) for i in range(60)] + [(f"e{i:03}", " ".join([*words, f"x{i}"])) for i in range(40)]
+    near = NearDuplicates(texts_of(spark, rows), (3, 5), SQL_TOKEN, 3, 20)
+    assert near.pairs().count() == 100 * 99 // 2 and near.groups().where("class_id = 'c000' and n_links = 40").count() == 60
 
 
 def test_near_duplicates_of_nothing(spark):

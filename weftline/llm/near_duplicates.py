@@ -2,7 +2,8 @@
 
 Two permutations of a fixed universe replace one per coordinate: the first scatters a record's
 members, the second is read circularly shifted by k for coordinate k.  Records with equal member
-sets form a class first and are compared once.
+sets (by 128 bits) form a class first and are compared once.  Bands, classes and texts that hold a
+large share of all rows are spread over several tasks wherever rows meet.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.hashing import BASE, Tokens, mix
+from weftline.operators.skew import heavy_keys, salted, spread
 from weftline.session import Scratch
 
 #: Members are folded into this many places; a power of two.
@@ -57,19 +60,18 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def member_sets(texts: DataFrame, token: str, length: int, least: int) -> DataFrame:
-    """(id, class, n, members) of texts with at least ``least`` distinct runs of ``length`` tokens."""
+    """(id, digest, n, members) of texts with at least ``least`` distinct runs of ``length`` tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, tokens = re.compile(token).findall, Tokens()
         for batch in batches:
             sets = [tokens.runs(find(t.lower()), length) for t in batch.text]
-            rows = [(i, len(s), s) for i, s in zip(batch.id, sets, strict=True) if len(s) >= least]
-            yield pd.DataFrame(rows, columns=["id", "n", "members"])
+            rows = [(i, xxhash.xxh3_128_digest(s.tobytes()), len(s), s) for i, s in zip(batch.id, sets, strict=True) if len(s) >= least]
+            yield pd.DataFrame(rows, columns=["id", "digest", "n", "members"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    found = texts.select("id", "text").where("text is not null").mapInPandas(run, f"id {kind}, n int, members array<bigint>")
-    # two independent hashes of the whole set: equal classes are equal sets
-    return found.select("id", F.struct(F.xxhash64("members"), F.hash("members"), "n").cast("string").alias("class"), "n", "members")
+    found = texts.select("id", "text").where("id is not null and text is not null")
+    return found.mapInPandas(run, f"id {kind}, digest binary, n int, members array<bigint>")
 
 
 def _bands(bands: int, rows: int):
@@ -84,7 +86,7 @@ def _bands(bands: int, rows: int):
 class NearDuplicates:
     """Classes of equal sets and the pairs of classes at or above a similarity.
 
-    ``texts`` is (id, text) with distinct ids.  Null texts and texts with fewer than ``least``
+    ``texts`` is (id, text) with distinct ids.  Null ids, null texts and texts with fewer than ``least``
     members belong to no class; an empty table gives empty results.  ``share`` is a fraction in
     whole numbers, compared exactly.  Text is taken in lower case.
     """
@@ -101,10 +103,19 @@ class NearDuplicates:
     ):
         self.share, self.bands, self.rows = share, bands, rows
         self.scratch = Scratch(texts.sparkSession, "near")
+        self.salts = max(16, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         sets = self.scratch.cut(member_sets(texts, token, length, least), "sets")
-        sets = sets.withColumn("c", F.xxhash64("class"))
-        self.membership = sets.select("id", "c")
-        self.classes = self.scratch.cut(sets.select("c", "n", "members").dropDuplicates(["c"]), "classes")
+        # classes are numbered, so that later rows are small and no two classes are ever taken for one
+        one = sets.groupBy("digest").agg(F.first("n").alias("n"), F.first("members").alias("members"))
+        one = self.scratch.cut(one.select(F.monotonically_increasing_id().alias("c"), "digest", "n", "members"), "classes")
+        self.classes = one.select("c", "n", "members")
+        self.membership = self.scratch.cut(sets.select("id", "digest").join(one.select("digest", "c"), "digest").select("id", "c"), "membership")
+        self._links: DataFrame | None = None
+
+    def _meet(self, many: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+        """``many`` joined with ``other`` on ``key``; keys with a large share of ``many`` meet in several tasks."""
+        heavy = self.scratch.cut(heavy_keys(many.groupBy(key).agg(F.count("*").alias("n")), [key]), "heavy")
+        return salted(many, heavy, key, by, self.salts).join(spread(other, heavy, key, self.salts), [key, "salt"]).drop("salt")
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b: classes that agree in some band and whose sizes allow the similarity."""
@@ -115,44 +126,47 @@ class NearDuplicates:
         often = keys.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
         kept = self.scratch.cut(keys.join(often, "band", "left_semi"), "kept")
         other = kept.select("band", F.col("c").alias("b"), F.col("n").alias("m"))
-        pairs = kept.join(other, "band").where(
+        pairs = self._meet(kept, other, "band", "c").where(
             (F.col("c") < F.col("b")) & (F.least("n", "m") * down >= F.greatest("n", "m") * up)
         )
         return pairs.select(F.col("c").alias("a"), "b").distinct()
 
     def links(self) -> DataFrame:
         """(a, b): pairs of classes whose similarity reaches the share, verified on the whole sets."""
-        up, down = self.share
-        one = self.classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-        two = self.classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-        both = self.candidates().join(one, "a").join(two, "b")
-        common = F.size(F.array_intersect("ma", "mb"))
-        return both.withColumn("common", common).where(
-            F.col("common") * down >= (F.col("na") + F.col("nb") - F.col("common")) * up
-        ).select("a", "b")
+        if self._links is None:
+            up, down = self.share
+            one = self.classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
+            two = self.classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
+            found = self.scratch.cut(self.candidates(), "candidates")
+            both = self._meet(self._meet(found, one, "a", "b"), two, "b", "a")
+            common = F.size(F.array_intersect("ma", "mb"))
+            both = both.withColumn("common", common).where(F.col("common") * down >= (F.col("na") + F.col("nb") - F.col("common")) * up)
+            self._links = self.scratch.cut(both.select("a", "b"), "links")
+        return self._links
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: every pair of ids, within and between classes."""
-        links = self.scratch.cut(self.links(), "links")
+        links = self.links()
         several = self.membership.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
-        inside = self.membership.join(several, "c", "left_semi")
+        inside = self.scratch.cut(self.membership.join(several, "c", "left_semi"), "inside")
         left = self.membership.select(F.col("c").alias("a"), F.col("id").alias("x"))
         right = self.membership.select(F.col("c").alias("b"), F.col("id").alias("y"))
-        between = links.join(left, "a").join(right, "b").select(
+        between = self._meet(right, self._meet(left, links, "a", "x"), "b", "y").select(
             F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")
         )
-        same = inside.select("c", F.col("id").alias("id_a")).join(inside.select("c", F.col("id").alias("id_b")), "c")
+        same = self._meet(inside.select("c", F.col("id").alias("id_a")), inside.select("c", F.col("id").alias("id_b")), "c", "id_a")
         return between.unionByName(same.where("id_a < id_b").select("id_a", "id_b"))
 
     def groups(self) -> DataFrame:
-        """(id, class_id, n_links): one row per text, its class and the number of classes it is linked to."""
-        links = self.scratch.cut(self.links(), "links")
-        ends = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-        out = self.membership.join(ends, "c", "left")
-        return out.select("id", F.col("c").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-
-    def named_groups(self) -> DataFrame:
-        """:meth:`groups` with the least id of each class as its class_id."""
-        groups = self.scratch.cut(self.groups(), "groups")
-        least = groups.groupBy("class_id").agg(F.min("id").alias("least"))
-        return groups.join(least, "class_id").select("id", F.col("least").alias("class_id"), "n_links")
+        """(id, class_id, n_links): one row per text, the least id of its class and the number of classes it is linked to."""
+        least = self.membership.groupBy("c").agg(F.min("id").alias("class_id"))
+        ends = self.links().select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+        named = self.scratch.cut(least.join(ends, "c", "left").select("c", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "named")
+        return self._meet(self.membership, named, "c", "id").select("id", "class_id", "n_links")
+
+    def class_links(self) -> DataFrame:
+        """(class_a, class_b), class_a < class_b: linked classes by their least ids; with :meth:`groups` these tell all pairs."""
+        least = self.scratch.cut(self.membership.groupBy("c").agg(F.min("id").alias("least")), "least")
+        one, two = (least.select(F.col("c").alias(x), F.col("least").alias(f"id_{x}")) for x in "ab")
+        both = self._meet(self._meet(self.links(), one, "a", "b"), two, "b", "a")
+        return both.select(F.least("id_a", "id_b").alias("class_a"), F.greatest("id_a", "id_b").alias("class_b"))

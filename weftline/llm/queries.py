@@ -33,12 +33,13 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, directory: str) -> DataFrame:
-    groups = NearDuplicates(view_texts(spark, directory), (3, 5), SQL_TOKEN, 3, 20).groups()
-    return groups.select("id", "n_links")
+    """One row for each view: its class of equal sets and the number of classes linked to it."""
+    return NearDuplicates(view_texts(spark, directory), (3, 5), SQL_TOKEN, 3, 20).groups()
 
 
-def p3_classes(spark: SparkSession, directory: str) -> DataFrame:
-    return NearDuplicates(view_texts(spark, directory), (3, 5), SQL_TOKEN, 3, 20).named_groups()
+def p3_links(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of linked classes, by their representatives."""
+    return NearDuplicates(view_texts(spark, directory), (3, 5), SQL_TOKEN, 3, 20).class_links()
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -83,4 +84,4 @@ def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
     return find_garbled(read_table(spark, directory, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p3_classes, p4_found, p4_lines, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p3_links, p4_found, p4_lines, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_restored)}

@@ -40,10 +40,10 @@ starts AS (SELECT id, start, lead(start) OVER (PARTITION BY id ORDER BY start) A
 
 SQL: dict[str, str] = {
     "p3_found": f"{_SIMILAR} SELECT id_a, id_b FROM found",
-    "p3_groups": f"""{_SIMILAR} SELECT id, coalesce(k, 0)::BIGINT AS n_links FROM classes
-LEFT JOIN (SELECT c, count(*) AS k FROM ends GROUP BY c) USING (c)""",
-    "p3_classes": f"""{_SIMILAR} SELECT id, min(id) OVER (PARTITION BY c) AS class_id, coalesce(k, 0)::BIGINT AS n_links FROM classes
+    "p3_groups": f"""{_SIMILAR} SELECT id, min(id) OVER (PARTITION BY c) AS class_id, coalesce(k, 0)::BIGINT AS n_links FROM classes
 LEFT JOIN (SELECT c, count(*) AS k FROM ends GROUP BY c) USING (c)""",
+    "p3_links": f"""{_SIMILAR}, least_ids AS (SELECT c, min(id) AS id FROM classes GROUP BY c)
+SELECT DISTINCT least(x.id, y.id) AS class_a, greatest(x.id, y.id) AS class_b FROM class_links JOIN least_ids x ON x.c = a JOIN least_ids y ON y.c = b""",
     "p4_found": f"{_SPANS} SELECT id, sum(least(coalesce(next - start, 150), 150))::BIGINT AS shared_chars FROM starts GROUP BY id",
     "p4_lines": f"{_LINES} SELECT id, start, stop, kept_id, kept_start FROM ranked WHERE id <> kept_id OR start <> kept_start",
 }
