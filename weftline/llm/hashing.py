@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Odd, so that it has an inverse modulo 2**64 and windows need no division.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd, so that they have inverses modulo 2**64 and windows need no division; the second for 128 bits in all.
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,12 +34,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Windows:
     """Hashes of all windows of a given length of one text; build once, ask for several lengths."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, base: int = BASE):
         points = code_points(text)
         self.n = len(points)
-        terms = mix(points.astype(np.uint64) + np.uint64(1)) * _powers(BASE, self.n)
+        terms = mix(points.astype(np.uint64) + np.uint64(1)) * _powers(base, self.n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        self.undo = _powers(INVERSE, self.n + 1)
+        self.undo = _powers(pow(base, -1, 1 << 64), self.n + 1)
 
     def of(self, length: int) -> np.ndarray:
         count = max(0, self.n - length + 1)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.hashing import Windows, winnow
+from weftline.llm.hashing import BASE, OTHER, Windows, winnow
 from weftline.operators.skew import MAX_HEAVY, total_of
 from weftline.session import Scratch
 
@@ -57,7 +57,7 @@ def _probes(length: int):
 
 
 def _windows(length: int):
-    """Hashes of the windows that contain a marked probe, as runs of consecutive starts."""
+    """128-bit hashes of the windows that contain a marked probe, as runs of consecutive starts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -65,7 +65,7 @@ def _windows(length: int):
             for doc, text, marks in zip(batch.doc, batch.text, batch.marks, strict=True):
                 marks = np.unique(np.asarray(marks, np.int64))
                 for start, piece in _pieces(text, length - 1):
-                    full = Windows(piece).of(length)[:PIECE]
+                    full, other = (Windows(piece, base).of(length)[:PIECE] for base in (BASE, OTHER))
                     near = marks[(marks >= start) & (marks < start + len(full) + length)] - start
                     if not len(near) or not len(full):
                         continue
@@ -75,24 +75,28 @@ def _windows(length: int):
                     wanted = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                     for part in np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1):
                         if len(part):
-                            rows.append((doc, int(part[0]) + start, full[part].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc", "first", "hs"])
+                            rows.append((doc, int(part[0]) + start, full[part].view(np.int64), other[part].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc", "first", "hs", "gs"])
 
     return run
 
 
-def _in_several(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rows`` (doc, h, ...) whose h stands in more than one doc.
+def _in_several(rows: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` (doc, key, ...) whose key stands in more than one doc.
 
-    Hashes are grouped with partial sums of (least doc, greatest doc, count); those that hold more
+    Keys are grouped with partial sums of (least doc, greatest doc, count); those that hold more
     than 1/MAX_HEAVY of all rows are few and come back by broadcast, the others by a shuffled join.
     """
-    found = rows.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("k"))
-    found = scratch.cut(found.where("x <> y").select("h", "k"), "several")
-    marked = found.withColumn("hot", F.col("k") * MAX_HEAVY > F.lit(total_of(found, "k")))
-    hot = rows.join(F.broadcast(marked.where("hot").select("h")), "h", "left_semi")
-    rest = rows.join(marked.where("not hot").select("h"), "h", "left_semi")
-    return hot.unionByName(rest)
+    found = rows.groupBy(*key).agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("k"))
+    found = scratch.cut(found.where("x <> y").select(*key, "k"), "several")
+    return _split_join(rows, found, key, "left_semi")
+
+
+def _split_join(rows: DataFrame, keys: DataFrame, key: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``keys`` (key, k, ...), where k counts the rows of a key: the few heavy ones by broadcast."""
+    marked = keys.withColumn("hot", F.col("k") * MAX_HEAVY > F.lit(total_of(keys, "k"))).drop("k")
+    hot = rows.join(F.broadcast(marked.where("hot").drop("hot")), key, how)
+    return hot.unionByName(rows.join(marked.where("not hot").drop("hot"), key, how))
 
 
 class SharedSpans:
@@ -107,23 +111,24 @@ class SharedSpans:
             raise ValueError(f"length must be at least {2 * PROBE}")
         self.length = length
         self.scratch = Scratch(texts.sparkSession, "spans")
-        rows = texts.where("id is not null and text is not null").select(
-            "id", "text", F.xxhash64("text").alias("doc")
-        )
-        rows = self.scratch.cut(rows.where(F.length("text") >= length), "texts")
-        self.membership = rows.select("id", "doc", F.length("text").cast("bigint").alias("n_chars"))
-        self.docs = self.scratch.cut(rows.select("doc", "text").dropDuplicates(["doc"]), "docs")
+        rows = texts.where("id is not null and text is not null").where(F.length("text") >= length)
+        rows = self.scratch.cut(rows.select("id", "text", F.unhex(F.md5("text")).alias("digest")), "texts")
+        # texts are numbered, so that later rows are small and no two texts are ever taken for one
+        docs = rows.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        docs = self.scratch.cut(docs.select(F.monotonically_increasing_id().alias("doc"), "digest", "text", "copies"), "docs")
+        self.docs = docs.select("doc", "text")
+        self.ids, self.copies = rows.select("id", "digest"), docs.select("doc", "digest", "copies", F.length("text").cast("bigint").alias("n_chars"))
 
     def spans(self) -> DataFrame:
         """(doc, start): first characters of all windows that another text holds too."""
         probes = self.scratch.cut(self.docs.mapInPandas(_probes(self.length), "doc bigint, at bigint, h bigint"), "probes")
-        common = _in_several(probes, self.scratch)
+        common = _in_several(probes, ["h"], self.scratch)
         marks = common.groupBy("doc").agg(F.collect_list("at").alias("marks"))
-        runs = self.docs.join(marks, "doc").mapInPandas(_windows(self.length), "doc bigint, first bigint, hs array<bigint>")
+        runs = self.docs.join(marks, "doc").mapInPandas(_windows(self.length), "doc bigint, first bigint, hs array<bigint>, gs array<bigint>")
         runs = self.scratch.cut(runs, "windows")
-        rows = runs.select("doc", "first", F.posexplode("hs").alias("k", "h"))
-        rows = rows.select("doc", (F.col("first") + F.col("k")).alias("start"), "h")
-        return _in_several(rows, self.scratch).select("doc", "start")
+        rows = runs.select("doc", "first", F.posexplode(F.arrays_zip("hs", "gs")).alias("k", "w"))
+        rows = rows.select("doc", (F.col("first") + F.col("k")).alias("start"), F.col("w.hs").alias("h"), F.col("w.gs").alias("g"))
+        return _in_several(rows, ["h", "g"], self.scratch).select("doc", "start")
 
     def shared_chars(self) -> DataFrame:
         """(id, shared_chars) of the ids that share anything."""
@@ -131,10 +136,10 @@ class SharedSpans:
         step = F.lead("start").over(order) - F.col("start")
         gained = self.spans().select("doc", F.least(F.coalesce(step, F.lit(self.length)), F.lit(self.length)).alias("gain"))
         by_doc = gained.groupBy("doc").agg(F.sum("gain").alias("part"))
-        copies = self.membership.groupBy("doc").agg((F.count("*") > 1).alias("copied"))
-        known = copies.join(by_doc, "doc", "left").where("copied or part is not null")
-        out = self.membership.join(known, "doc")
-        return out.select("id", F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("part")).cast("bigint").alias("shared_chars"))
+        known = self.copies.join(by_doc, "doc", "left").where("copies > 1 or part is not null")
+        chars = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("part")).cast("bigint")
+        known = self.scratch.cut(known.select("digest", F.col("copies").alias("k"), chars.alias("shared_chars")), "known")
+        return _split_join(self.ids, known, ["digest"], "inner").select("id", "shared_chars")
 
 
 LINE = "id string, start bigint, stop bigint, norm string"
@@ -160,8 +165,9 @@ def line_duplicates(texts: DataFrame, least: int = 20) -> DataFrame:
     """
     rows = texts.where("id is not null and text is not null").select(F.col("id").cast("string").alias("id"), "text")
     lines = rows.mapInPandas(_lines, LINE).where(F.length("norm") >= least)
-    lines = lines.select("id", "start", "stop", F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"))
-    lines = Scratch(texts.sparkSession, "lines").cut(lines, "lines")
-    first = lines.groupBy("h", "g").agg(F.min(F.struct("id", "start")).alias("kept"), F.count("*").alias("k")).where("k > 1")
-    later = lines.join(first.select("h", "g", "kept"), ["h", "g"]).where("id <> kept.id or start <> kept.start")
+    lines = lines.select("id", "start", "stop", F.unhex(F.md5("norm")).alias("digest"))
+    scratch = Scratch(texts.sparkSession, "lines")
+    lines = scratch.cut(lines, "lines")
+    first = lines.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("kept"), F.count("*").alias("k")).where("k > 1")
+    later = _split_join(lines, scratch.cut(first, "first"), ["digest"], "inner").where("id <> kept.id or start <> kept.start")
     return later.select("id", "start", "stop", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))
