@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from weftline.llm import mixing
 from weftline.llm.mixing import allocate, mix_sources, pivot, pool_pivot, share_report
 from weftline.llm.packing import fill_report, pack, pack_items
 from weftline.llm.tokens import PART, encoding, n_tokens, with_sizes
@@ -21,6 +22,18 @@ def test_pack_is_whole_and_tight():
     assert pack([], CAPS) == []
 
 
+def test_every_capacity_is_weighed():
+    assert {c for c, _ in pack([750] * 40, [1000, 1500, 4000])} == {1500}  # the largest would leave 6 %, the least 25 %
+    assert [c for c, _ in pack([900, 90, 10, 700, 5], [1000, 4000])] == [1000, 1000]
+    mixed = pack([1000] * 7 + [333] * 9, [1000, 2100])
+    assert {c for c, items in mixed if 0 in items} == {1000} and sum(c for c, _ in mixed) == 10_000
+    rng = random.Random(3)
+    for caps in ([512, 2048, 8192], [100, 130, 170], [64]):
+        sizes = [rng.randrange(1, max(caps) + 1) for _ in range(800)]
+        joint, single = (sum(c for c, _ in pack(sizes, k)) for k in (caps, caps[-1:]))
+        assert joint <= single
+
+
 @pytest.mark.parametrize("block", [50, 100_000])
 def test_pack_items(spark, block):
     rng = random.Random(2)
@@ -53,8 +66,21 @@ def test_pivots_keep_mass_and_chance():
         loose = dict(pivot([(i, s, 0.2 + 0.6 * (i % 2)) for i, s in sizes], seed))
         assert sum(0 < x < 1 for x in loose.values()) <= 1
         assert sum(loose[i] * s for i, s in sizes) == pytest.approx(sum(s * (0.2 + 0.6 * (i % 2)) for i, s in sizes))
-    often = sum(dict(pool_pivot(sizes, 0.37, seed))[5] for seed in range(400)) / 400
-    assert abs(often - 0.37) < 0.1
+    for way in (lambda seed: pool_pivot(sizes, 0.37, seed), lambda seed: pivot([(i, s, 0.37) for i, s in sizes], seed)):
+        assert abs(sum(dict(way(seed))[5] for seed in range(400)) / 400 - 0.37) < 0.1
+
+
+def test_mix_is_the_same_however_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 50)  # several levels of the tree
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aab"), rng.randrange(1, 300)) for i in range(2500)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3)], "source string, target_share double, max_repeats int")
+    one, many = ({(r.doc_id, r.copies) for r in mix_sources(sized.repartition(n), targets).collect()} for n in (1, 7))
+    assert one == many and len(one) == 2500
+    total = {s: sum(n * c for (i, t, n), (_, c) in zip(rows, sorted(one), strict=True) if t == s) for s in "ab"}
+    has = sum(n for _, _, n in rows)
+    assert all(abs(total[s] / has - share) < 300 / has for s, share in (("a", 0.6), ("b", 0.4)))
 
 
 def test_allocate():

@@ -2,16 +2,15 @@
 
 Every record of a source begins with the same fractional number of copies.  Fractions are rounded by
 pairing: mass moves at random between two units until one of them is whole, with their joint size
-unchanged.  In a partition a record's partner is the pool of all lighter ones, so that the heavy are
-settled first and the one record left fractional is light.  What partitions leave is paired record by
-record up a tree, so a source misses its size by less than one record.
+unchanged.  In a bucket of its source a record's partner is the pool of all lighter ones, so that the
+heavy are settled first and the one record left fractional is light; record against record would leave
+a heavy one.  What buckets leave is paired record by record up a tree, so a source misses its size by
+less than one record.  Buckets and draws depend on ids alone: the result is the same however the rows
+are partitioned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 
 from weftline.session import Scratch
 
-FAN = 16
+#: Records of a source that a bucket holds, and buckets joined at each level of the tree.
+BUCKET, FAN = 20_000, 16
 EPS = 1e-9
 UNITS = "source string, doc_id bigint, n_tokens bigint, base bigint, p double, part bigint"
 
@@ -108,32 +108,16 @@ def pool_pivot(units: list[tuple[int, int]], p: float, seed: int) -> list[tuple[
     return [(d, float(round(x)) if x <= EPS or x >= 1 - EPS else x) for d, x in out]
 
 
-def _rounder(seed: int, equal: bool = False):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True)  # a few numbers per record of one input split
-        for _, group in frame.groupby("source", sort=True):
-            docs, sizes, shares = group.doc_id.tolist(), group.n_tokens.tolist(), group.p.tolist()
-            if equal:
-                p = dict(pool_pivot(list(zip(docs, sizes, strict=True)), shares[0], seed))
-            else:
-                p = dict(pivot(list(zip(docs, sizes, shares, strict=True)), seed))
-            yield group.assign(p=group.doc_id.map(p).astype(float))
-
-    def safe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = [b for b in batches if len(b)]
-        if kept:
-            yield from run(iter(kept))
-
-    return safe
-
-
-def _group_rounder(seed: int):
-    run = _rounder(seed)
-
-    def whole_group(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(run(iter([group])))
+def _rounder(seed: int, first: bool):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        docs, sizes, shares = group.doc_id.tolist(), group.n_tokens.tolist(), group.p.tolist()
+        if first:
+            p = dict(pool_pivot(list(zip(docs, sizes, strict=True)), shares[0], seed))
+        else:
+            p = dict(pivot(list(zip(docs, sizes, shares, strict=True)), seed))
+        return group.assign(p=group.doc_id.map(p).astype(float))
 
-    return whole_group
+    return run
 
 
 def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7) -> DataFrame:
@@ -148,32 +132,32 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: float | None
     plan = {r.source: (r.target_share, r.max_repeats) for r in targets.collect() if r.source is not None}
     rows = sized.where(F.col("source").isin(list(plan))).select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
     rows = scratch.cut(rows, "rows")
-    has = {r.source: float(r.n) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()  # one row per target
+    has = {r.source: float(r.n) for r in totals}
+    buckets = {r.source: -(-r.k // BUCKET) for r in totals}
     sizes = allocate(has, plan, sum(has.values()) if total_tokens is None else total_tokens)
     copies = [(s, min(sizes[s] / has[s], float(plan[s][1])) if has.get(s) else 0.0) for s in plan]
-    wanted = spark.createDataFrame(copies or [("", 0.0)], "source string, f double")
+    wanted = spark.createDataFrame([(s, f, buckets.get(s, 1)) for s, f in copies] or [("", 0.0, 1)], "source string, f double, buckets bigint")
     units = rows.join(F.broadcast(wanted), "source").select(  # one row per target
         "source",
         "doc_id",
         "n_tokens",
         F.floor(F.col("f") + EPS).alias("base"),
         F.greatest(F.lit(0.0), F.col("f") - F.floor(F.col("f") + EPS)).alias("p"),
-        F.spark_partition_id().cast("bigint").alias("part"),
+        F.pmod(F.xxhash64("doc_id"), F.col("buckets")).alias("part"),
     )
-    level = scratch.cut(units.mapInPandas(_rounder(seed, equal=True), UNITS), "rounded")
     whole, fraction = "p <= 0 or p >= 1", "p > 0 and p < 1"
-    done = [level.where(whole)]
-    parts = max(1, rows.rdd.getNumPartitions())
-    turn = 1
+    # records that need no rounding do not move
+    done, open_units = [units.where(whole)], units.where(fraction)
+    parts, turn = max(buckets.values(), default=1), 0
     while True:
-        open_units = level.where(fraction).withColumn("part", F.floor(F.col("part") / FAN))
-        parts = -(-parts // FAN)
-        rounded = open_units.groupBy("source", "part").applyInPandas(_group_rounder(seed + turn), UNITS)
-        level = scratch.cut(rounded, "rounded")
+        level = scratch.cut(open_units.groupBy("source", "part").applyInPandas(_rounder(seed + turn, turn == 0), UNITS), "rounded")
         done.append(level.where(whole))
         turn += 1
         if parts == 1:
             break
+        open_units = level.where(fraction).withColumn("part", F.floor(F.col("part") / FAN))
+        parts = -(-parts // FAN)
     # at most one record of each source is left: it is drawn with its own chance
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     done.append(level.where(fraction).withColumn("p", F.when(drawn < F.col("p"), 1.0).otherwise(0.0)))

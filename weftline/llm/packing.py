@@ -1,14 +1,16 @@
 """Filling containers of several permitted capacities with whole items.
 
-Items are spread over blocks of bounded size, and each block is packed by best fit, largest items
-first; a new container takes the capacity of least expected cost, and closed containers shrink to
-the least capacity that holds their contents.  The worst-filled containers of a block give their
+Items are spread over blocks of bounded size, and each block is packed by best fit.  A container is
+opened for the largest item left: for every permitted capacity it is seen how the items still open
+would fill it, each time by the one that fits the room best, and the capacity that leaves the least
+share of its room unused is taken.  Closed containers shrink to the least capacity that holds their
+contents.  The worst-filled containers of a block give their
 items back, to be packed with those of other blocks up a tree of ever fewer blocks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,37 +26,55 @@ FULL = 0.985
 PACKED = "block bigint, doc_id bigint, part int, n_tokens bigint, bin string, capacity bigint"
 
 
+class _Open:
+    """The items still open, by size."""
+
+    def __init__(self, sizes: list[int]):
+        self.items: dict[int, list[int]] = {}
+        for i in range(len(sizes) - 1, -1, -1):
+            self.items.setdefault(sizes[i], []).append(i)
+        self.order = sorted(self.items)
+
+    def filling(self, size: int, capacity: int) -> tuple[int, list[int]]:
+        """(room left, sizes added) of a container with an item of ``size``, each added item the largest that fits."""
+        room, added, used = capacity - size, [], {size: 1}
+        at = bisect_right(self.order, room)
+        while at:
+            best = self.order[at - 1]
+            left = len(self.items[best]) - used.get(best, 0)
+            if left <= 0:
+                at -= 1
+                continue
+            n = min(left, room // best)
+            added += [best] * n
+            used[best] = used.get(best, 0) + n
+            room -= n * best
+            at = bisect_right(self.order, room, 0, at)
+        return room, added
+
+    def take(self, size: int) -> int:
+        found = self.items[size]
+        item = found.pop()
+        if not found:
+            del self.items[size]
+            self.order.pop(bisect_left(self.order, size))
+        return item
+
+
 def pack(sizes: list[int], capacities: list[int]) -> list[tuple[int, list[int]]]:
     """Containers as (capacity, item numbers); every size must be 1 .. the largest capacity.
 
-    Best fit over items in falling size.  A new container's cost is the room expected to stay empty
-    as a share of its capacity: what the items still to come cannot fill, and a margin.
+    All capacities are weighed for each container by what the items still open leave unused in it;
+    of equal shares the larger capacity, which makes fewer containers.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    capacities = sorted(capacities)
-    to_come = sum(sizes)
-    margin = 1 + sum(sorted(sizes)[: max(1, len(sizes) // 10)]) / max(1, len(sizes) // 10) / 2
-    rooms: list[tuple[int, int]] = []  # (room left, container), sorted
-    bins: list[list[int]] = []
-    for i in order:
-        size = sizes[i]
-        to_come -= size
-        at = bisect_left(rooms, (size, -1))
-        if at < len(rooms):
-            room, b = rooms.pop(at)
-        else:
-            # an item that fills a capacity exactly costs nothing there
-            fits = [c for c in capacities if c >= size]
-            room = min(fits, key=lambda c: (0 if c == size else (max(0, c - size - to_come) + margin) / c, c))
-            b = len(bins)
-            bins.append([])
-        bins[b].append(i)
-        if room > size:
-            insort(rooms, (room - size, b))
-    out = []
-    for items in bins:
-        total = sum(sizes[i] for i in items)
-        out.append((capacities[bisect_left(capacities, total)], items))
+    rising, open_items, out = sorted(set(capacities)), _Open(sizes), []
+    while open_items.order:
+        size = open_items.order[-1]
+        ways = [(*open_items.filling(size, c), c) for c in rising if c >= size]
+        _, added, _ = min(ways, key=lambda way: (way[0] / way[2], -way[2]))
+        items = [open_items.take(s) for s in (size, *added)]
+        total = size + sum(added)
+        out.append((rising[bisect_left(rising, total)], items))
     return out
 
 

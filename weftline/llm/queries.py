@@ -59,7 +59,7 @@ def _sizes(spark: SparkSession, directory: str, *keep: str) -> DataFrame:
 def p7_pack(spark: SparkSession, directory: str) -> DataFrame:
     capacities = [r.capacity_tokens for r in read_table(spark, directory, "pack_sizes").collect()]
     packed = pack_items(_sizes(spark, directory), capacities)
-    names = read_table(spark, directory, "pack_sizes").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    names = read_table(spark, directory, "pack_sizes").groupBy(F.col("capacity_tokens").cast("bigint").alias("capacity")).agg(F.min("pack_name").alias("pack_name"))
     return packed.join(names, "capacity").select("doc_id", "part", "n_tokens", "bin", "pack_name", "capacity")
 
 
