@@ -62,7 +62,10 @@ def test_traces(chain):
     assert found == {("y", "raw.a", "x", ("rename", "direct")), ("l", "mid.b", "lit", ("expression",)), ("n", "mid.b", "n", ("direct",))}
     assert {r.origin_column for r in trace.origins(chain, "mid.b").collect()} == {"x", "lit"}
     assert rows(trace.trace_table(chain, "raw.a"))[:1] == [("mid.b", "lit")] and rows(trace.trace_table(chain, "lone.e")) == [("lone.e", "")]
-    tree = trace.upstream_tree(chain, "out.c", "y")
+    tree = trace.upstream_tree(chain, "out.c", "Y")
+    assert [(r.place, r.node, r.column, r.parent_node, r.depth) for r in tree.orderBy("place").collect()] == [
+        (0, "out.c", "y", None, 0), (1, "mid.b", "y", "out.c", 1), (2, "raw.a", "x", "mid.b", 2),
+    ]
     assert tuple(trace.tree_counts(tree).collect()[0]) == (3, 3, 1)
     paths = trace.trace_paths(chain, "mid.b", "y")
     assert [tuple(r.path) for r in paths.collect()] == [("raw.a.x", "mid.b.y", "out.c.y")]
@@ -194,6 +197,20 @@ def test_search(chain):
     found = search(chain.nodes, chain.columns, "li").collect()
     assert [(r.kind, r.node_id, r.column) for r in found][0][0] in ("table", "column") and any(r.column == "lit" for r in found)
     assert search(chain.nodes, chain.columns, "l").count() == 0
+    best = search(chain.nodes, chain.columns, "mid").collect()[0]
+    assert (best.node_id, best.data_type, best.places) == ("mid.b", "view", [0, 1, 2])
+    assert [r.places for r in search(chain.nodes, chain.columns, "dn").collect() if r.node_id == "dyn.d"] == [[0, 2]]
+
+
+def test_tree_is_depth_first(spark):
+    """s is fed by a and b, a by b, b by s: b hangs under a, which the walk reaches first, and s is not met again."""
+    ends = [("a", "s"), ("b", "s"), ("b", "a"), ("s", "b")]
+    edges = [(f"e{i}", f"d.{x}", f"d.{y}", "automatic", None) for i, (x, y) in enumerate(ends)]
+    maps = [(f"e{i}", f"d.{x}", f"d.{y}", "c", ["C", "c"], "direct", None, None) for i, (x, y) in enumerate(ends)]
+    g = make(spark, [], {}, edges, maps)
+    starts = spark.createDataFrame([("d.s", "c"), ("d.a", "c")], "node string, column string")
+    got = {(r.start[9:12], r.place, r.node[2:], (r.parent_node or "d.")[2:], r.depth) for r in trace.upstream_tree(g, starts).collect()}
+    assert got == {("d.s", 0, "s", "", 0), ("d.s", 1, "a", "s", 1), ("d.s", 2, "b", "a", 2), ("d.a", 0, "a", "", 0), ("d.a", 1, "b", "a", 1), ("d.a", 2, "s", "b", 2)}
 
 
 def test_manual_edges(chain, spark):

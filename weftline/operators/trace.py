@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,28 +167,56 @@ def ordered_chain(graph: LineageGraph, trace: DataFrame) -> DataFrame:
     )
 
 
-def upstream_tree(graph: LineageGraph, node: str, column: str) -> DataFrame:
-    """(node, column, parent_node, parent_column, depth): each upstream column once, under the first that leads to it."""
+TREE = "start string, place bigint, node string, column string, parent_node string, parent_column string, depth bigint"
+
+
+def upstream_tree(graph: LineageGraph, node: DataFrame | str, column: str | None = None) -> DataFrame:
+    """(start, place, node, column, parent_node, parent_column, depth): each upstream column once, depth first.
+
+    ``place`` is the order of a depth-first walk that takes sources in order of their edges and never
+    comes to a column again; a column stands under the one that led there first.  The columns are found
+    level by level; the links among them, those of one start's upstream, are then walked in one task.
+    """
     scratch = Scratch(graph.spark, "tree")
-    hops = scratch.cut(_hops(graph), "hops")
-    links = hops.select(F.col("down.node").alias("node"), F.col("down.column").alias("column"), F.col("up").alias("to"))
-    start = _starts(graph, node, column).select(
-        "node", "column", F.lit(None).cast("string").alias("parent_node"), F.lit(None).cast("string").alias("parent_column")
-    )
-    return walk(
-        start,
-        lambda f: f.join(links, ["node", "column"]).select(
-            "to.node", "to.column", F.col("node").alias("parent_node"), F.col("column").alias("parent_column")
-        ),
-        ["node", "column"],
-        scratch,
-    )
+    key = F.struct("node", F.lower("column").alias("column"))
+    starts = scratch.cut(_starts(graph, node, column).select(F.to_json(key).alias("start"), key.alias("at")), "starts")
+    hops = graph.column_edges().where("source_node is not null and target_node is not null").groupBy(
+        F.struct(F.col("target_node").alias("node"), F.col("target_column").alias("column")).alias("at"),
+        F.struct(F.col("source_node").alias("node"), F.col("source_column").alias("column")).alias("to"),
+    ).agg(F.min("edge_id").alias("edge"))
+    hops = scratch.cut(hops, "hops")
+    met = walk(starts, lambda f: f.join(hops, "at").select("start", F.col("to").alias("at")), ["start", "at"], scratch)
+    links = met.select("start", "at").join(hops, "at", "left").select("start", F.to_json("at").alias("at"), F.to_json("to").alias("to"), "edge")
+
+    def walked(group: pd.DataFrame) -> pd.DataFrame:
+        start = group.start.iloc[0]
+        sources: dict[str, list[str]] = {}
+        for at, to in group[group.to.notna()].sort_values(["at", "edge", "to"])[["at", "to"]].itertuples(index=False):
+            sources.setdefault(at, []).append(to)
+        rows, seen = [(start, None, 0)], {start}
+        todo = [(start, 0, iter(sources.get(start, ())))]
+        while todo:
+            at, depth, ways = todo[-1]
+            to = next(ways, None)
+            if to is None:
+                todo.pop()
+            elif to not in seen:
+                seen.add(to)
+                rows.append((to, at, depth + 1))
+                todo.append((to, depth + 1, iter(sources.get(to, ()))))
+        out = []
+        for place, (at, parent, depth) in enumerate(rows):
+            own, above = json.loads(at), json.loads(parent) if parent else {}
+            out.append((start, place, own.get("node"), own.get("column"), above.get("node"), above.get("column"), depth))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in TREE.split(", ")])
+
+    return links.groupBy("start").applyInPandas(walked, TREE)
 
 
 def tree_counts(tree: DataFrame) -> DataFrame:
     """One row: n_nodes, n_steps, n_leaves of an upstream tree."""
-    parents = tree.select(F.col("parent_node").alias("node"), F.col("parent_column").alias("column")).distinct().withColumn("inner", F.lit(True))
-    return tree.join(parents, ["node", "column"], "left").agg(
+    parents = tree.select("start", F.col("parent_node").alias("node"), F.col("parent_column").alias("column")).distinct().withColumn("inner", F.lit(True))
+    return tree.join(parents, ["start", "node", "column"], "left").agg(
         F.countDistinct("node").alias("n_nodes"), F.count("*").alias("n_steps"), F.count_if(F.col("inner").isNull()).alias("n_leaves")
     )
 

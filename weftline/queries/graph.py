@@ -87,6 +87,34 @@ def trace_paths(spark, directory) -> DataFrame:
     return trace.trace_paths(g, _busiest(g)).select("node", "column", F.array_join("path", " > ").alias("path"))
 
 
+def trace_tree(spark, directory) -> DataFrame:
+    """The depth-first upstream tree of the column with most upstream links of its own: each column once."""
+    g = _graph(spark, directory)
+    fed = g.column_edges().groupBy("target_node", "target_column").agg(F.count("*").alias("n"))
+    least = fed.agg(F.min(F.struct((-F.col("n")).alias("n"), "target_node", "target_column")).alias("s"))
+    tree = trace.upstream_tree(g, least.select(F.col("s.target_node").alias("node"), F.col("s.target_column").alias("column")))
+    return tree.select("node", "column")
+
+
+def trace_branches(spark, directory) -> DataFrame:
+    """The paths through the busiest column as branches before their longest common ending."""
+    g = _graph(spark, directory)
+    parts = trace.split_paths(trace.trace_paths(g, _busiest(g)))
+    return parts.select(F.array_join("branch", " > ").alias("branch"), F.array_join("suffix", " > ").alias("suffix"))
+
+
+def node_links(spark, directory) -> DataFrame:
+    """Edges into and out of the node that feeds most."""
+    g = _graph(spark, directory)
+    fan = g.edges.where("source_node is not null").groupBy("source_node").agg(F.count("*").alias("n"))
+    busy = fan.agg(F.min(F.struct((-F.col("n")).alias("n"), "source_node")).alias("s")).collect()[0].s
+    return filters.node_edges(g, busy.source_node if busy else "")
+
+
+def facet_values(spark, directory) -> DataFrame:
+    return filters.distinct_values(saved_graph(spark, directory))
+
+
 def trace_chain(spark, directory) -> DataFrame:
     g = _graph(spark, directory)
     return trace.ordered_chain(g, trace.trace_column(g, _busiest(g)))
@@ -125,7 +153,8 @@ def fuzzy_names(spark, directory) -> DataFrame:
 def fuzzy_search(spark, directory) -> DataFrame:
     """The best 50 tables and columns for a query; a top-k report."""
     g = saved_graph(spark, directory)
-    return search(g.nodes, g.columns, "audit")
+    found = search(g.nodes, g.columns, "audit")
+    return found.withColumn("places", F.concat_ws(",", F.col("places").cast("array<string>")))
 
 
 def mapping_merge(spark, directory) -> DataFrame:
@@ -193,6 +222,34 @@ def scan_upstream(spark, directory) -> DataFrame:
     return run_scan(g.nodes, refs, ScanConfig(target)).nodes.select("node_id", "status")
 
 
+def _most_fed(g: LineageGraph) -> str:
+    fed = g.edges.where("target_node is not null").groupBy("target_node").agg(F.countDistinct("source_node").alias("n"))
+    best = fed.agg(F.min(F.struct((-F.col("n")).alias("n"), "target_node")).alias("t")).collect()[0].t
+    return best.target_node if best else ""
+
+
+def _edge_refs(g: LineageGraph) -> DataFrame:
+    return g.edges.where("source_node is not null and target_node is not null").select(
+        F.col("target_node").alias("node_id"), F.xxhash64("edge_id").alias("ord"), F.col("source_node").alias("ref_id"),
+        F.element_at(F.split("source_node", r"\."), 1).alias("ref_dataset"),
+    )
+
+
+def scan_within_hops(spark, directory) -> DataFrame:
+    """A scan from the node with most sources that may leave its dataset once, by the shortest ways."""
+    g = _graph(spark, directory)
+    found = run_scan(g.nodes, _edge_refs(g), ScanConfig(_most_fed(g), depth=1), shortest=True).nodes
+    return found.select("node_id", "status", F.when(F.col("status") == "truncated", F.col("status_message")).alias("message"))
+
+
+def scan_in_scope(spark, directory) -> DataFrame:
+    """A scan from the node with most sources that stays in its own dataset."""
+    g = _graph(spark, directory)
+    target = _most_fed(g)
+    found = run_scan(g.nodes, _edge_refs(g), ScanConfig(target, datasets=(target.split(".")[0],))).nodes
+    return found.select("node_id", "status", F.when(F.col("status") == "truncated", F.col("status_message")).alias("message"))
+
+
 def scan_views(spark, directory) -> DataFrame:
     """A scan of one dataset along the references in the views' SQL, one dataset hop out."""
     g = _graph(spark, directory)
@@ -259,8 +316,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_datasets, catalog_columns, stats_totals, stats_by_type, status_of_columns, topo_order, node_depths, trace_column,
-        trace_column_edges, trace_table, trace_paths, trace_chain, trace_origins, trace_origin_tables, prune_upstream, filter_views,
+        trace_column_edges, trace_table, trace_paths, trace_branches, trace_tree, trace_chain, node_links, facet_values, trace_origins, trace_origin_tables, prune_upstream, filter_views,
         fuzzy_names, fuzzy_search, mapping_merge, mapping_same, graph_warnings, graph_gaps, manual_retention, default_mappings,
-        export_mermaid, export_sizes, table_refs, lineage_parse, scan_upstream, scan_views, events_fold, entity_closure, entity_reach,
+        export_mermaid, export_sizes, table_refs, lineage_parse, scan_upstream, scan_within_hops, scan_in_scope, scan_views, events_fold, entity_closure, entity_reach,
     )
 }

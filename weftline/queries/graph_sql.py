@@ -10,6 +10,10 @@ g_raw AS (
   FROM (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY scanned_at DESC) = 1)
   UNION ALL
   SELECT id, type, dataset, name, status, status_message, columns FROM shared_nodes WHERE id NOT IN (SELECT id FROM nodes)),
+g_whole AS (
+  SELECT id AS node_id, type, dataset, name, source, sql, description, status, status_message
+  FROM (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY scanned_at DESC) = 1)
+  UNION ALL SELECT id, type, dataset, name, source, NULL, description, status, status_message FROM shared_nodes WHERE id NOT IN (SELECT id FROM nodes)),
 g_nodes AS (SELECT node_id, type, dataset, name, status, status_message FROM g_raw),
 g_cols AS (
   SELECT node_id, ordinal::BIGINT AS ordinal, c.name AS name, c.data_type AS data_type, coalesce(c.lineage_status, 'resolved') AS lineage_status
@@ -21,7 +25,7 @@ g_full AS (
 g_edges AS (SELECT edge_id, source_node, target_node, edge_type FROM g_full),
 g_maps AS (
   SELECT edge_id, source_node, target_node, m.target_column AS target_column, coalesce(m.source_columns, []) AS source_columns,
-         coalesce(m.transformation, 'unknown') AS transformation, m.expression AS expression
+         coalesce(m.transformation, 'unknown') AS transformation, m.expression AS expression, m.description AS description
   FROM (SELECT edge_id, source_node, target_node, unnest(column_mappings) AS m FROM g_full)),
 ce AS (
   SELECT edge_id, source_node AS sn, lower(sc) AS sc, target_node AS tn, lower(target_column) AS tc
@@ -77,10 +81,10 @@ origins AS (
   WHERE transformation = 'literal' AND source_node IS NOT NULL AND target_node IN (SELECT node_id FROM g_nodes))"""
 
 
-def _boundary(at: str) -> str:
+def _boundary(at: str, name: str = "name") -> str:
     return (
-        f"({at} = 1 OR substr(name, {at} - 1, 1) IN ('_', '.', ' ', '-') OR"
-        f" (regexp_matches(substr(name, {at} - 1, 1), '^[a-z]$') AND regexp_matches(substr(name, {at}, 1), '^[A-Z]$')))"
+        f"({at} = 1 OR substr({name}, {at} - 1, 1) IN ('_', '.', ' ', '-') OR"
+        f" (regexp_matches(substr({name}, {at} - 1, 1), '^[a-z]$') AND regexp_matches(substr({name}, {at}, 1), '^[A-Z]$')))"
     )
 
 
@@ -90,20 +94,51 @@ def _hit(at: str, before: str) -> str:
     return f"5 + CASE WHEN {at} = {before} + 1 THEN 15 ELSE {gap} END + CASE WHEN {_boundary(at)} THEN 20 ELSE 0 END + {first}"
 
 
-def _next(char: str, before: str) -> str:
-    found = f"strpos(substr(lower(name), {before} + 1), '{char}')"
-    return f"CASE WHEN {before} IS NOT NULL AND {found} > 0 THEN {found} + {before} END"
-
-
-_FUZZY = f"""
-one AS (SELECT node_id, name, strpos(lower(name), 'fct') AS whole, CASE WHEN strpos(lower(name), 'f') > 0 THEN strpos(lower(name), 'f') END AS a FROM g_nodes),
-two AS (SELECT *, {_next("c", "a")} AS b FROM one),
-three AS (SELECT *, {_next("t", "b")} AS c FROM two),
-scored AS (
-  SELECT node_id, CASE WHEN whole > 0
-    THEN 100 + 10 * 3 + CASE WHEN whole = 1 THEN 50 ELSE 0 END + CASE WHEN {_boundary("whole")} THEN 30 ELSE 0 END - 0.5 * (length(name) - 3)
-    WHEN c IS NOT NULL THEN {_hit("a", "0")} + {_hit("b", "a")} + {_hit("c", "b")} - 0.3 * (length(name) - 3) END::DOUBLE AS score
-  FROM three)"""
+def _fuzzy(pattern: str, rows: str, out: str) -> str:
+    """CTEs that add score and places (a text of numbers from 0) to ``rows`` with a column name; ``out`` is the last one's name."""
+    n, steps, before = len(pattern), [f"{out}_0 AS (SELECT *, strpos(lower(name), '{pattern}') AS whole FROM {rows})"], "0"
+    for k, char in enumerate(pattern, 1):
+        found = f"strpos(substr(lower(name), {before} + 1), '{char}')"
+        steps.append(f"{out}_{k} AS (SELECT *, CASE WHEN {before} IS NOT NULL AND {found} > 0 THEN {found} + {before} END AS h{k} FROM {out}_{k - 1})")
+        before = f"h{k}"
+    hits = " + ".join(_hit(f"h{k}", "0" if k == 1 else f"h{k - 1}") for k in range(1, n + 1))
+    places = " || ',' || ".join(f"(h{k} - 1)" for k in range(1, n + 1))
+    block = " || ',' || ".join(f"(whole + {k - 1})" for k in range(n))
+    steps.append(f"""{out} AS (SELECT *, CASE WHEN whole > 0
+  THEN 100 + 10 * {n} + CASE WHEN whole = 1 THEN 50 ELSE 0 END + CASE WHEN {_boundary("whole")} THEN 30 ELSE 0 END - 0.5 * (length(name) - {n})
+  WHEN {before} IS NOT NULL THEN {hits} - 0.3 * (length(name) - {n}) END::DOUBLE AS score,
+  CASE WHEN whole > 0 THEN {block} ELSE {places} END AS places FROM {out}_{n})""")
+    return ",\n".join(steps)
+
+
+_FUZZY = _fuzzy("fct", "g_nodes", "scored")
+_SEARCH = f"""
+by_name AS (SELECT node_id, type, name FROM g_nodes), by_id AS (SELECT node_id, node_id AS name FROM g_nodes),
+by_col AS (SELECT node_id, name, data_type FROM g_cols),
+{_fuzzy("audit", "by_name", "names")}, {_fuzzy("audit", "by_id", "ids")}, {_fuzzy("audit", "by_col", "cols")},
+best AS (SELECT 0 AS k, 'table' AS kind, n.node_id, '' AS col, n.type AS data_type,
+  CASE WHEN n.score IS NULL OR i.score > n.score THEN i.score ELSE n.score END AS score,
+  CASE WHEN n.score IS NULL OR i.score > n.score THEN i.places
+    ELSE array_to_string(list_transform(string_split(n.places, ','), lambda p: p::INT + length(n.node_id) - length(n.name)), ',') END AS places
+  FROM names n JOIN ids i USING (node_id)
+  UNION ALL SELECT 1, 'column', node_id, name, data_type, score, places FROM cols)"""
+_SOURCES = """
+spring AS (SELECT tn AS node, tc AS col FROM ce WHERE tn IS NOT NULL AND tc IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, tn, tc LIMIT 1),
+hops AS (SELECT DISTINCT sn, sc, tn, tc FROM ce WHERE sn IS NOT NULL AND tn IS NOT NULL),
+above(node, col) AS (SELECT node, col FROM spring UNION SELECT h.sn, h.sc FROM above a JOIN hops h ON h.tn = a.node AND h.tc = a.col)"""
+_PATHS = """
+busy AS (SELECT sn AS node, sc AS col FROM ce WHERE sn IS NOT NULL AND sc IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, sn, sc LIMIT 1),
+lh AS (SELECT DISTINCT sn || '.' || sc AS s, tn || '.' || tc AS t FROM ce WHERE sn IS NOT NULL AND tn IS NOT NULL),
+ups(pt, path) AS (SELECT node || '.' || col, [node || '.' || col] FROM busy
+  UNION ALL SELECT h.s, list_append(u.path, h.s) FROM ups u JOIN lh h ON h.t = u.pt WHERE NOT list_contains(u.path, h.s)),
+downs(pt, path) AS (SELECT node || '.' || col, [node || '.' || col] FROM busy
+  UNION ALL SELECT h.t, list_append(d.path, h.t) FROM downs d JOIN lh h ON h.s = d.pt WHERE NOT list_contains(d.path, h.t)),
+top AS (SELECT path FROM ups u WHERE NOT EXISTS (SELECT 1 FROM lh h WHERE h.t = u.pt AND NOT list_contains(u.path, h.s))),
+low AS (SELECT path FROM downs d WHERE NOT EXISTS (SELECT 1 FROM lh h WHERE h.s = d.pt AND NOT list_contains(d.path, h.t))),
+whole AS (SELECT list_reverse(t.path) || l.path[2:] AS path FROM top t, low l),
+kept AS (SELECT path FROM whole WHERE len(path) > 1 OR (SELECT count(*) FROM whole) = 1)"""
+_TARGET = """
+t AS (SELECT target_node AS n FROM g_edges WHERE target_node IS NOT NULL GROUP BY 1 ORDER BY count(DISTINCT source_node) DESC, 1 LIMIT 1)"""
 
 _W = f"WITH RECURSIVE {_GRAPH}"
 
@@ -140,6 +175,36 @@ SELECT n AS node FROM above""",
 SELECT 'node' AS kind, node_id AS id FROM kept UNION ALL
 SELECT 'edge', edge_id FROM g_edges WHERE source_node IN (SELECT node_id FROM kept) AND target_node IN (SELECT node_id FROM kept)""",
     "fuzzy_names": f"{_W}, {_FUZZY} SELECT node_id, score FROM scored WHERE score IS NOT NULL",
+    "fuzzy_search": f"""{_W}, {_SEARCH} SELECT kind, node_id, col AS "column", data_type, score, places FROM best
+WHERE score IS NOT NULL ORDER BY k, score DESC, node_id, col LIMIT 50""",
+    "trace_tree": f"""{_W}, {_SOURCES} SELECT node, col AS "column" FROM above""",
+    "trace_paths": f"""{_W}, {_PATHS} SELECT node, col AS "column", array_to_string(path, ' > ') AS path FROM kept, busy""",
+    "trace_branches": f"""{_W}, {_PATHS}, n AS (SELECT max(k) AS k FROM (SELECT unnest(range(0, (SELECT min(len(path)) FROM kept) + 1)) AS k)
+  WHERE k = 0 OR (SELECT count(DISTINCT path[-k:]) FROM kept) = 1)
+SELECT array_to_string(path[:len(path) - k], ' > ') AS branch, CASE WHEN k = 0 THEN '' ELSE array_to_string(path[-k:], ' > ') END AS suffix FROM kept, n""",
+    "node_links": f"""{_W}, b AS (SELECT source_node AS n FROM g_edges WHERE source_node IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT 'upstream' AS direction, edge_id, source_node AS other, edge_type FROM g_edges WHERE target_node = (SELECT n FROM b)
+UNION ALL SELECT 'downstream', edge_id, target_node, edge_type FROM g_edges WHERE source_node = (SELECT n FROM b)""",
+    "facet_values": f"""{_W} SELECT DISTINCT kind, value FROM (UNPIVOT (SELECT dataset, type, status FROM g_nodes) ON dataset, type, status INTO NAME kind VALUE value)""",
+    "scan_within_hops": f"""{_W}, {_TARGET},
+reach(n, h) AS (SELECT n, 0 FROM t UNION SELECT source_node, h + (split_part(source_node, '.', 1) <> split_part(n, '.', 1))::INT
+  FROM reach JOIN g_edges ON target_node = n WHERE h <= 1 AND source_node IS NOT NULL AND (n IN (SELECT n FROM t) OR n IN (SELECT node_id FROM g_nodes))),
+near AS (SELECT n, min(h) AS h FROM reach GROUP BY n)
+SELECT n AS node_id, CASE WHEN h > 1 THEN 'truncated' ELSE coalesce(status, 'error') END AS status,
+CASE WHEN h > 1 THEN 'Depth limit reached (2 dataset hops > 1)' WHEN status = 'truncated' THEN status_message END AS message FROM near LEFT JOIN g_nodes ON node_id = n""",
+    "scan_in_scope": f"""{_W}, {_TARGET},
+reach(n) AS (SELECT n FROM t UNION SELECT source_node FROM reach JOIN g_edges ON target_node = n
+  WHERE source_node IS NOT NULL AND split_part(n, '.', 1) = (SELECT split_part(n, '.', 1) FROM t))
+SELECT n AS node_id, CASE WHEN split_part(n, '.', 1) <> (SELECT split_part(n, '.', 1) FROM t) THEN 'truncated' ELSE coalesce(status, 'error') END AS status,
+CASE WHEN split_part(n, '.', 1) <> (SELECT split_part(n, '.', 1) FROM t) THEN 'Dataset not in scan scope' WHEN status = 'truncated' THEN status_message END AS message
+FROM reach LEFT JOIN g_nodes ON node_id = n""",
+    "export_sizes": f"""{_W}, cs AS (SELECT node_id, list({{'name': name, 'data_type': data_type, 'lineage_status': lineage_status}} ORDER BY ordinal) AS c FROM g_cols GROUP BY node_id),
+ms AS (SELECT edge_id, list(m ORDER BY m) AS m FROM (SELECT edge_id, {{'target_column': target_column, 'source_columns': source_columns,
+  'transformation': transformation, 'expression': expression, 'description': description}} AS m FROM g_maps) GROUP BY edge_id)
+SELECT 'node' AS kind, node_id AS id, to_json({{'type': type, 'dataset': dataset, 'name': name, 'columns': coalesce(c, []), 'source': source, 'sql': sql,
+  'description': description, 'status': status, 'status_message': status_message}})::VARCHAR AS json FROM g_whole LEFT JOIN cs USING (node_id)
+UNION ALL SELECT 'edge', edge_id, to_json({{'id': edge_id, 'source_node': source_node, 'target_node': target_node, 'edge_type': edge_type,
+  'description': description, 'column_mappings': coalesce(m, [])}})::VARCHAR FROM g_full LEFT JOIN ms USING (edge_id)""",
     "mapping_merge": f"""{_W} SELECT target_node, lower(target_column) AS target_column, transformation, coalesce(expression, '') AS expression,
 array_to_string(list_sort(list_distinct(flatten(list(source_columns)))), ',') AS source_columns, min(source_node) AS source_node FROM g_maps GROUP BY ALL""",
     "mapping_same": f"""{_W} SELECT target_node, lower(target_column) AS target_column, count(DISTINCT (transformation, coalesce(expression, ''))) = 1 AS shared

@@ -99,27 +99,49 @@ cycles AS (SELECT a AS node_id, min(b) AS root_id, count(*)::BIGINT AS depth FRO
 _JSON = """
 WITH good AS (SELECT DISTINCT export_id, payload::JSON AS j FROM graph_exports WHERE json_valid(payload)),
 owners AS (
-  SELECT export_id, 'node' AS kind, x.key AS owner_id, x.value AS o
-  FROM (SELECT export_id, unnest(map_entries(CAST(j->'nodes' AS MAP(VARCHAR, JSON)))) AS x FROM good WHERE json_type(j, '$.nodes') = 'OBJECT')
+  SELECT export_id, 'node' AS kind, opos, x.key AS owner_id, x.value AS o
+  FROM (SELECT export_id, unnest(range(len(m))) AS opos, unnest(m) AS x
+        FROM (SELECT export_id, map_entries(CAST(j->'nodes' AS MAP(VARCHAR, JSON))) AS m FROM good WHERE json_type(j, '$.nodes') = 'OBJECT'))
   UNION ALL
-  SELECT export_id, 'node', o->>'id', o FROM (SELECT export_id, unnest(CAST(j->'nodes' AS JSON[])) AS o FROM good WHERE json_type(j, '$.nodes') = 'ARRAY')
-  UNION ALL
-  SELECT export_id, 'edge', o->>'id', o FROM (SELECT export_id, unnest(CAST(j->'edges' AS JSON[])) AS o FROM good WHERE json_type(j, '$.edges') = 'ARRAY')),
+  SELECT export_id, kind, opos, o->>'id', o FROM (
+    SELECT export_id, kind, unnest(range(len(a))) AS opos, unnest(a) AS o FROM (
+      SELECT export_id, 'node' AS kind, CAST(j->'nodes' AS JSON[]) AS a FROM good WHERE json_type(j, '$.nodes') = 'ARRAY'
+      UNION ALL SELECT export_id, 'edge', CAST(j->'edges' AS JSON[]) FROM good WHERE json_type(j, '$.edges') = 'ARRAY'))),
 columns AS (
-  SELECT export_id, owner_id, unnest(range(len(a))) AS pos, unnest(a) AS v
-  FROM (SELECT export_id, owner_id, CAST(o->'columns' AS JSON[]) AS a FROM owners WHERE kind = 'node' AND json_type(o, '$.columns') = 'ARRAY')),
+  SELECT export_id, owner_id, opos, unnest(range(len(a))) AS pos, unnest(a) AS v
+  FROM (SELECT export_id, owner_id, opos, CAST(o->'columns' AS JSON[]) AS a FROM owners WHERE kind = 'node' AND json_type(o, '$.columns') = 'ARRAY')),
 mappings AS (
-  SELECT export_id, owner_id, unnest(range(len(a))) AS pos, unnest(a) AS v
-  FROM (SELECT export_id, owner_id, CAST(o->'column_mappings' AS JSON[]) AS a FROM owners WHERE kind = 'edge' AND json_type(o, '$.column_mappings') = 'ARRAY')),
+  SELECT export_id, owner_id, opos, unnest(range(len(a))) AS pos, unnest(a) AS v
+  FROM (SELECT export_id, owner_id, opos, CAST(o->'column_mappings' AS JSON[]) AS a FROM owners WHERE kind = 'edge' AND json_type(o, '$.column_mappings') = 'ARRAY')),
 sources AS (
-  SELECT export_id, owner_id, pos, unnest(range(len(a))) AS src_pos, unnest(a) AS item
-  FROM (SELECT export_id, owner_id, pos, CASE json_type(v, '$.source_columns') WHEN 'ARRAY' THEN CAST(v->'source_columns' AS VARCHAR[])
+  SELECT export_id, owner_id, opos, pos, unnest(range(len(a))) AS src_pos, unnest(a) AS item
+  FROM (SELECT export_id, owner_id, opos, pos, CASE json_type(v, '$.source_columns') WHEN 'ARRAY' THEN CAST(v->'source_columns' AS VARCHAR[])
           WHEN 'VARCHAR' THEN [v->>'source_columns'] ELSE [] END AS a FROM mappings)),
 found AS (
   SELECT export_id, owner_id, pos::BIGINT AS pos, (-1)::BIGINT AS src_pos, v->>'name' AS item, 'columns' AS entry FROM columns
   UNION ALL SELECT export_id, owner_id, pos::BIGINT, (-1)::BIGINT, v->>'target_column', 'mappings' FROM mappings
   UNION ALL SELECT export_id, owner_id, pos::BIGINT, src_pos::BIGINT, item, 'source_columns' FROM sources)"""
 
+
+
+def _fields(of: str, *names: str) -> str:
+    return ", ".join(f"{of}->>'{n}' AS {n}" for n in names)
+
+
+def _listed(path: str) -> str:
+    """The items of a plain list of the payload; a bare value is a list of one."""
+    return f"""SELECT export_id, unnest(range(len(a))) AS pos, unnest(a) AS item FROM (SELECT export_id, CASE json_type(j, '{path}')
+WHEN 'ARRAY' THEN CAST(json_extract(j, '{path}') AS VARCHAR[]) WHEN 'VARCHAR' THEN [json_extract_string(j, '{path}')] ELSE [] END AS a FROM good)"""
+
+
+_STATS = ("total_nodes", "total_edges", "nodes_by_type", "orphan_nodes", "terminal_nodes", "truncated_nodes", "parse_errors")
+_NODE = ("type", "dataset", "name", "source", "sql", "description", "status", "status_message")
+_META = ", ".join(
+    [f"json_extract_string(j, '$.metadata.{n}') AS {n}" for n in ("project_id", "generated_at", "description")]
+    + [f"json_extract_string(j, '$.metadata.scan_config.{n}') AS scan_config_{n}" for n in ("target", "depth")]
+    + [f"json_extract_string(j, '$.metadata.scan_stats.{n}') AS scan_stats_{n}" for n in _STATS]
+)
+
 SQL: dict[str, str] = {
     "p1_found": f"{_ORPHANS} SELECT snapshot_id, edge_id, field, ref, kind FROM found",
     "p1_report": f"{_ORPHANS} SELECT snapshot_id, field, kind, count(*) AS n_refs, count(DISTINCT ref) AS n_keys FROM found GROUP BY ALL",
@@ -129,7 +151,25 @@ SQL: dict[str, str] = {
 UNION ALL SELECT 'cycle', root_id, node_id, depth FROM cycles""",
     "p5_descendants": f"""{_LINKS} SELECT root_id, count(*) AS n_descendants, max(depth) AS max_depth
 FROM near WHERE depth > 0 GROUP BY root_id""",
+    "p5_pairs": f"""{_LINKS},
+far(a, n, d) AS (SELECT DISTINCT p, p, 0 FROM links UNION SELECT f.a, l.c, f.d + 1 FROM far f JOIN links l ON l.p = f.n WHERE f.d < 40)
+SELECT a AS node_id, n AS descendant_id, min(d)::BIGINT AS depth FROM far WHERE a <> n GROUP BY a, n""",
+    "p5_paths": f"""{_LINKS},
+ways(r, n, d, path) AS (
+  SELECT r, r, 0, [r] FROM roots
+  UNION SELECT w.r, l.c, w.d + 1, list_append(w.path, l.c) FROM ways w JOIN links l ON l.p = w.n
+  JOIN near k ON k.root_id = w.r AND k.node_id = l.c AND k.depth = w.d + 1)
+SELECT r AS root_id, n AS node_id, d::BIGINT AS depth, array_to_string(min(path), ' > ') AS path FROM ways GROUP BY r, n, d""",
     "p6_found": f"{_JSON} SELECT export_id, owner_id, pos, src_pos, item FROM found",
+    "p6_metadata": f"{_JSON} SELECT export_id, {_META} FROM good",
+    "p6_datasets": f"{_JSON} {_listed('$.metadata.scan_config.datasets')}",
+    "p6_prune_points": f"{_JSON} {_listed('$.prune_points')}",
+    "p6_nodes": f"{_JSON} SELECT export_id, opos AS pos, owner_id AS id, {_fields('o', *_NODE)} FROM owners WHERE kind = 'node'",
+    "p6_edges": f"{_JSON} SELECT export_id, opos AS pos, owner_id AS id, {_fields('o', 'source_node', 'target_node', 'edge_type', 'description')} FROM owners WHERE kind = 'edge'",
+    "p6_columns": f"{_JSON} SELECT export_id, owner_id AS node_id, opos AS node_pos, pos, {_fields('v', 'name', 'data_type', 'lineage_status')} FROM columns",
+    "p6_mappings": f"""{_JSON} SELECT export_id, owner_id AS edge_id, opos AS edge_pos, pos,
+{_fields('v', 'target_column', 'transformation', 'expression', 'description')} FROM mappings""",
+    "p6_source_columns": f"{_JSON} SELECT export_id, owner_id AS edge_id, opos AS edge_pos, pos AS mapping_pos, src_pos AS pos, item FROM sources",
     "p6_tables": f"""{_JSON} SELECT export_id, entry, count(*) AS n FROM
 (SELECT export_id, entry FROM found UNION ALL SELECT export_id, kind || 's' FROM owners) GROUP BY ALL""",
 }
