@@ -269,7 +269,8 @@ def fit_pairs(words: DataFrame) -> PairModel:
         for batch in batches:
             yield pd.DataFrame(restorer.elsewhere(batch.word.tolist()) if len(batch) else [], columns=["old", "word"])
 
-    other = words.mapInPandas(readings, "old string, word string")
+    parts = 4 * spark.sparkContext.defaultParallelism
+    other = words.repartition(parts, "word").mapInPandas(readings, "old string, word string")
     damaged = other.join(words.select("word"), "word", "left_semi").select(F.col("old").alias("word")).distinct()
     return _model(words.join(damaged, "word", "left_anti"))
 
@@ -549,9 +550,8 @@ def find_garbled(texts: DataFrame, model: PairModel | None = None) -> DataFrame:
     scratch = Scratch(spark, "garbled")
     texts = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     inside = scratch.cut(texts.mapInPandas(_doc_words, "doc_id bigint, word string, n bigint"), "inside")
-    # many small files: words are few but dear to test
-    spread = inside.repartition(4 * spark.sparkContext.defaultParallelism, "word")
-    words = scratch.cut(spread.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "words")
+    words = scratch.cut(inside.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "words")
+    parts = 4 * spark.sparkContext.defaultParallelism  # words are few but dear to test
     model = model or fit_pairs(words.select("word", "n"))
     shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
@@ -561,10 +561,13 @@ def find_garbled(texts: DataFrame, model: PairModel | None = None) -> DataFrame:
             part = batch[batch.word.isin(found)]
             yield pd.DataFrame({"word": part.word, "docs": part.docs, "found": [_packed(found[w]) for w in part.word]})
 
-    damaged = scratch.cut(words.select("word", "docs").mapInPandas(test, "word string, docs bigint, found string"), "damaged")
-    # words of very many texts are few and go to these by broadcast
+    tested = words.select("word", "docs").repartition(parts, "word").mapInPandas(test, "word string, docs bigint, found string")
+    damaged = scratch.cut(tested.withColumn("h", F.xxhash64("word")), "damaged")
+    # words of very many texts are few and go to these by broadcast; only hashes of the others move, and
+    # a text that is sent another word of equal hash does not hold that
+    held = inside.select("doc_id", F.xxhash64("word").alias("h"))
     hot = F.col("docs") * MAX_HEAVY > F.lit(inside.count())
-    hits = inside.join(F.broadcast(damaged.where(hot)), "word").unionByName(inside.join(damaged.where(~hot), "word"))
+    hits = held.join(F.broadcast(damaged.where(hot)), "h").unionByName(held.join(damaged.where(~hot), "h"))
     hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("word", "found")).alias("hits"))
     hits = scratch.cut(hits, "hits")
 
