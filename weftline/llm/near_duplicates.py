@@ -120,9 +120,9 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """(a, b), a < b: classes that agree in some band and whose sizes allow the similarity."""
         up, down = self.share
-        banded = self.classes.mapInPandas(_bands(self.bands, self.rows), "c bigint, n int, bands array<bigint>")
-        # keys move once, for counting and for the choice of those seen more than once; one seen once pairs with nothing
-        keys = banded.select("c", "n", F.explode("bands").alias("band")).repartition("band")
+        banded = self.scratch.cut(self.classes.mapInPandas(_bands(self.bands, self.rows), "c bigint, n int, bands array<bigint>"), "bands")
+        keys = banded.select("c", "n", F.explode("bands").alias("band"))
+        # a band key seen once pairs with nothing: only the others are sorted and joined
         often = keys.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
         kept = self.scratch.cut(keys.join(often.hint("shuffle_hash"), "band", "left_semi"), "kept")
         other = kept.select("band", F.col("c").alias("b"), F.col("n").alias("m"))
