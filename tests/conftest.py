@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,6 +12,8 @@ os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH
 def spark():
     from weftline.session import local_session
 
-    session = local_session(4, "weftline-tests", spark__sql__shuffle__partitions="2", spark__driver__memory="4g")
-    yield session
-    session.stop()
+    with tempfile.TemporaryDirectory() as warehouse:
+        conf = {"spark__sql__shuffle__partitions": "2", "spark__driver__memory": "4g", "spark__sql__warehouse__dir": warehouse}
+        session = local_session(4, "weftline-tests", **conf)
+        yield session
+        session.stop()

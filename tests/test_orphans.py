@@ -1,3 +1,6 @@
+import pytest
+
+from weftline.operators import orphans
 from weftline.operators.orphans import find_orphans
 
 COL = "array<struct<name:string,data_type:string,lineage_status:string>>"
@@ -49,10 +52,15 @@ def test_kinds_and_fields(spark):
     ]
 
 
-def test_hot_reference_is_complete(spark):
+@pytest.mark.parametrize("few,hot", [(200_000, 100_000), (0, 0)])
+def test_hot_reference_is_complete(spark, monkeypatch, few, hot):
+    monkeypatch.setattr(orphans, "FEW_KEYS", few)  # all keys by broadcast, or the heavy ones only
+    monkeypatch.setattr(orphans, "HOT_ROWS", hot)
     edges = [(1, "p", f"e{i}", "d.hot", "d.b", maps(["c"]), 1) for i in range(500)] + [(1, "p", "f", "d.b", "d.b", None, 1)]
     got = run(spark, edges, [(1, "p", "d.b", cols("y"), 1)])
     assert len(got) == 500 and {g[2:] for g in got} == {("source_node", "d.hot", "missing")}
+    got = run(spark, edges + [(1, "p", "g", "d.gone", "d.b", None, 1)], [(1, "p", "d.b", cols("y"), 1), (1, "p", "d.hot", cols("k"), 1)])
+    assert len(got) == 501 and {g[2:] for g in got} == {("source_columns", "c", "missing"), ("source_node", "d.gone", "missing")}
 
 
 def test_empty_tables(spark):

@@ -60,3 +60,31 @@ def test_scratch_is_freed(spark, tmp_path):
     assert not os.path.exists(inner.root) and kept.count() == 3
     outer.drop()
     assert not os.path.exists(outer.root)
+
+
+def test_sparks_own_catalogue(spark):
+    from weftline.sources.catalog import SparkCatalog, assemble_nodes, from_spark_catalog, list_datasets
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS shop")
+    try:
+        spark.sql("CREATE TABLE shop.things (Id INT, name STRING) USING parquet")
+        spark.sql("CREATE VIEW shop.named AS SELECT name FROM shop.things")
+        read = SparkCatalog(spark)
+        assert (read.table_type("shop", "named"), read.table_type("shop", "things"), read.table_type("shop", "none")) == ("view", "table", None)
+        assert read.view_sql("shop", "named") == "SELECT name FROM shop.things" and read.view_sql("shop", "things") is None
+        spark.sql("DROP VIEW shop.named")
+        assert read.table_type("shop", "named") == "view"  # read once
+        nodes, columns, errors = from_spark_catalog(spark, ["shop", "nowhere"])
+        assert [(r.node_id, r.source) for r in nodes.collect()] == [("shop.things", "ingestion")] and len(errors) == 1 and "nowhere" in errors[0]
+        assert [(r.ordinal, r.name, r.name_lc, r.data_type) for r in columns.orderBy("ordinal").collect()] == [(0, "Id", "id", "int"), (1, "name", "name", "string")]
+        assert [tuple(r) for r in list_datasets(nodes).collect()] == [("shop", 1, 0)]
+    finally:
+        spark.sql("DROP DATABASE shop CASCADE")
+    tables = spark.createDataFrame([("d", "t", "BASE TABLE"), ("d", "v", "VIEW"), ("d", "m", "MATERIALIZED VIEW"), ("d", "x", "EXTERNAL")], "dataset string, name string, table_type string")
+    views = spark.createDataFrame([("d", "v", "SELECT 1"), ("d", "gone", "SELECT 2")], "dataset string, name string, sql string")
+    cols = spark.createDataFrame([("d", "t", 1, "A", "INT64"), ("d", "gone", 1, "b", "INT64")], "dataset string, name string, ordinal int, column string, data_type string")
+    nodes, columns = assemble_nodes(tables, views, cols)
+    assert {(r.node_id, r.type, r.source, r.sql) for r in nodes.collect()} == {
+        ("d.t", "table", "ingestion", None), ("d.v", "view", "bigquery_view", "SELECT 1"), ("d.m", "materialized", "ingestion", None), ("d.x", "table", "ingestion", None),
+    }
+    assert [r.node_id for r in columns.collect()] == ["d.t"]

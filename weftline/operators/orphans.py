@@ -11,46 +11,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.skew import MAX_HEAVY, heavy_keys, total_of
+from weftline.operators.skew import MAX_HEAVY, heavy_keys
 from weftline.session import Scratch
 from weftline.sources.tables import named_id, newest, scan_order
 
 KEY = ["snapshot_id", "node", "col"]
 
 
-def edge_references(edges: DataFrame) -> DataFrame:
-    """(snapshot_id, edge_id, field, node, col): col is '' for a reference to the node itself.
+def _lower_names(array: str, name: str) -> str:
+    return f"array_distinct(filter(transform(coalesce({array}, array()), x -> lower({name})), c -> c is not null))"
+
+
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """(snapshot_id, id, received_at, src, tgt, cols): what edges refer to, without the text beside it.
 
-    ``edges`` has one row per (snapshot_id, id).  Null endpoints and null source columns refer to
-    nothing, ``*`` to no single column.
+    Null source columns refer to nothing, ``*`` to no single column.
     """
-    ends = edges.select(
+    named = "flatten(transform(coalesce(column_mappings, array()), m -> coalesce(m.source_columns, array())))"
+    return edges.where("snapshot_id is not null and id is not null").select(
         "snapshot_id",
-        F.col("id").alias("edge_id"),
+        "id",
+        "received_at",
         named_id(F.col("source_node")).alias("src"),
         named_id(F.col("target_node")).alias("tgt"),
-        F.expr(
-            "array_distinct(filter(flatten(transform(coalesce(column_mappings, array()),"
-            " m -> transform(coalesce(m.source_columns, array()), c -> lower(c)))), c -> c is not null and c <> '*'))"
-        ).alias("cols"),
+        F.expr(f"array_remove({_lower_names(named, 'x')}, '*')").alias("cols"),
     )
+
+
+def edge_references(ends: DataFrame) -> DataFrame:
+    """(snapshot_id, edge_id, field, node, col): col is '' for a reference to the node itself.
+
+    ``ends`` has one row per (snapshot_id, id).  Null endpoints refer to nothing.
+    """
     refs = F.expr(
         "concat(array(struct('source_node' as field, src as node, cast('' as string) as col),"
         " struct('target_node' as field, tgt as node, cast('' as string) as col)),"
         " transform(cols, c -> struct('source_columns' as field, src as node, c as col)))"
     )
-    out = ends.select("snapshot_id", "edge_id", F.explode(refs).alias("r")).select("snapshot_id", "edge_id", "r.*")
+    out = ends.select("snapshot_id", F.col("id").alias("edge_id"), F.explode(refs).alias("r")).select("snapshot_id", "edge_id", "r.*")
     return out.where("node is not null")
 
 
 def held_nodes(nodes: DataFrame) -> DataFrame:
-    """(snapshot_id, node, cols): lower-case column names of each node, a null array as empty."""
-    names = F.expr("array_distinct(filter(transform(coalesce(columns, array()), c -> lower(c.name)), c -> c is not null))")
-    return nodes.where("id is not null").select("snapshot_id", F.col("id").alias("node"), names.alias("cols"))
+    """(snapshot_id, id, received_at, cols): lower-case column names of each node, a null array as empty."""
+    names = F.expr(_lower_names("columns", "x.name"))
+    return nodes.where("id is not null").select("snapshot_id", "id", "received_at", names.alias("cols"))
 
 
 #: Held rows of heavy keys, and column names in them, that are broadcast; more are joined by shuffle.
 HOT_ROWS, HOT_NAMES = 100_000, 2_000_000
+#: Orphan keys that are broadcast to the references; of more, only the heavy ones.
+FEW_KEYS = 200_000
 
 
 def _lacking(keys: DataFrame, held: DataFrame, common: DataFrame) -> DataFrame:
@@ -101,25 +112,23 @@ def find_orphans(
     later scan.  Empty tables give no rows or all references; extra columns are not read.
     """
     scratch = Scratch(edge_snapshots.sparkSession, "orphans")
-    edges = newest(edge_snapshots, ["snapshot_id", "id"], "received_at", ["source_node", "target_node", "column_mappings"])
-    edges = edges.where("snapshot_id is not null and id is not null")
-    nodes = newest(node_snapshots, ["snapshot_id", "id"], "received_at", ["columns"])
+    # only what is compared is moved to find the newest rows
+    edges = newest(edge_ends(edge_snapshots), ["snapshot_id", "id"], "received_at", ["src", "tgt", "cols"])
+    nodes = newest(held_nodes(node_snapshots), ["snapshot_id", "id"], "received_at", ["cols"])
     refs = scratch.cut(edge_references(edges), "refs")
-    held = scratch.cut(held_nodes(nodes), "held")
-    shared = shared_nodes.where("id is not null").select(
-        F.col("id").alias("node"),
-        F.expr("array_distinct(filter(transform(coalesce(columns, array()), c -> lower(c.name)), c -> c is not null))").alias("cols"),
-    )
+    held = scratch.cut(nodes.withColumnRenamed("id", "node"), "held")
+    shared = shared_nodes.where("id is not null").select(F.col("id").alias("node"), F.expr(_lower_names("columns", "x.name")).alias("cols"))
     order = scratch.cut(scan_order(graph_metadata), "order")
     orphans = orphan_keys(refs, held, shared, scratch)
     kinds = scratch.cut(orphan_kinds(orphans, held, order), "kinds")
-    # back to the referring rows: keys used by more than 1/MAX_HEAVY of them are few and go by broadcast
-    marked = kinds.withColumn("hot", F.col("n") * MAX_HEAVY > F.lit(total_of(kinds, "n")))
-    keys = marked.select(*KEY, "kind", "hot")
-    hot = refs.join(F.broadcast(keys.where("hot")), KEY)
-    rest = refs.join(keys.where("not hot"), KEY)
+    # back to the referring rows: few keys go by broadcast, of many those used by more than 1/MAX_HEAVY of the rows
+    size = kinds.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]
+    hot = F.lit(True) if size.keys <= FEW_KEYS else F.col("n") * MAX_HEAVY > F.lit(size.n)
+    keys = kinds.select(*KEY, "kind", hot.alias("hot"))
+    both = refs.join(F.broadcast(keys.where("hot").drop("hot")), KEY)
+    if size.keys > FEW_KEYS:
+        both = both.unionByName(refs.join(keys.where("not hot").drop("hot"), KEY))
     ref = F.when(F.col("field") == "source_columns", F.col("col")).otherwise(F.col("node"))
-    both = hot.unionByName(rest)
     # one row each: references are distinct within an edge, and keys have one kind
     return both.select("snapshot_id", "edge_id", "field", ref.alias("ref"), "kind")
 

@@ -117,6 +117,8 @@ def run_scan(
             F.col("ref_dataset").alias("dataset"),
             none.alias("message"),
         )
+        if config.target is None:  # listed nodes are known already
+            steps = steps.join(listed.select("node_id"), "node_id", "left_anti")
         queue, cut = _within(steps, config.depth)
         late.append(scratch.write(cut.select(*columns), "late"))
     reached = _first(scratch.read(levels, empty.schema), shortest) if shortest else scratch.read(levels, empty.schema)

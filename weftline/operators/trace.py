@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.model import LineageGraph
-from weftline.operators.walk import closure, walk
+from weftline.operators.walk import Ways, closure, walk
 from weftline.session import Scratch
 
 
@@ -38,8 +38,8 @@ def trace_column(graph: LineageGraph, node: DataFrame | str, column: str | None
     start = scratch.cut(_starts(graph, node, column).select("node", F.lower("column").alias("column")), "start")
 
     def along(come: str, go: str):
-        links = hops.select(F.col(f"{come}.node").alias("node"), F.col(f"{come}.column").alias("column"), F.col(go).alias("to"))
-        return lambda f: f.join(links, keys).select("to.node", "to.column")
+        ways = Ways(hops.select(F.col(come).alias("at"), F.col(go).alias("to")), "at", "to", scratch)
+        return lambda f: ways.follow(f.select(F.struct(*keys).alias("at"))).select("to.node", "to.column")
 
     down = walk(start, along("up", "down"), keys, scratch).withColumn("direction", F.when(F.col("depth") == 0, "start").otherwise("down"))
     seen = scratch.cut(down, "down")
@@ -102,7 +102,9 @@ def origins(graph: LineageGraph, node: DataFrame | str) -> DataFrame:
         F.explode("source_columns").alias("to_column"),
         F.struct("transformation", F.coalesce("expression", F.lit("")).alias("expression")).alias("how"),
     ).withColumn("to_column", F.lower("to_column")).where("to_column <> '*'")
+    hops = hops.select(F.struct("at_node", "at_column").alias("at"), F.struct("to_node", "to_column").alias("to"), "how")
     hops = scratch.cut(hops, "hops")
+    ways = Ways(hops, "at", "to", scratch)
     cols = graph.columns.join(seeds.withColumnRenamed("node", "node_id"), "node_id", "left_semi")
     chain = F.array().cast("array<struct<transformation:string,expression:string>>").alias("chain")
     first = cols.select(F.col("node_id").alias("node"), F.col("name_lc").alias("target_column"))
@@ -110,14 +112,14 @@ def origins(graph: LineageGraph, node: DataFrame | str) -> DataFrame:
     start = first.distinct().select("node", "target_column", F.col("node").alias("at_node"), F.col("target_column").alias("at_column"), chain)
     reached = walk(
         start,
-        lambda f: f.join(hops, ["at_node", "at_column"]).select(
-            "node", "target_column", F.col("to_node").alias("at_node"), F.col("to_column").alias("at_column"),
+        lambda f: ways.follow(f.withColumn("at", F.struct("at_node", "at_column"))).select(
+            "node", "target_column", F.col("to.to_node").alias("at_node"), F.col("to.to_column").alias("at_column"),
             F.concat(F.array("how"), "chain").alias("chain"),
         ),
         keys,
         scratch,
     )
-    fed = hops.select("at_node", "at_column").distinct()
+    fed = hops.select("at.at_node", "at.at_column").distinct()
     ends = reached.where("depth > 0").join(fed, ["at_node", "at_column"], "left_anti")
     out = ends.select(
         "node", "target_column", F.col("at_node").alias("origin_node"), F.col("at_column").alias("origin_column"), "depth", "chain"
@@ -185,7 +187,8 @@ def upstream_tree(graph: LineageGraph, node: DataFrame | str, column: str | None
         F.struct(F.col("source_node").alias("node"), F.col("source_column").alias("column")).alias("to"),
     ).agg(F.min("edge_id").alias("edge"))
     hops = scratch.cut(hops, "hops")
-    met = walk(starts, lambda f: f.join(hops, "at").select("start", F.col("to").alias("at")), ["start", "at"], scratch)
+    ways = Ways(hops, "at", "to", scratch)
+    met = walk(starts, lambda f: ways.follow(f).select("start", F.col("to").alias("at")), ["start", "at"], scratch)
     links = met.select("start", "at").join(hops, "at", "left").select("start", F.to_json("at").alias("at"), F.to_json("to").alias("to"), "edge")
 
     def walked(group: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.skew import heavy_keys, salted, spread
 from weftline.session import Scratch
 
 Step = Callable[[DataFrame], DataFrame]
@@ -42,11 +43,29 @@ def walk(start: DataFrame, step: Step, keys: list[str], scratch: Scratch, order:
     return scratch.read(paths, schema)
 
 
+class Ways:
+    """Links that a walk follows again and again, by the column they start from.
+
+    Hubs, which hold more than 1/64 of all links each, are met in several tasks; ``by`` spreads their links.
+    """
+
+    def __init__(self, links: DataFrame, key: str, by: str, scratch: Scratch):
+        self.key, self.salts = key, max(16, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        links = scratch.cut(links, "links")
+        self.hubs = scratch.cut(heavy_keys(links.groupBy(key).agg(F.count("*").alias("n")), [key], parts=64), "hubs")
+        self.flat = self.hubs.isEmpty()
+        self.links = links if self.flat else scratch.cut(salted(links, self.hubs, key, by, self.salts), "salted")
+
+    def follow(self, frontier: DataFrame) -> DataFrame:
+        """``frontier`` joined with the links out of its rows."""
+        if self.flat:
+            return frontier.join(self.links, self.key)
+        return spread(frontier, self.hubs, self.key, self.salts).join(self.links, [self.key, "salt"]).drop("salt")
+
+
 def closure(links: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, depth): everything reached from ``seeds`` (node) along ``links`` (src, dst), seeds at 0."""
+    ways = Ways(links.select("src", "dst"), "src", "dst", scratch)
     return walk(
-        seeds.select("node"),
-        lambda f: f.join(links, f.node == links.src).select(F.col("dst").alias("node")),
-        ["node"],
-        scratch,
+        seeds.select("node"), lambda f: ways.follow(f.select(F.col("node").alias("src"))).select(F.col("dst").alias("node")), ["node"], scratch
     )

@@ -12,7 +12,7 @@ from weftline.operators import filters, trace
 from weftline.operators.edit import matched_columns
 from weftline.operators.graph import column_status, graph_stats, split_manual, topological_order
 from weftline.operators.scan import resolve_references, run_scan
-from weftline.operators.walk import closure, walk
+from weftline.operators.walk import Ways, walk
 from weftline.model import LineageGraph, ScanConfig
 from weftline.plans.lineage import parse_views, view_references
 from weftline.session import Scratch
@@ -250,6 +250,14 @@ def scan_in_scope(spark, directory) -> DataFrame:
     return found.select("node_id", "status", F.when(F.col("status") == "truncated", F.col("status_message")).alias("message"))
 
 
+def scan_dataset(spark, directory) -> DataFrame:
+    """A scan of the first dataset with views and what it needs along the edges, one dataset hop out by the shortest ways."""
+    g = _graph(spark, directory)
+    least = g.nodes.where("type = 'view'").agg(F.min("dataset").alias("d")).collect()[0].d
+    found = run_scan(g.nodes, _edge_refs(g), ScanConfig(datasets=(least or "",), depth=1), shortest=True).nodes
+    return found.select("node_id", "status", F.when(F.col("status") == "truncated", F.col("status_message")).alias("message"))
+
+
 def scan_views(spark, directory) -> DataFrame:
     """A scan of one dataset along the references in the views' SQL, one dataset hop out."""
     g = _graph(spark, directory)
@@ -264,22 +272,6 @@ def events_fold(spark, directory) -> DataFrame:
     return fold_status(events, "user_id", "event_id", "event_type")
 
 
-def entity_closure(spark, directory) -> DataFrame:
-    """What hangs on the first region's nations: customers, suppliers and orders, by level; :func:`entity_reach` is whole."""
-    t = {n: read_table(spark, directory, n) for n in ("nation", "customer", "supplier", "orders")}
-
-    def pair(df, a, x, b, y):
-        return df.select(F.concat_ws(".", F.lit(a), F.col(x).cast("string")).alias("src"), F.concat_ws(".", F.lit(b), F.col(y).cast("string")).alias("dst"))
-
-    links = pair(t["nation"], "region", "n_regionkey", "nation", "n_nationkey")
-    links = links.unionByName(pair(t["customer"], "nation", "c_nationkey", "customer", "c_custkey"))
-    links = links.unionByName(pair(t["supplier"], "nation", "s_nationkey", "supplier", "s_suppkey"))
-    links = links.unionByName(pair(t["orders"], "customer", "o_custkey", "orders", "o_orderkey"))
-    scratch = Scratch(spark, "entity")
-    seeds = t["nation"].select(F.concat_ws(".", F.lit("region"), F.min("n_regionkey").over(_all()).cast("string")).alias("node")).distinct()
-    return closure(scratch.cut(links, "links"), seeds, scratch)
-
-
 def entity_reach(spark, directory) -> DataFrame:
     """(root, node, depth): what hangs on every region and every part, line items included, by level under each root."""
     t = {n: read_table(spark, directory, n) for n in ("region", "nation", "customer", "supplier", "orders", "part", "lineitem")}
@@ -303,13 +295,8 @@ def entity_reach(spark, directory) -> DataFrame:
     roots = t["region"].select(name("region", "r_regionkey").alias("root")).union(t["nation"].select(name("region", "n_regionkey")))
     roots = roots.union(t["part"].select(name("part", "p_partkey"))).where("root is not null").distinct()
     start = roots.select("root", F.col("root").alias("node"))
-    return walk(start, lambda f: f.join(links, f.node == links.src).select("root", F.col("dst").alias("node")), ["root", "node"], scratch)
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))  # over the 25 nations
+    ways = Ways(links, "src", "dst", scratch)
+    return walk(start, lambda f: ways.follow(f.withColumnRenamed("node", "src")).select("root", F.col("dst").alias("node")), ["root", "node"], scratch)
 
 
 QUERIES = {
@@ -318,6 +305,6 @@ QUERIES = {
         catalog_datasets, catalog_columns, stats_totals, stats_by_type, status_of_columns, topo_order, node_depths, trace_column,
         trace_column_edges, trace_table, trace_paths, trace_branches, trace_tree, trace_chain, node_links, facet_values, trace_origins, trace_origin_tables, prune_upstream, filter_views,
         fuzzy_names, fuzzy_search, mapping_merge, mapping_same, graph_warnings, graph_gaps, manual_retention, default_mappings,
-        export_mermaid, export_sizes, table_refs, lineage_parse, scan_upstream, scan_within_hops, scan_in_scope, scan_views, events_fold, entity_closure, entity_reach,
+        export_mermaid, export_sizes, table_refs, lineage_parse, scan_upstream, scan_within_hops, scan_in_scope, scan_dataset, scan_views, events_fold, entity_reach,
     )
 }

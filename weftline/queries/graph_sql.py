@@ -230,12 +230,15 @@ above(n) AS (SELECT n FROM t UNION SELECT source_node FROM above JOIN g_edges ON
 SELECT n AS node_id, coalesce(status, 'error') AS status FROM above LEFT JOIN g_nodes ON node_id = n""",
     "events_fold": """SELECT user_id, coalesce(min_by(event_type, event_id) FILTER (event_type IN ('complete', 'error')), 'running') AS status,
 max_by(event_type, event_id) AS last_type, count(*) AS n_events FROM events GROUP BY user_id""",
-    "entity_closure": """WITH r AS (SELECT min(n_regionkey) AS k FROM nation), n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = (SELECT k FROM r)),
-c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n))
-SELECT 'region.' || k AS node, 0::BIGINT AS depth FROM r UNION ALL SELECT 'nation.' || n_nationkey, 1 FROM n
-UNION ALL SELECT 'customer.' || c_custkey, 2 FROM c
-UNION ALL SELECT 'supplier.' || s_suppkey, 2 FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n)
-UNION ALL SELECT 'orders.' || o_orderkey, 3 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)""",
+    "scan_dataset": f"""{_W}, listed AS (SELECT node_id AS n FROM g_nodes WHERE dataset = (SELECT min(dataset) FROM g_nodes WHERE type = 'view')),
+reach(n, h) AS (
+  SELECT DISTINCT source_node, (split_part(source_node, '.', 1) <> (SELECT min(dataset) FROM g_nodes WHERE type = 'view'))::INT
+  FROM g_edges WHERE target_node IN (SELECT n FROM listed) AND source_node NOT IN (SELECT n FROM listed)
+  UNION SELECT source_node, h + (split_part(source_node, '.', 1) <> split_part(n, '.', 1))::INT FROM reach JOIN g_edges ON target_node = n
+  WHERE h <= 1 AND source_node NOT IN (SELECT n FROM listed)),
+near AS (SELECT n, min(h) AS h FROM reach GROUP BY n UNION ALL SELECT n, 0 FROM listed)
+SELECT n AS node_id, CASE WHEN h > 1 THEN 'truncated' ELSE coalesce(status, 'error') END AS status,
+CASE WHEN h > 1 THEN 'Depth limit reached (2 dataset hops > 1)' WHEN status = 'truncated' THEN status_message END AS message FROM near LEFT JOIN g_nodes ON node_id = n""",
     "entity_reach": """WITH RECURSIVE links(src, dst) AS (
 SELECT 'region.' || n_regionkey, 'nation.' || n_nationkey FROM nation UNION SELECT 'nation.' || c_nationkey, 'customer.' || c_custkey FROM customer
 UNION SELECT 'nation.' || s_nationkey, 'supplier.' || s_suppkey FROM supplier UNION SELECT 'customer.' || o_custkey, 'orders.' || o_orderkey FROM orders

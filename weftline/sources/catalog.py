@@ -63,26 +63,60 @@ def assemble_nodes(tables: DataFrame, views: DataFrame, columns: DataFrame) -> t
     return nodes, cols
 
 
+class SparkCatalog:
+    """Spark's own databases, each read once when first asked for; one that cannot be read is an error, not the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.errors: list[str] = []
+        self._read: dict[str, tuple[list[tuple], list[tuple]]] = {}
+
+    def databases(self) -> list[str]:
+        return [d.name for d in self.spark.catalog.listDatabases()]
+
+    def rows(self, db: str) -> tuple[list[tuple], list[tuple]]:
+        """Node and column rows of a database."""
+        if db not in self._read:
+            try:
+                self._read[db] = self._all(db)
+            except Exception as e:
+                self.errors.append(f"Failed to extract dataset {db}: {type(e).__name__}")
+                self._read[db] = [], []
+        return self._read[db]
+
+    def _all(self, db: str) -> tuple[list[tuple], list[tuple]]:
+        nodes, cols = [], []
+        for t in self.spark.catalog.listTables(db):
+            if t.isTemporary:
+                continue
+            sql, view = None, t.tableType == "VIEW"
+            if view:
+                found = self.spark.sql(f"DESCRIBE TABLE EXTENDED `{db}`.`{t.name}`").where("col_name = 'View Text'").collect()
+                sql = found[0].data_type if found else None
+            source = ("bigquery_view" if sql else "unknown") if view else "ingestion"
+            nodes.append((f"{db}.{t.name}", "view" if view else "table", db, t.name, source, sql, t.description, "ok", None))
+            for i, f in enumerate(self.spark.table(f"`{db}`.`{t.name}`").schema.fields):
+                cols.append((f"{db}.{t.name}", i, f.name, f.name.lower(), f.dataType.simpleString(), "resolved"))
+        return nodes, cols
+
+    def view_sql(self, db: str, name: str) -> str | None:
+        return next((n[5] for n in self.rows(db)[0] if n[3] == name), None)
+
+    def table_type(self, db: str, name: str) -> str | None:
+        """None if there is no such table."""
+        return next((n[1] for n in self.rows(db)[0] if n[3] == name), None)
+
+    def frames(self, databases: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes and columns of the databases, or of all."""
+        read = [self.rows(db) for db in (self.databases() if databases is None else databases)]
+        nodes, cols = ([row for part in read for row in part[k]] for k in (0, 1))
+        return self.spark.createDataFrame(nodes, NODES), self.spark.createDataFrame(cols, COLUMNS)
+
+
 def from_spark_catalog(spark: SparkSession, databases: list[str] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Nodes, columns and errors of Spark's own databases; one that cannot be read is an error, not the end."""
-    nodes, cols, errors = [], [], []
-    for db in databases if databases is not None else [d.name for d in spark.catalog.listDatabases()]:
-        try:
-            for t in spark.catalog.listTables(db):
-                if t.isTemporary:
-                    continue
-                sql = None
-                if t.tableType == "VIEW":
-                    rows = spark.sql(f"DESCRIBE TABLE EXTENDED `{db}`.`{t.name}`").where("col_name = 'View Text'").collect()
-                    sql = rows[0].data_type if rows else None
-                kind = "view" if t.tableType == "VIEW" else "table"
-                source = "ingestion" if kind == "table" else "bigquery_view" if sql else "unknown"
-                nodes.append((f"{db}.{t.name}", kind, db, t.name, source, sql, t.description, "ok", None))
-                for i, f in enumerate(spark.table(f"`{db}`.`{t.name}`").schema.fields):
-                    cols.append((f"{db}.{t.name}", i, f.name, f.name.lower(), f.dataType.simpleString(), "resolved"))
-        except Exception as e:
-            errors.append(f"Failed to extract dataset {db}: {type(e).__name__}")
-    return spark.createDataFrame(nodes, NODES), spark.createDataFrame(cols, COLUMNS), errors
+    """Nodes, columns and errors of Spark's own databases."""
+    read = SparkCatalog(spark)
+    return *read.frames(databases), read.errors
 
 
 def graph_from_rows(nodes: DataFrame, edges: DataFrame, shared_nodes: DataFrame | None = None) -> LineageGraph:
