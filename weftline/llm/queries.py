@@ -76,17 +76,21 @@ def p7_checks(spark: SparkSession, directory: str) -> DataFrame:
     texts = texts.join(sizes.select("doc_id", F.col("n_tokens").alias("size")), "doc_id", "full").where("coalesce(size, 1) > 0")
     bins = packed.groupBy("bin").agg(F.sum("n_tokens").alias("held"), F.min("capacity").alias("capacity"), F.countDistinct("capacity").alias("kinds"))
     need = F.array_min(F.filter(F.lit(capacities), lambda c: c >= F.col("held")))
-    found = texts.agg(
-        F.count("held").alias("texts packed"),
-        F.count_if(~F.col("held").eqNullSafe(F.col("size"))).alias("texts lost or held twice"),
-        F.count_if(F.col("parts") != F.ceil(F.col("size") / max(capacities))).alias("texts cut that fit"),
-    ).join(
-        bins.agg(
-            F.count_if(F.col("held") > F.col("capacity")).alias("containers over capacity"),
-            F.count_if((F.col("kinds") > 1) | ~F.col("capacity").eqNullSafe(need)).alias("containers larger than needed"),
-        )
-    )  # one row each
-    return found.select(F.explode(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("n")) for c in found.columns))).alias("r")).select("r.*")
+    rules = (
+        (texts, {
+            "texts packed": F.count("held"),
+            "texts lost or held twice": F.count_if(~F.col("held").eqNullSafe(F.col("size"))),
+            "texts cut that fit": F.count_if(F.col("parts") != F.ceil(F.col("size") / max(capacities))),
+        }),
+        (bins, {
+            "containers over capacity": F.count_if(F.col("held") > F.col("capacity")),
+            "containers larger than needed": F.count_if((F.col("kinds") > 1) | ~F.col("capacity").eqNullSafe(need)),
+        }),
+    )
+    counts = [
+        rows.agg(F.array(*(F.struct(F.lit(rule).alias("rule"), n.alias("n")) for rule, n in told.items())).alias("r")) for rows, told in rules
+    ]
+    return counts[0].unionByName(counts[1]).select(F.explode("r").alias("r")).select("r.*")
 
 
 def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
