@@ -105,8 +105,7 @@ def _tables(items: DataFrame, scans: DataFrame, per_table: int) -> DataFrame:
     each = each.groupBy(*keys).agg(
         F.count("*").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("ch").alias("cx"), F.bit_xor("gx").alias("gx")
     )
-    left = _paired(each, F.broadcast(scans)) if scans.count() <= SCANS else _paired(each, scans)
-    left = left.groupBy(*keys).agg(F.sum(F.col("n") * F.col("role")).alias("n"), *(F.bit_xor(c).alias(c) for c in xors))
+    left = _paired(each, scans).groupBy(*keys).agg(F.sum(F.col("n") * F.col("role")).alias("n"), *(F.bit_xor(c).alias(c) for c in xors))
     left = left.where("n <> 0 or kx <> 0 or cx <> 0 or gx <> 0")
     return left.groupBy(*PLACE, "snapshot_id").agg(F.collect_list(F.struct("cell", "n", *xors)).alias("cells"))
 
@@ -180,6 +179,7 @@ def differing(items: DataFrame, scans: DataFrame, scratch: Scratch, cells: int =
     it is found.
     """
     found: list[DataFrame] = []
+    scans = F.broadcast(scans) if scans.count() <= SCANS else scans
     # one partition holds a bucket of all scans of a project, so that folding and subtracting move nothing
     todo = items.repartition(*PLACE)
     for turn in range(rounds):
