@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import Scratch
+
 
 @dataclass(frozen=True)
 class Group:
@@ -369,6 +371,23 @@ TABLES = {
 }
 
 
+#: Keys of repeated payloads that are broadcast; if there are more, all payloads move once.
+REPEATS = 200_000
+
+
+def _once(graph_exports: DataFrame) -> DataFrame:
+    """(export_id, payload), each pair once: only payloads that repeat are moved to be told apart."""
+    texts = graph_exports.select("export_id", "payload").where("payload is not null")
+    key = [F.coalesce(F.col("export_id").cast("string"), F.lit("")).alias("e"), F.unhex(F.md5("payload")).alias("d")]
+    repeats = texts.select(*key).groupBy("e", "d").agg(F.count("*").alias("n")).where("n > 1").select("e", "d")
+    repeats = Scratch(graph_exports.sparkSession, "exports").cut(repeats, "repeats")
+    if repeats.count() > REPEATS:
+        return texts.distinct()
+    marked = texts.select("*", *key)
+    alone = marked.join(F.broadcast(repeats), ["e", "d"], "left_anti").select("export_id", "payload")
+    return alone.unionByName(marked.join(F.broadcast(repeats), ["e", "d"], "left_semi").select("export_id", "payload").distinct())
+
+
 def flat_table(graph_exports: DataFrame, name: str) -> DataFrame:
     """One of :data:`TABLES` whole: (export_id, owner's id, places, all fields), values as text.
 
@@ -388,8 +407,7 @@ def flat_table(graph_exports: DataFrame, name: str) -> DataFrame:
             out |= dict(zip(flat.places, places, strict=True))
             yield pd.DataFrame(out | {f: values[leaf] for f, leaf in fields.items()}).astype({"export_id": "Int64"})
 
-    texts = graph_exports.select("export_id", "payload").where("payload is not null").distinct()
-    return texts.mapInPandas(rows, flat.schema())
+    return _once(graph_exports).mapInPandas(rows, flat.schema())
 
 
 def flatten_exports(graph_exports: DataFrame) -> DataFrame:
@@ -400,8 +418,7 @@ def flatten_exports(graph_exports: DataFrame) -> DataFrame:
     Null, empty and cut payloads give nothing; absent and null lists are empty; an item without the
     named field has a null item; a single object or text in place of a list is a list of one.
     """
-    texts = graph_exports.select("export_id", "payload").where("payload is not null").distinct()
-    return texts.mapInPandas(_flatten, FLAT)
+    return _once(graph_exports).mapInPandas(_flatten, FLAT)
 
 
 def export_items(graph_exports: DataFrame) -> DataFrame:

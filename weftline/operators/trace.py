@@ -102,11 +102,13 @@ def origins(graph: LineageGraph, node: DataFrame | str) -> DataFrame:
         F.explode("source_columns").alias("to_column"),
         F.struct("transformation", F.coalesce("expression", F.lit("")).alias("expression")).alias("how"),
     ).withColumn("to_column", F.lower("to_column")).where("to_column <> '*'")
-    hops = hops.select(F.struct("at_node", "at_column").alias("at"), F.struct("to_node", "to_column").alias("to"), "how")
+    # levels carry hashes of what was done; the texts are put in at the end
+    hops = hops.select(F.struct("at_node", "at_column").alias("at"), F.struct("to_node", "to_column").alias("to"), "how", F.xxhash64("how").alias("h"))
     hops = scratch.cut(hops, "hops")
-    ways = Ways(hops, "at", "to", scratch)
+    told = scratch.cut(hops.groupBy("h").agg(F.min("how").alias("how")), "told")
+    ways = Ways(hops.select("at", "to", "h"), "at", "to", scratch)
     cols = graph.columns.join(seeds.withColumnRenamed("node", "node_id"), "node_id", "left_semi")
-    chain = F.array().cast("array<struct<transformation:string,expression:string>>").alias("chain")
+    chain = F.array().cast("array<bigint>").alias("chain")
     first = cols.select(F.col("node_id").alias("node"), F.col("name_lc").alias("target_column"))
     keys = ["node", "target_column", "at_node", "at_column"]
     start = first.distinct().select("node", "target_column", F.col("node").alias("at_node"), F.col("target_column").alias("at_column"), chain)
@@ -114,7 +116,7 @@ def origins(graph: LineageGraph, node: DataFrame | str) -> DataFrame:
         start,
         lambda f: ways.follow(f.withColumn("at", F.struct("at_node", "at_column"))).select(
             "node", "target_column", F.col("to.to_node").alias("at_node"), F.col("to.to_column").alias("at_column"),
-            F.concat(F.array("how"), "chain").alias("chain"),
+            F.concat(F.array("h"), "chain").alias("chain"),
         ),
         keys,
         scratch,
@@ -124,6 +126,10 @@ def origins(graph: LineageGraph, node: DataFrame | str) -> DataFrame:
     out = ends.select(
         "node", "target_column", F.col("at_node").alias("origin_node"), F.col("at_column").alias("origin_column"), "depth", "chain"
     )
+    keys = ["node", "target_column", "origin_node", "origin_column", "depth"]
+    steps = out.select(*keys, F.posexplode("chain").alias("place", "h")).join(told, "h")
+    steps = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "how"))).alias("steps"))  # one a level
+    out = steps.select(*keys, F.transform("steps", lambda x: x["how"]).alias("chain"))
     literal = maps.join(seeds.withColumnRenamed("node", "target_node"), "target_node", "left_semi").where("transformation = 'literal'")
     own = literal.groupBy("target_node", F.lower("target_column").alias("column")).agg(F.min(F.coalesce("expression", F.lit(""))).alias("expression"))
     own = own.select(
