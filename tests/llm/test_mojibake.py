@@ -1,12 +1,13 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from weftline.llm.mojibake import CELLS, Candidate, PairModel, Restorer, _count_pairs, find_garbled, restore, segments
+from weftline.llm.mojibake import CELLS, Candidate, PairModel, Restorer, _count_pairs, find_garbled, rebuilt, restore, segments
 
 LETTERS = {
     "fr": ("bcdfglmnprstv", "aeiouéèêàâ"), "es": ("bcdflmnprstvñ", "aeiouáéíóú"), "de": ("bdfghklmnrstwß", "aeiouäöü"), "pl": ("bcdklmnprsztwłśćżź", "aeiouąęóy"),
@@ -114,6 +115,16 @@ def test_damage_glued_to_another_script():
     assert token[: best.lo] + best.text + token[best.hi :] == "слово\u2014дело"
 
 
+def test_a_very_long_word():
+    words = ["日本の町は川が山を", "слово", "дело"] * 50
+    restorer = Restorer(fit_of([" ".join(words)] * 20))
+    token = ("日本の町は川が山を" + "слово".encode().decode("cp1252", "replace").replace("\ufffd", "") + "x") * 4000
+    began = time.time()
+    found = restorer.token(token)
+    rebuilt(token, found, {}, restorer.token)
+    assert time.time() - began < 60 and len(token) > 60_000
+
+
 def fit_of(texts):
     counts = Counter(w for t in texts for w in t.split() if not w.isascii())
     frame = pd.DataFrame({"word": list(counts), "n": list(counts.values())})

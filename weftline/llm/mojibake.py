@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -345,27 +346,32 @@ class Restorer:
         outer marks and following bytes; all runs together; and if nothing comes of that, parts of one
         script and the bare runs, which sound text of another script may surround."""
         outer: list[tuple[int, int]] = []
+        wide = [m.span() for m in RUN.finditer(token)]
+        starts = [lo for lo, _ in wide]
         for lo, hi in runs:
-            while lo > 0 and token[lo - 1] > "\x7f":
-                lo -= 1
-            while hi < len(token) and token[hi] > "\x7f":
-                hi += 1
-            while lo < hi and token[lo] <= "\x7f":
-                lo += 1
-            tail = hi
-            while hi > lo and token[hi - 1] <= "\x7f":
-                hi -= 1
-            run = token[lo:hi]
-            left, right = len(run) - len(run.lstrip(EDGE)), len(run) - len(run.rstrip(EDGE))
+            # from the first to the last stretch beyond ASCII that the run holds or borders on
+            first, last = max(0, bisect_right(starts, lo) - 1), bisect_right(starts, hi) - 1
+            first += wide[first][1] < lo
+            if last < first:
+                continue
+            tail, lo, hi = hi, wide[first][0], wide[last][1]
+            left, right = 0, 0
+            while lo + left < hi and token[lo + left] in EDGE:
+                left += 1
+            while hi - right > lo and token[hi - right - 1] in EDGE:
+                right += 1
             outer += [(lo, hi), (lo + left, hi), (lo, hi - right), (lo + left, hi - right), (lo, min(len(token), max(tail, hi + 1)))]
         if outer:
             outer.append((min(lo for lo, _ in outer), max(hi for _, hi in outer)))
         yield list(dict.fromkeys(outer))
+        parts = [m.span() for m in SCRIPTS.finditer(token)]
+        starts = [lo for lo, _ in parts]
         inner: list[tuple[int, int]] = []
         for lo, hi in runs:
-            inner += [(m.start(), m.end()) for m in SCRIPTS.finditer(token) if m.start() < hi and m.end() > lo]
+            inner += parts[max(0, bisect_right(starts, lo) - 1) : bisect_left(starts, hi)]
             inner += [(lo, hi), (lo + 1, hi), (lo, hi - 1), (lo + 1, hi - 1)]
-        yield [s for s in dict.fromkeys(inner) if s not in outer]
+        known = set(outer)
+        yield [s for s in dict.fromkeys(inner) if s not in known]
 
     def _forms(self, run: str) -> dict[str, tuple[str, ...]]:
         """Other readings of a run that use known characters only, and the mappings that give them."""
@@ -431,16 +437,14 @@ def tells_of_damage(sentence: str, tokens: list[tuple[str, list[Candidate]]]) ->
 
     The rest of such a sentence is plain: one that holds other words beyond ASCII merely repeats itself.
     """
-    rest = sentence
-    for token, _ in tokens:
-        rest = rest.replace(token, " ")
-    plain = rest
-    for token, found in tokens:
+    damaged = dict(tokens)
+    plain = rest = TOKEN.sub(lambda m: " " if m.group() in damaged else m.group(), sentence)
+    for token, found in damaged.items():
         runs = [r for m in RUN.finditer(token) for r in (m.group(), m.group().strip(EDGE))]
         forms = {f.strip(EDGE) for c in found if c.text != token[c.lo : c.hi] for f in (c.text, token[: c.lo] + c.text + token[c.hi :])}
         forms |= {f for r in runs if (f := utf8_inside(r))}
         forms = {f for f in forms if any(c > "\x7f" and c.isalpha() for c in f)}
-        standing = [f for f in forms if re.search(rf"(?<!\w){re.escape(f)}(?!\w)", rest)]
+        standing = [f for f in forms if f in rest and re.search(rf"(?<!\w){re.escape(f)}(?!\w)", rest)]
         if not standing:
             return False
         for f in standing:
